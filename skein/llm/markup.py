@@ -322,7 +322,9 @@ def _without_template(read: DataFrame, min_pages: int, min_share: float, salts:
     pieces = F.when(F.col("_gone").isNull(), F.col("_p")).otherwise(F.filter("_p", lambda p: ~F.arrays_overlap(p["over"], F.col("_gone"))))
     text = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return out.select("tbl", "row_id", "field", "kinds", F.when(~F.col("_null"), F.regexp_replace(text, r"\A\s+|\s+\z", "")).alias("clean_text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_template"))
+    # a deleted subtree was markup of the field as well
+    kinds = F.when(F.size("_gone") > 0, F.array_union("kinds", F.array(F.lit("html")))).otherwise(F.col("kinds"))
+    return out.select("tbl", "row_id", "field", kinds.alias("kinds"), F.when(~F.col("_null"), F.regexp_replace(text, r"\A\s+|\s+\z", "")).alias("clean_text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_template"))
 
 
 def text_fields(candidates: DataFrame, search_hits: DataFrame) -> DataFrame:

@@ -78,10 +78,10 @@ SELECT source_path, CAST(rn AS INTEGER) AS rank_no, pair_id FROM (
 WHERE rn <= 5""",
     "p3_found": """
 WITH v AS (
-  SELECT chunk_id, file_path, list_transform(vector, x -> CAST(x AS DOUBLE)) AS v FROM chunks
+  SELECT chunk_id, file_path, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM chunks
   WHERE vector IS NOT NULL AND len(vector) = 64
-    AND len(list_filter(vector, x -> x IS NOT NULL AND isfinite(x))) = 64
-    AND len(list_filter(vector, x -> x <> 0)) > 0),
+    AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 s AS (
   SELECT a.chunk_id AS id, b.chunk_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS c
   FROM v a JOIN v b ON a.chunk_id <> b.chunk_id AND a.file_path IS DISTINCT FROM b.file_path),

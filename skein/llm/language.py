@@ -8,7 +8,6 @@ import math
 import os
 import re
 from collections import Counter
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -134,11 +133,12 @@ class UnigramModels:
     """Per-language piece probabilities; score(word) sums the probability of every segmentation of the word."""
 
     MAX_PIECE = 12
+    KNOWN = 200_000
     FLOOR = 1e-7  # of a character outside the pieces seen in a language
 
     def __init__(self, pieces: dict[str, tuple[float, ...]]):
         self.pieces = pieces
-        self.cached = lru_cache(maxsize=200_000)(self._score)
+        self._known: dict[tuple[str, ...], dict[str, tuple[float, ...]]] = {}
 
     def __getstate__(self):
         return self.pieces
@@ -146,6 +146,16 @@ class UnigramModels:
     def __setstate__(self, state):
         self.__init__(state)
 
+    def scores(self, words: list[str], langs: tuple[str, ...]) -> list[tuple[float, ...]]:
+        """_score of each word; scored words are remembered, at most KNOWN of them."""
+        known = self._known.setdefault(langs, {})
+        if len(known) > self.KNOWN:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = self._score(w, langs)
+        return [known[w] for w in words]
+
     def _score(self, word: str, langs: tuple[str, ...] = LANGS) -> tuple[float, ...]:
         """Log probability of word in each of langs by the forward algorithm over all its segmentations."""
         n, get, floor = len(word), self.pieces.get, self.FLOOR
@@ -230,6 +240,8 @@ _ASIDE = re.compile(rf"\(\s*[“\"„«「]?{_IN}[”“\"»」]?\s*\)|（{_IN}
 _QUOTES = re.compile("[(（\\[“„«「『\"]")
 _ASCII = re.compile("[a-z]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+#: Words of plain text without a capital: names don't count, and neither does the capitalised first word.
+_ASCII_WORD = re.compile("(?<![A-Za-z])[a-z]+")
 _NAME = re.compile(r"(?<=[\w,;:—–-] )[A-ZА-ЯІЇЄ][\w'’-]+|[A-Za-z]+(?=[぀-鿿ऀ-๿])|(?<=[぀-鿿ऀ-๿])[A-Za-z]+")
 
 
@@ -246,7 +258,7 @@ class Identifier:
         """
         core = _ASIDE.sub(" ", text) if _QUOTES.search(text) else text
         if core.isascii():
-            words = _ASCII.findall(_NAME.sub(" ", core).lower()) or _ASCII.findall(core.lower())
+            words = _ASCII_WORD.findall(core) or _ASCII.findall(core.lower())
             if sum(map(len, words)) < self.least_letters:
                 return None
             return self._best(words, WRITES["latin"])
@@ -274,11 +286,7 @@ class Identifier:
         return self._best(words, allowed) if words else None
 
     def _best(self, words: list[str], allowed: tuple[str, ...]) -> tuple[str, float]:
-        cached = self.models.cached
-        own = [0.0] * len(allowed)
-        for w in words:
-            for k, v in enumerate(cached(w, allowed)):
-                own[k] += v
+        own = [sum(column) for column in zip(*self.models.scores(words, allowed))]
         top = max(own)
         return allowed[own.index(top)], 1.0 / sum([math.exp(max(-700.0, v - top)) for v in own])
 

@@ -72,7 +72,6 @@ _RULES = {s: [(v, re.compile(rf"(?:{b})[{CLOSE}“]*\Z") if b else None, re.comp
 _SPAN = re.compile(r"„[^„“”\n]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|(?<![\w\"])\"[^\"]*\"|\([^()]*\)|（[^（）]*）")
 _MARK = re.compile(rf"[.!?…。！？．｡।॥]+(?:\s?\.\.\.?)?[{CLOSE}]*|(?<=[ऀ-ॿ])\s?\|[{CLOSE}]*|[{CLOSE}]*\n\s*|(?<=[฀-๿])[  ​]+")
 _BLANK = re.compile(r"[ \t\r\f\v ]*\n[ \t\r\f\v ]*\n\s*")
-_LETTER = re.compile(r"[^\W\d_]")
 _DONE = re.compile(rf"[.!?…。！？．｡।॥|][{CLOSE}“]*\s*\Z")
 _FUNCTION_END = re.compile(r"(?i)\b(?:the|a|an|of|and|or|to|in|on|for|with|by|at|that|und|der|die|das|den|ein|eine|mit|von|zu|de|la|el|los|las|y|en|que|o|e|os|da|do|и|в|на|с|что|і|у|та|що)\Z")
 _SPEECH = re.compile("|".join(w if ord(w[0]) >= 0x0900 else rf"\b{w}\b" for w in SPEECH.split()))
@@ -123,6 +122,7 @@ def _paragraph(text: str, begin: int, stop: int, out: list[int]) -> None:
         begin += 1
     while stop > begin and text[stop - 1].isspace():
         stop -= 1
+    plain = text.isascii()
     spans = [x.span() for x in _SPAN.finditer(text, begin, stop)]
     at, start, opened = 0, begin, True
     for m in _MARK.finditer(text, begin, stop):
@@ -161,8 +161,12 @@ def _paragraph(text: str, begin: int, stop: int, out: list[int]) -> None:
             continue  # a mark within a quotation or brackets
         if end >= stop:
             break
-        prev = _LETTER.search(text[max(start, pos - 6) : pos][::-1])
-        script = _script(prev.group()) if prev else "latin"
+        script = "latin"
+        if not plain:
+            for k in range(pos - 1, max(start, pos - 6) - 1, -1):
+                if text[k].isalpha():
+                    script = _script(text[k])
+                    break
         if ch in "。｡．！？" and script == "latin":
             script = "cjk"
         elif ch in "।॥|" or script == "danda":

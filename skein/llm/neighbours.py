@@ -77,36 +77,51 @@ class VantageTree:
         radius further: 1 is exact, less may miss neighbours in other balls.
         """
         found_q, found_x = [], []
-        limit = np.full(len(q), math.acos(max(-1.0, least - _EPS)), dtype=np.float32)
-        for begin in range(0, len(q), 4096):
-            rows = slice(begin, begin + 4096)
-            angle = _angles(q[rows], self.unit[self.points])
-            own = (angle - self.reach).argmin(axis=1)
-            radius = limit[rows].copy()
-            for first in (True, False):
+        limit = math.acos(max(-1.0, least - _EPS))
+        points = self.unit[self.points].T.copy()
+        reachable = np.cos(np.minimum(self.reach + limit + 1e-4, math.pi)).astype(np.float32)
+        single = np.array([len(m) == 1 for m in self.members])
+
+        def keep(rows, x, s, radius, first):
+            """Candidates among the similarities s of query rows to the points x; in the first round the k-th of them shrinks the radius."""
+            s[block_file[rows][:, None] == files[x][None, :]] = -2.0
+            floor = np.cos(radius[rows]) - _EPS
+            if len(x) > k:
+                kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+                floor = np.maximum(floor, kth - _EPS)
                 if first:
-                    order = np.argsort(own, kind="stable")
-                    cuts = np.searchsorted(own[order], np.arange(len(self.points) + 1))
-                    todo = [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts))]
-                else:
-                    open_ = angle - self.reach <= radius[:, None] * relax + 1e-4
-                    open_[np.arange(len(own)), own] = False
-                    cols, sel = np.nonzero(open_.T)
-                    cuts = np.searchsorted(cols, np.arange(len(self.points) + 1))
-                    todo = [(b, sel[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts))]
-                for b, sel in todo:
-                    x = self.members[b]
-                    s = q[rows][sel] @ self.unit[x].T
-                    s[q_file[rows][sel][:, None] == files[x][None, :]] = -2.0
-                    floor = np.cos(radius[sel]) - _EPS
-                    if len(x) > k:
-                        kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
-                        floor = np.maximum(floor, kth - _EPS)
-                        if first:
-                            radius[sel] = np.minimum(radius[sel], np.arccos(np.clip(kth - _EPS, -1.0, 1.0)))
-                    i, j = np.nonzero(s >= floor[:, None])
-                    found_q.append(begin + sel[i])
-                    found_x.append(x[j])
+                    radius[rows] = np.minimum(radius[rows], np.arccos(np.clip(kth - _EPS, -1.0, 1.0)))
+            i, j = np.nonzero(s >= floor[:, None])
+            found_q.append(begin + rows[i])
+            found_x.append(x[j])
+
+        for begin in range(0, len(q), 4096):
+            block, block_file = q[begin : begin + 4096], q_file[begin : begin + 4096]
+            to_points = block @ points
+            own = to_points.argmax(axis=1)
+            hit = np.flatnonzero(to_points >= reachable[None, :])
+            row, ball = np.divmod(hit, len(self.points))
+            slack = np.arccos(np.clip(to_points.ravel()[hit], -1.0, 1.0)) - self.reach[ball]
+            radius = np.full(len(block), limit, dtype=np.float32)
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(len(self.points) + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                rows = order[cuts[b] : cuts[b + 1]]
+                keep(rows, self.members[b], block[rows] @ self.unit[self.members[b]].T, radius, True)
+            open_ = (slack <= radius[row] * relax + 1e-4) & (ball != own[row])
+            row, ball = row[open_], ball[open_]
+            alone = single[ball]
+            r, x = row[alone], self.points[ball[alone]]
+            good = (to_points[r, ball[alone]] >= np.cos(radius[r]) - _EPS) & (block_file[r] != files[x])
+            found_q.append(begin + r[good])
+            found_x.append(x[good])
+            row, ball = row[~alone], ball[~alone]
+            order = np.argsort(ball, kind="stable")
+            row, ball = row[order], ball[order]
+            cuts = np.searchsorted(ball, np.arange(len(self.points) + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                rows = row[cuts[b] : cuts[b + 1]]
+                keep(rows, self.members[b], block[rows] @ self.unit[self.members[b]].T, radius, False)
         if not found_q:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(found_q), np.concatenate(found_x)
@@ -214,8 +229,9 @@ def nearest_neighbours(
             placed = placed.filter(parts.isNull()).unionByName(many)
     found = placed.groupBy("shard", "part").applyInArrow(_search_shard(k, least, relax_ball, dim), "id long, other long, cosine double")
     best = found.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("_r") <= k).select("id", "other", "cosine")
-    more = copies.filter("id <> rep").select(F.col("id").alias("copy"), F.col("rep").alias("id")).join(best, "id").select(F.col("copy").alias("id"), "other", "cosine")
-    return best.unionByName(more)
+    # copies hold their representative as well, so one join gives its answer to all of them
+    same = copies.select(F.col("id").alias("_copy"), F.col("rep").alias("_rep"))
+    return best.join(same, F.col("id") == F.col("_rep"), "left").select(F.coalesce("_copy", "id").alias("id"), "other", "cosine")
 
 
 def similar_pairs(df: DataFrame, **options) -> DataFrame:

@@ -289,6 +289,11 @@ def _read(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kinds": kinds, "pieces": pieces})
 
 
+def _subtrees(texts: pd.Series) -> pd.Series:
+    """Hashes of the element subtrees in each text."""
+    return texts.map(lambda t: sorted({h for over, _ in read_markup(t)[1] for h in over}))
+
+
 def clean_markup(fields: DataFrame, min_pages: int = 20, min_share: float = 0.01) -> DataFrame:
     """(tbl, row_id, field, kinds, clean_text, n_template): clean text of every field, and the kinds of markup it held.
 
@@ -303,28 +308,27 @@ def clean_markup(fields: DataFrame, min_pages: int = 20, min_share: float = 0.01
     rows are cleaned each; a null host is a host of its own.
     """
     salts = 8
-    read = fields.select("tbl", "row_id", "field", F.coalesce("host", F.lit("")).alias("_host"), F.coalesce("page", F.lit("")).alias("_page"), F.col("content").isNull().alias("_null"), F.pandas_udf(_read, _READ)("content").alias("_r"))
-    read = read.select("tbl", "row_id", "field", "_host", "_page", "_null", F.col("_r.kinds").alias("kinds"), F.col("_r.pieces").alias("_p"), F.array_distinct(F.flatten(F.col("_r.pieces.over"))).alias("_h"))
-    return _without_template(read, min_pages, min_share, salts)
-
-
-def _without_template(read: DataFrame, min_pages: int, min_share: float, salts: int) -> DataFrame:
-    held = read.filter(F.size("_h") > 0).select("_host", "_page", F.explode("_h").alias("_hash")).distinct()
-    per_hash = held.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n"))
-    pages = read.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    own = fields.select("tbl", "row_id", "field", F.coalesce("host", F.lit("")).alias("_host"), F.coalesce("page", F.lit("")).alias("_page"), "content")
+    read = own.select("tbl", "row_id", "field", F.col("content").isNull().alias("_null"), F.pandas_udf(_read, _READ)("content").alias("_r"))
+    # only texts with a tag, plain or escaped, hold subtrees; the others aren't read for the counts
+    tagged = own.filter(F.col("content").contains("<") | F.col("content").contains("&lt;"))
+    held = tagged.select("tbl", "row_id", "field", "_host", "_page", F.pandas_udf(_subtrees, T.ArrayType(T.LongType()))("content").alias("_h"))
+    held = held.select("tbl", "row_id", "field", "_host", "_page", F.explode("_h").alias("_hash"))
+    per_hash = held.select("_host", "_page", "_hash").distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    pages = own.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     template = per_hash.join(pages, "_host").filter((F.col("_n") >= min_pages) & (F.col("_n") >= min_share * F.col("_pages")))
     salted = template.select(F.col("_host").alias("_th"), F.col("_hash").alias("_tx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ts"))
-    salt = F.pmod(F.xxhash64("tbl", "row_id", "field"), F.lit(salts)).cast("int")
-    hits = read.filter(F.size("_h") > 0).select("tbl", "row_id", "field", "_host", salt.alias("_salt"), F.explode("_h").alias("_hash"))
+    hits = held.withColumn("_salt", F.pmod(F.xxhash64("tbl", "row_id", "field"), F.lit(salts)).cast("int"))
     hits = hits.join(salted, (F.col("_host") == F.col("_th")) & (F.col("_hash") == F.col("_tx")) & (F.col("_salt") == F.col("_ts")), "left_semi")
     per_row = hits.groupBy("tbl", "row_id", "field").agg(F.collect_set("_hash").alias("_gone"))
     out = read.join(per_row, ["tbl", "row_id", "field"], "left")
-    pieces = F.when(F.col("_gone").isNull(), F.col("_p")).otherwise(F.filter("_p", lambda p: ~F.arrays_overlap(p["over"], F.col("_gone"))))
-    text = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
+    pieces = F.col("_r.pieces")
+    kept = F.when(F.col("_gone").isNull(), pieces).otherwise(F.filter(pieces, lambda p: ~F.arrays_overlap(p["over"], F.col("_gone"))))
+    text = F.array_join(F.transform(kept, lambda p: p["text"]), "")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
     # a deleted subtree was markup of the field as well
-    kinds = F.when(F.size("_gone") > 0, F.array_union("kinds", F.array(F.lit("html")))).otherwise(F.col("kinds"))
-    return out.select("tbl", "row_id", "field", kinds.alias("kinds"), F.when(~F.col("_null"), F.regexp_replace(text, r"\A\s+|\s+\z", "")).alias("clean_text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_template"))
+    kinds = F.when(F.size("_gone") > 0, F.array_union("_r.kinds", F.array(F.lit("html")))).otherwise(F.col("_r.kinds"))
+    return out.select("tbl", "row_id", "field", kinds.alias("kinds"), F.when(~F.col("_null"), F.regexp_replace(text, r"\A\s+|\s+\z", "")).alias("clean_text"), F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).alias("n_template"))
 
 
 def text_fields(candidates: DataFrame, search_hits: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skein.functions import text as X
+from skein.session import spread
 
 K1, B = 1.2, 0.75
 #: Queries whose vectors one pass over the items carries; larger query sets take several passes.
@@ -81,34 +83,90 @@ def _nearest(shared, dim: int, k: int, metric: str, exclude: bool):
     return run
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf, doc_len): the inverted index of a table; texts without tokens have no rows."""
-    toks = docs.select(key, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("doc_len", F.size("_t"))
-    return toks.select(key, "doc_len", F.explode("_t").alias("token")).groupBy(key, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
+def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, key: str, text: str, k: int) -> DataFrame:
+    """(query_id, key, score, rank_no): the k best documents of each query by BM25 (k1 1.2, b 0.75), scores rounded to 6 digits, ties to the smaller key.
 
+    Queries are a stated set: their tokens go to the tasks as posting lists, in blocks of QUERY_BLOCK queries; each
+    task adds up the scores of its documents and keeps k a query, so a token that most documents hold is never a
+    join key. Document frequencies are counted over all documents for the queries' tokens only. Documents that
+    share no token with a query aren't hits; null texts count as documents without tokens.
+    """
+    spark = docs.sparkSession
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.array_distinct(X.tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("tokens"))
+    d = spread(docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("key", X.tokens(F.col("text")).alias("tokens"))
+    n = q.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    size = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
+    parts = []
+    for b in range(blocks):
+        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        t = own.toArrow()
+        ids = np.array(t["query_id"].to_pylist(), dtype=np.int64)
+        lists: dict[str, list[int]] = {}
+        for i, toks in enumerate(t["tokens"].to_pylist()):
+            for w in toks:
+                lists.setdefault(w, []).append(i)
+        vocabulary = sorted(lists)
+        df = _document_frequencies(d, vocabulary)
+        idf = np.array([np.log(1 + (size.n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in vocabulary])
+        shared = spark.sparkContext.broadcast((ids, vocabulary, [np.array(lists[w], dtype=np.int64) for w in vocabulary], idf, float(size.mean or 1.0) or 1.0))
+        parts.append(d.mapInArrow(_score_bm25(shared, k), "query_id long, key long, score double"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return top_k(found, "query_id", [F.desc("score"), F.asc("key")], k).withColumnRenamed("key", key)
 
-def query_tokens(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token"))
 
+def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """How many documents hold each token of a query block; one row for each token and task is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
 
-def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, key: str, text: str) -> DataFrame:
-    """(query_id, key, score): BM25 (k1 1.2, b 0.75) of every document that shares a token with a query, rounded to 6 digits.
+    def count(batches):
+        total = np.zeros(len(shared.value), dtype=np.int64)
+        for batch in batches:
+            doc, tok = _token_ids(batch.column("tokens"), shared.value)
+            total += np.bincount(np.unique(doc * len(total) + tok) % len(total), minlength=len(total)) if len(tok) else 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"token": shared.value.take(pa.array(at)), "n": total[at]})
+
+    rows = docs.select("tokens").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    return {r.token: r.n for r in rows}
 
-    Posting lists meet the queries in a join on the token; only tokens that a query holds are shuffled on.
-    """
-    q = query_tokens(queries, query_id, query_text)
-    post = postings(docs, key, text)
-    size = docs.select(F.size(X.tokens(F.coalesce(F.col(text), F.lit("")))).alias("n")).agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_avg"))
-    wanted = post.join(q.select("token").distinct(), "token", "left_semi")
-    df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return _bm25_of(q, wanted, df, size, key)
 
+def _token_ids(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token number) of every token of a list column that the vocabulary holds."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ids = pc.index_in(column.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    return rows[ids >= 0], ids[ids >= 0]
 
-def _bm25_of(q: DataFrame, post: DataFrame, df: DataFrame, size: DataFrame, key: str) -> DataFrame:
-    terms = q.join(df, "token").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
-    return post.join(terms, "token").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+
+def _score_bm25(shared, k: int):
+    def run(batches):
+        ids, vocabulary, lists, idf, mean = shared.value
+        if not len(ids):
+            return
+        words = pa.array(vocabulary, pa.string())
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                lengths = batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                doc, tok = _token_ids(batch.column("tokens"), words)
+                if not len(tok):
+                    continue
+                pair, tf = np.unique(tok * batch.num_rows + doc, return_counts=True)
+                tok, doc = pair // batch.num_rows, pair % batch.num_rows
+                weight = idf[tok] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+                score = np.zeros((len(ids), batch.num_rows))
+                cuts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1], True])
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    score[np.ix_(lists[tok[a]], doc[a:b])] += weight[a:b]
+                score = np.round(score, 6)
+                floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(len(ids))
+                i, j = np.nonzero((score > 0) & (score >= floor[:, None]))
+                yield pa.RecordBatch.from_pydict({"query_id": ids[i], "key": batch.column("key").take(pa.array(j)), "score": score[i, j]})
+
+    return run
 
 
 def deletions(token: Column) -> Column:
@@ -196,7 +254,7 @@ def phrase_matches(docs: DataFrame, aliases: DataFrame, key: str, text: str) ->
     a = aliases.select("rel_path", X.tokens(F.col("alias")).alias("_t")).filter(F.size("_t") > 0)
     a = a.select("rel_path", F.array_join("_t", " ").alias("gram"), F.size("_t").alias("_n")).distinct()
     lengths = a.agg(F.array_sort(F.collect_set("_n")).alias("_lengths"))  # a handful of numbers
-    d = docs.select(key, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).crossJoin(F.broadcast(lengths))
+    d = spread(docs.select(key, text)).select(key, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).crossJoin(F.broadcast(lengths))
     grams = F.flatten(
         F.transform(
             F.coalesce("_lengths", F.array().cast("array<int>")),

@@ -238,13 +238,9 @@ def proximity_match(t):
 # ---- search ----------------------------------------------------------------------------------------------
 
 
-def _bm25(t) -> DataFrame:
-    return S.bm25(_questions(t), t("chunks"), "query_id", "question", "chunk_id", "text")
-
-
 @query
 def bm25_topk(t):
-    return S.top_k(_bm25(t), "query_id", [F.desc("score"), F.asc("chunk_id")], 10)
+    return S.bm25(_questions(t), t("chunks"), "query_id", "question", "chunk_id", "text", 10)
 
 
 @query
@@ -276,7 +272,7 @@ def knn_threshold(t):
 @query
 def hybrid_fusion(t):
     q = _vectors(t).filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("question"))
-    hits = S.top_k(S.bm25(q, t("chunks"), "query_id", "question", "chunk_id", "text"), "query_id", [F.desc("score"), F.asc("chunk_id")], 10)
+    hits = S.bm25(q, t("chunks"), "query_id", "question", "chunk_id", "text", 10)
     near = _knn(t, "cosine").withColumnRenamed("item_id", "chunk_id")
     return S.hybrid(near, hits, 0.6, "chunk_id")
 

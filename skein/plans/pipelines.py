@@ -49,8 +49,7 @@ def combined_candidates(strict: DataFrame, broad: DataFrame) -> DataFrame:
 
 def seeds_by_text(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, node, rank_no, score): the distinct files of the k best chunks of each question by BM25."""
-    hits = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text")
-    top = S.top_k(hits, "query_id", [F.desc("score"), F.asc("chunk_id")], k).join(chunks.select("chunk_id", "file_path"), "chunk_id")
+    top = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", k).join(chunks.select("chunk_id", "file_path"), "chunk_id")
     return top.groupBy("query_id", F.col("file_path").alias("node")).agg(F.min("rank_no").alias("rank_no"), F.max("score").alias("score"))
 
 
@@ -87,7 +86,7 @@ def run_typed(questions: DataFrame, chunks: DataFrame, edges: DataFrame, max_hop
 
 def run_single_hop(questions: DataFrame, chunks: DataFrame, links: DataFrame, seed_k: int = 5, top: int = 10, threshold: float = 0.3, expand_k: int = 5, penalty: float = 0.9) -> DataFrame:
     """(query_id, rank_no, text, score): reranked seed chunks and the first chunks of notes they link to, as one ranking. links (src, dst, link_ord)."""
-    hits = S.top_k(S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text"), "query_id", [F.desc("score"), F.asc("chunk_id")], seed_k)
+    hits = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", seed_k)
     hits = hits.drop("rank_no", "score").join(chunks.select("chunk_id", "file_path", "text"), "chunk_id").join(questions, "query_id")
     scored = hits.withColumn("score", S.coverage(F.col("question"), F.col("text")))
     seeds = S.rerank(scored, "query_id", "score", ["chunk_id"], top, threshold)
@@ -108,7 +107,7 @@ def run_property_graph(questions: DataFrame, chunks: DataFrame, entities: DataFr
     docs = G.documents_of_entities(mentions, graph).select("query_id", F.col("doc").alias("chunk_id"), F.col("n").cast("double").alias("score"))
     texts = C.with_next_text(chunks, "file_path", "chunk_index", "text").select("chunk_id", F.col("text_next").alias("text"))
     by_entity = S.top_k(docs, "query_id", [F.desc("score"), F.asc("chunk_id")], top)
-    direct = S.top_k(S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text"), "query_id", [F.desc("score"), F.asc("chunk_id")], top)
+    direct = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", top)
     branches = by_entity.select("query_id", F.lit(0).alias("branch"), F.col("rank_no").alias("ord"), "chunk_id", "score").unionByName(direct.select("query_id", F.lit(1).alias("branch"), F.col("rank_no").alias("ord"), "chunk_id", "score"))
     fused = S.max_norm_fusion(branches.join(texts, "chunk_id"))
     return S.top_k(fused, "query_id", [F.desc("score"), F.asc("text_key")], top)

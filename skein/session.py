@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +31,43 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package once a session, as a zip, so that they need no path to the repository."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="skein-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "skein.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for where, dirs, files in os.walk(package):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(where, f)
+                    z.write(full, os.path.join("skein", os.path.relpath(full, package)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, where a table of few files would keep most of them idle.
+
+    Only tables with fewer partitions than cores are shuffled, so what moves is small; others stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one where none is set (local runs only)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

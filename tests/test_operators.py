@@ -85,7 +85,7 @@ def test_chunk_chain(spark, rows):
 def test_bm25_and_fuzzy(spark, rows):
     docs = spark.createDataFrame([(1, "stencil archive"), (2, "stencils"), (3, "other"), (4, None)], "id int, t string")
     q = spark.createDataFrame([(7, "stencil")], "q int, text string")
-    assert rows(S.bm25(q, docs, "q", "text", "id", "t"), "id") == [(1,)]
+    assert rows(S.bm25(q, docs, "q", "text", "id", "t", 3), "id", "rank_no") == [(1, 1)]
     assert rows(S.fulltext(q, docs, "q", "text", "id", "t"), "id", "score") == [(1, 1), (2, 1)]
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from skein.llm.sentences import boundaries
+from skein.session import spread
 
 LANGS = ("en", "ru", "uk", "de", "es", "pt", "zh", "ja", "hi", "th")
 #: Spellings of a label besides the two-letter code (fixed values: ISO 639-2 codes, terminological and bibliographic).
@@ -402,7 +403,7 @@ def document_languages(df: DataFrame, text: str, identifier: Identifier, *keep:
         return pd.DataFrame(rows, columns=["langs", "lang", "confidence"])
 
     kind = T.StructType([T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    return df.select(*keep, F.pandas_udf(languages, kind)(F.col(text)).alias("_d")).select(*keep, "_d.*")
+    return spread(df.select(*keep, text)).select(*keep, F.pandas_udf(languages, kind)(F.col(text)).alias("_d")).select(*keep, "_d.*")
 
 
 def wrong_labels(chunks: DataFrame, vault_config: DataFrame, identifier: Identifier) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from skein.session import spread
+
 KINDS = ("html", "markdown", "wiki", "latex")
 
 # Names of HTML elements (fixed values).
@@ -309,6 +311,7 @@ def clean_markup(fields: DataFrame, min_pages: int = 20, min_share: float = 0.01
     """
     salts = 8
     own = fields.select("tbl", "row_id", "field", F.coalesce("host", F.lit("")).alias("_host"), F.coalesce("page", F.lit("")).alias("_page"), "content")
+    own = spread(own)
     read = own.select("tbl", "row_id", "field", F.col("content").isNull().alias("_null"), F.pandas_udf(_read, _READ)("content").alias("_r"))
     # only texts with a tag, plain or escaped, hold subtrees; the others aren't read for the counts
     tagged = own.filter(F.col("content").contains("<") | F.col("content").contains("&lt;"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skein.llm.tokens import token_count
-from skein.session import materialize
+from skein.session import materialize, spread
 
 #: The dynamic programme closes budgets up to this many tokens; larger remainders are filled from the longest documents first.
 PROGRAMME_TOKENS = 65_536
@@ -78,7 +78,7 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _plan(documents: DataFrame, weights: DataFrame, total_tokens: int | None, tokenizer: str | None) -> tuple[DataFrame, DataFrame]:
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", token_count(F.col("text"), tokenizer).alias("n_tokens"))
+    sized = spread(documents.select("doc_id", "text", "source")).select(F.col("doc_id").cast("long").alias("doc_id"), "source", token_count(F.col("text"), tokenizer).alias("n_tokens"))
     sized = materialize(sized, "mix-sizes")
     want = weights.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).filter("source IS NOT NULL")
     have = sized.filter("n_tokens > 0 AND source IS NOT NULL").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from skein.llm.tokens import token_count
-from skein.session import materialize
+from skein.session import materialize, spread
 
 
 def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity: int, distinct_sources: bool = False) -> list[int]:
@@ -84,7 +84,7 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str | Non
     """
     text = F.coalesce("text", F.lit(""))
     folded = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
-    items = documents.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text"), tokenizer).alias("size"), F.when(folded == "", F.lit(-1)).otherwise(F.xxhash64(folded)).alias("cluster"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("source_no"))
+    items = spread(documents.select("doc_id", "text", "source")).select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text"), tokenizer).alias("size"), F.when(folded == "", F.lit(-1)).otherwise(F.xxhash64(folded)).alias("cluster"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("source_no"))
     items = materialize(items, "pack-items")
     kinds = limits.filter(F.col("capacity_tokens") > 0).select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
     cut = items.join(kinds).withColumn("full", F.expr("CASE WHEN size > capacity THEN CAST(size div capacity AS INT) ELSE 0 END"))

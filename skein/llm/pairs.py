@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from skein.llm.language import script_counts, stopword_votes
 from skein.llm.sentences import boundaries
+from skein.session import spread
 
 DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
 
@@ -387,7 +388,7 @@ def broken_pairs(pairs: DataFrame, key: str, question: str = "question", answer:
     The first type that holds counts, in the order of DEFECTS. A null or blank question leaves only the checks of
     the answer alone. Repeated rows are judged like their originals; other columns are ignored.
     """
-    rows = pairs.select(F.col(key).alias("_k"), F.col(question).alias("_q"), F.col(answer).alias("_a"))
+    rows = spread(pairs.select(F.col(key).alias("_k"), F.col(question).alias("_q"), F.col(answer).alias("_a")))
     judged = rows.select("_k", "_a", F.pandas_udf(_judge, _JUDGED)("_q", "_a").alias("_j"))
     known = judged.filter(F.col("_j.defect").isNotNull()).select("_k", F.col("_j.defect").alias("defect"))
     open_ = judged.filter(F.col("_j.defect").isNull() & F.col("_j.tail").isNotNull()).select("_k", F.col("_j.tail").alias("_t"), F.col("_j.short").alias("_short"))

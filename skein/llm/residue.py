@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from skein.llm.markup import TAGS
 from skein.llm.sentences import boundaries
+from skein.session import spread
 
 KINDS = ("placeholder", "script_notice", "error_page", "filler")
 
@@ -375,7 +376,7 @@ def content_free(documents: DataFrame, key: str = "doc_id", text: str = "text")
     Null and blank texts are no case (they hold no residue); copies are judged like their originals; other
     columns are ignored; an empty table gives an empty result.
     """
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull()))
     plain = ResidueIndex()
     counted = rows.select("text").mapInPandas(_document_frequencies(plain.vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = {r.term: r.n for r in counted.collect()}

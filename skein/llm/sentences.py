@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from skein.session import spread
+
 # Character classes used by the rules (fixed values).
 UP = "A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ"
 LO = "a-zß-öø-ÿа-яёіїєґ"
@@ -216,7 +218,7 @@ def sentence_units(df: DataFrame, text: str, *keep: str) -> DataFrame:
     space unless it stands at a numeral, Latin letters or a quotation mark. Positions count code points.
     Null, empty and blank texts have no unit; repeated rows each have theirs; other columns are ignored.
     """
-    ends = df.select(*keep, F.filter(_ends(F.col(text)), lambda e: e.isNotNull()).alias("_ends"))
+    ends = spread(df.select(*keep, text)).select(*keep, F.filter(_ends(F.col(text)), lambda e: e.isNotNull()).alias("_ends"))
     rows = ends.select(*keep, "_ends", F.posexplode("_ends").alias("unit_no", "end_pos"))
     start = F.when(F.col("unit_no") == 0, F.lit(0)).otherwise(F.expr("_ends[unit_no - 1]"))
     return rows.select(*keep, F.col("unit_no"), start.alias("start_pos"), F.col("end_pos"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from skein.llm.language import script_counts, stopword_votes
-from skein.llm.sentences import boundaries
+from skein.llm.sentences import ALWAYS, BEFORE_NAME, boundaries
 from skein.session import spread
 
 DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
@@ -227,6 +227,11 @@ def unclosed(text: str) -> bool:
     return bool(stack)
 
 
+#: An item mark with nothing behind it, the item before it somewhere in the text; an abbreviation that something always follows.
+_LAST_ITEM = re.compile(r"(?:\A|\s)(?:1[.)]\s.*\s[2-9]\d?[.)]|[-*•])\Z", re.S)
+_ABBREVIATION = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(set((ALWAYS + ' ' + BEFORE_NAME).split()) - {'no', 'al', 'D', 'S', 'p', 'ch', 'st', 'ст', 'им', 'св', 'ch', 'sec', 'fig'} | {'fig'})))})\.\Z")
+
+
 def ending(answer: str) -> tuple[str, list[str]]:
     """("done" | "cut" | "open", last tokens): open means that only the words of the last sentence can tell.
 
@@ -240,6 +245,8 @@ def ending(answer: str) -> tuple[str, list[str]]:
         return "cut", []
     if _ITEM.fullmatch(text.rsplit("\n", 1)[-1]):
         return "cut", []
+    if _LAST_ITEM.search(text) or _ABBREVIATION.search(text):
+        return "cut", []
     if _DOTS.search(text):
         return "open", last_tokens(_DOTS.sub("", text))
     if _END.search(text):
@@ -264,13 +271,20 @@ def shape(token: str) -> str:
 
 def last_tokens(text: str) -> list[str]:
     """The last DEPTH + 1 tokens of the text in their shapes, commas included, not crossing a sentence mark; the word itself first."""
-    tail = text[-160:]
+    tail = text[-240:]
     cut = max((m.end() for m in _SENT.finditer(tail)), default=0)
     tail = tail[cut:] or tail
     raw = _LAST.findall(tail)
     if not raw:
         return []
-    return [("<s>" if len(raw) <= DEPTH else "")] + [shape(t) for t in raw[-DEPTH:]] + [raw[-1]]
+    return [("<s>" if len(raw) <= DEPTH else "")] + [shape(t) for t in raw[-DEPTH - 1 :]] + [raw[-1]]
+
+
+def _suffixes(shapes: list[str]) -> list[str]:
+    """The last one to DEPTH shapes, and three shapes followed by any one or two words."""
+    out = [" ".join(shapes[-n:]) for n in range(min(DEPTH, len(shapes)), 0, -1)]
+    out += ["~" + " ".join(shapes[-3 - n : -n]) + " *" * n for n in (1, 2) if len(shapes) >= 3 + n]
+    return out
 
 
 def sentence_ngrams(text: str) -> list[tuple[str, bool]]:
@@ -286,10 +300,7 @@ def sentence_ngrams(text: str) -> list[tuple[str, bool]]:
         shapes = ["<s>"] + [shape(t) for t in raw]
         for i in range(1, len(shapes)):
             final = i == len(shapes) - 1
-            for n in range(1, DEPTH + 1):
-                if i - n + 1 < 0:
-                    break
-                out.append((" ".join(shapes[i - n + 1 : i + 1]), final))
+            out += [(g, final) for g in _suffixes(shapes[max(0, i - DEPTH) : i + 1])]
         out += [("=" + t, i == len(raw) - 1) for i, t in enumerate(raw)]
     return out
 
@@ -343,8 +354,7 @@ def _grams_of_tail(tails: pd.Series) -> pd.Series:
     """The suffixes of a tail, longest first, then the plain last word."""
 
     def grams(tail):
-        shapes = [t for t in tail[:-1] if t]
-        return [" ".join(shapes[-n:]) for n in range(min(DEPTH, len(shapes)), 0, -1)] + ["=" + tail[-1]]
+        return _suffixes([t for t in tail[:-1] if t]) + ["=" + tail[-1]]
 
     return tails.map(lambda t: None if t is None else grams(list(t)))
 
@@ -360,20 +370,35 @@ def _is_cut(grams: pd.Series, finals: pd.Series, totals: pd.Series, shorts: pd.S
         if short:  # a complete short answer needs no verb
             out.append(alien or (len(gs) > 2 and word.lower() in DANGLING and known[0] == 0))
             continue
-        best = max((g for g in seen if g[0] != "=" and seen[g][1] >= LEAST_SEEN), key=lambda g: g.count(" "), default=None)
-        if alien:
+        grams_seen = [g for g in seen if g[0] != "=" and seen[g][1] >= LEAST_SEEN]
+        best = max(grams_seen, key=_specific, default=None)
+        if alien or len(word) == 1 and word.islower() and word not in LETTER_WORDS and ord(word) < 0x900:
             out.append(True)
-        elif best and best.count(" ") >= 2:
-            out.append(seen[best][0] < 0.5 * seen[best][1])
-        elif word.lower() in DANGLING or best is None:
-            out.append(best is not None or word.lower() in DANGLING)
+        elif word.lower() in DANGLING and not any(_specific(g) >= 3 and g[0] != "~" for g in grams_seen):
+            out.append(True)
+        elif best and _specific(best) >= 3:
+            out.append(seen[best][0] < FINAL_SHARE * seen[best][1])
+        elif best is None:
+            out.append(False)
         else:
-            out.append(seen[best][0] < (0.5 * seen[best][1] if best.count(" ") else 0.02 * seen[best][1]))
+            out.append(seen[best][0] < (FINAL_SHARE if best.count(" ") else 0.02) * seen[best][1])
     return pd.Series(out, dtype=bool)
 
 
+#: Words of one letter that can end a sentence.
+LETTER_WORDS = frozenset("яaxyzn")
+
+
+def _specific(gram: str) -> float:
+    """How much of its context a suffix fixes: its length, with those that leave words open between three and four."""
+    n = gram.count(" ") + 1
+    return 3.5 + n / 100 if gram[0] == "~" else n
+
+
 #: So often must a suffix of an answer occur elsewhere to tell whether sentences end with it.
-LEAST_SEEN = 3
+LEAST_SEEN = 6
+#: A suffix that ends its sentence in fewer of its occurrences doesn't end one here.
+FINAL_SHARE = 0.12
 
 
 def broken_pairs(pairs: DataFrame, key: str, question: str = "question", answer: str = "answer") -> DataFrame:

@@ -229,7 +229,7 @@ def unclosed(text: str) -> bool:
 
 #: An item mark with nothing behind it, the item before it somewhere in the text; an abbreviation that something always follows.
 _LAST_ITEM = re.compile(r"(?:\A|\s)(?:1[.)]\s.*\s[2-9]\d?[.)]|[-*•])\Z", re.S)
-_ABBREVIATION = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(set((ALWAYS + ' ' + BEFORE_NAME).split()) - {'no', 'al', 'D', 'S', 'p', 'ch', 'st', 'ст', 'им', 'св', 'ch', 'sec', 'fig'} | {'fig'})))})\.\Z")
+_ABBREVIATION = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(set((ALWAYS + ' ' + BEFORE_NAME).split()) - {'D', 'ст', 'им', 'св'} | {'fig'})))})\.\Z")
 
 
 def ending(answer: str) -> tuple[str, list[str]]:

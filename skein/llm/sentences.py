@@ -15,11 +15,12 @@ LO = "a-zß-öø-ÿа-яёіїєґ"
 CLOSE = "\"”’»)\\]」』）】"
 OPEN = "\"“„«(\\[「『（【¿¡'‘*_—–\\-"
 
-# Abbreviations (fixed values). ALWAYS: something always follows. BEFORE_NAME: a name follows.
-# MAY_END: may stand at the end of a sentence, so a capital letter after it starts a new one.
+# Abbreviations (fixed values). BEFORE_NAME: a name follows. ALWAYS: something always follows. BEFORE_NUMBER: no end
+# before a number. MAY_END: may stand at the end of a sentence, so a capital letter after it starts a new one.
 BEFORE_NAME = "інж ст Dr Mr Mrs Ms Prof St Sr Sra Srta Dra D Dña Fr Hr Hrn Rev Gen Col Capt Lt Sgt Sen Gov Mt Eng Exmo инж проф акад доц гр ім им св тов ул вул г-н г-жа д-р डॉ प्रो श्री ดร นพ"
-ALWAYS = "cf vs viz esp approx incl excl resp no nos vol vols fig figs ch chap sec eq ed eds pp p al e.g i.e vgl Abb Nr Bd Kap Tab ca bzw z.B d.h u.a S Mio Mrd Tsd Art Abs aprox pág págs núm fig tel ej см рис стр табл гл ок напр т.е тыс млн млрд бл див мал напр ін"
-MAY_END = "etc usw ff p.m a.m Ltd Inc Co Corp Jr Sr Bros EE.UU т.д т.п др пр г гг в вв р рр руб грн тощо"
+ALWAYS = "cf vs viz esp approx incl excl resp e.g i.e vgl ca bzw z.B d.h u.a Mio Mrd aprox tel ej см див ок напр т.е бл"
+BEFORE_NUMBER = "v ver vers no nos vol vols fig figs ch chap sec eq ed eds p pp Abb Nr Bd Kap Tab S Art Abs Stk pág págs núm nº рис стр табл гл мал п с №"
+MAY_END = "al etc usw ff p.m a.m Ltd Inc Co Corp Jr Sr Bros EE.UU т.д т.п др пр г гг в вв р рр руб грн тощо тыс млн млрд ін"
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Jh"
 # Words that show that a quotation before them is the speech of this sentence (fixed values).
 SPEECH = "asked said wrote replied answered added called cried whispered shouted explained noted fragte sagte schrieb rief antwortete meinte preguntó dijo escribió respondió perguntou disse escreveu respondeu спросил спросила сказал сказала написал ответил запитав запитала сказав написав відповів पूछा कहा लिखा बोला 问 問 说 說 道 答 喊"
@@ -48,17 +49,17 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "latin": [
         (False, rf"(?:^|\n)\s*(?:\d{{1,3}}|[{UP}{LO}])\.", r"[ \t]"),  # list number at the start of a line
         (False, _B + rf"[{LO}]\.", rf"\s?[{UP}{LO}]\."),  # the first half of an abbreviation of two letters
-        (False, _B + rf"(?:{_alt(BEFORE_NAME)}|{_alt(ALWAYS)})\.", r"\s?[^\s]"),
-        (False, _B + r"(?:[Ii]tem|[Nn]o|[Nn]r)\.", r"\s*\d"),
+        (False, _B + rf"(?:{_alt(BEFORE_NAME)}|(?i:{_alt(ALWAYS)}))\.", r"\s*[^\s]"),
+        (False, _B + rf"(?i:{_alt(BEFORE_NUMBER)})\.", r"\s*[(#№]?\d"),
         (False, rf"(?:^|[^{UP}{LO}])[{UP}]\.", rf"\s?(?!(?:{_alt(STARTERS)})\s)[{UP}]"),  # initials
         (True, _B + rf"(?:{_alt(MAY_END)})\.", rf"\s+[{OPEN}]*[{UP}]|\s*$"),
         (False, _B + rf"(?:{_alt(MAY_END)})\.", r"."),
-        (True, rf"[{LO}0-9%)»”\"]\.", rf"[{OPEN}]*[{UP}][{LO}{UP}]"),  # the space after the stop is missing
+        (True, rf"[{LO}0-9%)»”\"]\.", rf"[{OPEN}]*(?:[{UP}][{LO}{UP}]|[AIOEYÀÉАВИКОСУЯЗІЙ]\s)"),  # the space after the stop is missing
         (False, r"[.!?…]", r"[^\s]"),  # inside a number, version, name or file name
         (True, r"[.!?…]", _NEXT_UP),
         (True, r"[.!?…]", r"\s+[\"“„«(\[「¿¡#*_>|~`\\{<$+=&§-]"),
     ],
-    "thai": [(False, _B + r"(?:ดร|นพ|พ\.ศ|ค\.ศ)\.", r""), (False, r"[.!?…]", r"\s*[฀-๿]"), (True, r"[.!?…]", _NEXT_UP)],
+    "thai": [(False, _B + r"(?:ดร|นพ|พ\.ศ|ค\.ศ)\.", r""), (False, r"\.", r"[^\s]"), (False, r"[.!?…]", r"\s*[฀-๿]"), (True, r"[.!?…]", _NEXT_UP)],
     "danda": [(True, r"[।॥|?!]", r"\s*."), (False, r"\.", r"[^\s]"), (False, _B + rf"(?:{_alt(BEFORE_NAME)})\.", r""), (True, r"\.", _NEXT_UP)],
     "cjk": [
         (False, r"[…‥.]", r"[぀-ヿ㐀-鿿]"),  # an ellipsis inside a sentence
@@ -147,7 +148,7 @@ def _paragraph(text: str, begin: int, stop: int, out: list[int]) -> None:
                     out.append(cut)
                     start, opened = end, False
                 continue
-            if not (text[end : end + 1].islower() or _continues(text, start, cut, end, stop)):
+            if _decide(text, _script_before(text, start, cut), start, cut, stop, True) and not _continues(text, start, cut, end, stop):
                 if cut > (out[-1] if out else 0):
                     out.append(cut)
                 start, opened = end, False
@@ -163,12 +164,7 @@ def _paragraph(text: str, begin: int, stop: int, out: list[int]) -> None:
             continue  # a mark within a quotation or brackets
         if end >= stop:
             break
-        script = "latin"
-        if not plain:
-            for k in range(pos - 1, max(start, pos - 6) - 1, -1):
-                if text[k].isalpha():
-                    script = _script(text[k])
-                    break
+        script = "latin" if plain else _script_before(text, start, pos)
         if ch in "。｡．！？" and script == "latin":
             script = "cjk"
         elif ch in "।॥|" or script == "danda":
@@ -193,12 +189,20 @@ def _continues(text: str, start: int, end: int, follows: int, stop: int) -> bool
     return bool(_SPEECH.search(text, follows, rest.start() if rest else stop))
 
 
-def _decide(text: str, script: str, start: int, pos: int, stop: int) -> bool:
+def _script_before(text: str, start: int, pos: int) -> str:
+    for k in range(pos - 1, max(start, pos - 6) - 1, -1):
+        if text[k].isalpha():
+            return _script(text[k])
+    return "latin"
+
+
+def _decide(text: str, script: str, start: int, pos: int, stop: int, default: bool = False) -> bool:
+    """The verdict of the first rule that matches at pos, default if none does."""
     before = text[max(start, pos - _LOOK) : pos]
     for verdict, b, a in _RULES[script]:
         if a.match(text, pos, stop) and (b is None or b.search(before)):
             return verdict
-    return False
+    return default
 
 
 def sentence_ends(texts: pd.Series) -> pd.Series:

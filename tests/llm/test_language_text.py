@@ -173,3 +173,9 @@ def test_suffix_automaton_against_brute_force():
         subs = {tuple(p[i:j]) for i in range(12) for j in range(i, 13)}
         want = [max(n for n in range(i + 2) if tuple(r[i + 1 - n : i + 1]) in subs) for i in range(20)]
         assert P.SuffixAutomaton(p).longest_matches(r) == want
+
+
+def test_sentence_abbreviations_before_numbers_and_line_breaks():
+    assert units("The label reads v.\n18.4.1, see fig. 2 for details. I said no. Then it went.") == ["The label reads v.\n18.4.1, see fig. 2 for details.", "I said no.", "Then it went."]
+    assert units("According to Dr.\nVel it can be trusted.A short test. He has a Ph.D in it.") == ["According to Dr.\nVel it can be trusted.", "A short test.", "He has a Ph.D in it."]
+    assert units("น้ำหนักคือประมาณ 27.8 กิโลกรัมซึ่งหนัก ดร. Kin เขียน") == ["น้ำหนักคือประมาณ 27.8 กิโลกรัมซึ่งหนัก", "ดร. Kin เขียน"]

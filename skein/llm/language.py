@@ -58,10 +58,10 @@ def script_of(ch: str) -> str:
 
 #: The languages each script can write.
 WRITES = {"latin": ("en", "de", "es", "pt"), "cyrillic": ("ru", "uk"), "deva": ("hi",), "thai": ("th",), "kana": ("ja",), "han": ("zh", "ja"), "other": LANGS}
-_RUNS = re.compile(r"([A-Za-zª-ɏ]+)|([Ѐ-ԯ]+)|([ऀ-ॿ]+)|([฀-๿]+)|([぀-ヿｦ-ﾟ]+)|([㐀-鿿豈-﫿]+)")
+_RUNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)|([Ѐ-ԯ]+)|([ऀ-ॿ]+)|([฀-๿]+)|([぀-ヿｦ-ﾟ]+)|([㐀-鿿豈-﫿]+)")
 
 
-_ANY_RUN = re.compile("[a-zª-ɏ]+|[Ѐ-ԯ]+|[ऀ-ॿ]+|[฀-๿]+|[぀-ヿｦ-ﾟ]+|[㐀-鿿豈-﫿]+")
+_ANY_RUN = re.compile("[a-zß-öø-ɏ]+|[Ѐ-ԯ]+|[ऀ-ॿ]+|[฀-๿]+|[぀-ヿｦ-ﾟ]+|[㐀-鿿豈-﫿]+")
 
 
 def script_counts(text: str) -> dict[str, int]:
@@ -240,7 +240,9 @@ _IN = r"[^\s()（）\[\]“”„«»「」『』\".!?。！？।][^()（）\[\
 _ASIDE = re.compile(rf"\(\s*[“\"„«「]?{_IN}[”“\"»」]?\s*\)|（{_IN}）|\[{_IN}\]|“{_IN}”|„{_IN}[“”]|«{_IN}»|「{_IN}」|『{_IN}』|\"{_IN}\"")
 _QUOTES = re.compile("[(（\\[“„«「『\"]")
 _ASCII = re.compile("[a-z]+")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_BEYOND_LATIN = re.compile("[Ѐ-ԯऀ-ॿ฀-๿぀-ヿｦ-ﾟ㐀-鿿豈-﫿]")
+_BEYOND_CYRILLIC = re.compile("[A-Za-zÀ-ÖØ-öø-ɏऀ-ॿ฀-๿぀-ヿｦ-ﾟ㐀-鿿豈-﫿]")
 #: Words of plain text without a capital: names don't count, and neither does the capitalised first word.
 _ASCII_WORD = re.compile("(?<![A-Za-z])[a-z]+")
 _NAME = re.compile(r"(?<=[\w,;:—–-] )[A-ZА-ЯІЇЄ][\w'’-]+|[A-Za-z]+(?=[぀-鿿ऀ-๿])|(?<=[぀-鿿ऀ-๿])[A-Za-z]+")
@@ -263,6 +265,11 @@ class Identifier:
             if sum(map(len, words)) < self.least_letters:
                 return None
             return self._best(words, WRITES["latin"])
+        one = "cyrillic" if not _BEYOND_CYRILLIC.search(core) else "latin" if not _BEYOND_LATIN.search(core) else None
+        if one:
+            words = pieces_of(_NAME.sub(" ", core)) or pieces_of(core)
+            if sum(map(len, words)) >= self.least_letters:
+                return self._best(words, WRITES[one])
         counts = script_counts(core)
         if sum(counts.values()) < self.least_letters:
             core = text

@@ -36,6 +36,7 @@ _WIKI_LINK = re.compile(r"\[\[[^\[\]\n]+(?:\[[^\[\]\n]*\][^\[\]\n]*)*\]\]")
 _WIKI_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$", re.M)
 _WIKI_QUOTES = re.compile(r"(?<!')('{5}|'{3}|'{2})(?=[^'\s])(.+?)(?<=[^\s'])\1(?!')")
 _WIKI_TEMPLATE = re.compile(r"\{\{(?![{\s]*\})[^{}]*(?:\{\{[^{}]*\}\}[^{}]*)*\}\}")
+_LATEX_BEFORE = re.compile(r"(?<![\w:\\])\\(?!(?:item|hline|newline|noindent|par|centering)(?![A-Za-z]))[A-Za-z]+\*?(?:\[[^\]\n]*\])*\Z")
 _WIKI_TABLE = re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.M | re.S)
 _WIKI_SWITCH = re.compile(r"(?<![A-Za-z0-9_])__[A-Z]{3,}__(?![A-Za-z0-9_])")
 
@@ -183,8 +184,8 @@ class _Reader:
             s = sub("wiki", _WIKI_LINK, self._wiki_link, s)
         if "{|" in s:
             s = sub("wiki", _WIKI_TABLE, self._wiki_table, s)
-        if "{{" in s and "\\" not in s:
-            s = sub("wiki", _WIKI_TEMPLATE, "", s)
+        if "{{" in s:
+            s = self._wiki_templates(s)
         if "==" in s:
             s = sub("wiki", _WIKI_HEAD, lambda m: "\n" + "#" * len(m.group(1)) + f" {m.group(2)}\n", s, heading=True)
         if "''" in s:
@@ -227,6 +228,22 @@ class _Reader:
             self.structure = getattr(self, "structure", 0) + n if heading or listing else getattr(self, "structure", 0)
         return new
 
+    def _wiki_templates(self, s: str) -> str:
+        """Takes templates out; double braces that open the argument of a LaTeX command, or start with one, are no template."""
+
+        def to(m: re.Match) -> str:
+            nonlocal n
+            if s[m.start() + 2 : m.end()].lstrip().startswith("\\") or _LATEX_BEFORE.search(s, max(0, m.start() - 200), m.start()):
+                return m.group()
+            n += 1
+            return ""
+
+        n = 0
+        out = _WIKI_TEMPLATE.sub(to, s)
+        if n:
+            self.kinds.add("wiki")
+        return out
+
     def _wiki_link(self, m: re.Match) -> str:
         body = m.group()[2:-2]
         space, colon, _ = body.partition(":")

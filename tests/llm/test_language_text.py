@@ -110,6 +110,18 @@ def test_markup_kinds(text, kinds):
     assert M.read_markup(text)[0] == kinds
 
 
+TEMPLATES = [
+    ("x \\footnote{a}\n\ny.{{cite note|title=b|year=1957}}", ["wiki", "latex"], "x  (a)\n\ny."), ("see \\emph{a} b {{cite|b=1}} c", ["wiki", "latex"], "see a b  c"), ("C:\\new\\list {{stub}}", ["wiki"], "C:\\new\\list "),
+    ("{{cite|a=1}} \\textbf{{b}}", ["wiki", "latex"], None), ("x \\textbf{{b}} y", ["latex"], None), ("x \\section[a]{{b}} y", ["latex"], None), ("{{\\bf b}} C:\\x", [], None), ("$\\frac{{a}}{{b}}$", ["latex"], None),
+]
+
+
+@pytest.mark.parametrize("text,kinds,clean", TEMPLATES)
+def test_templates_beside_backslashes(text, kinds, clean):
+    got, pieces = M.read_markup(text)
+    assert got == kinds and (clean is None or "".join(s for _, s in pieces) == clean)
+
+
 def test_clean_markup_keeps_structure_and_drops_template(spark):
     page = "<h2>Head</h2><ul><li>one</li><li>two</li></ul><pre>a < b</pre>\n\n$x^2$ and **bold**"
     rows_ = [("c", i, "f", "h", f"h/{i}", "<nav>Home <b>About</b></nav>Own text number %d" % i) for i in range(30)]

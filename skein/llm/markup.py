@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from skein.session import spread
 
 KINDS = ("html", "markdown", "wiki", "latex")
+#: Pages a host must have before a share of them means anything.
+RECURRING = 3
 
 # Names of HTML elements (fixed values).
 TAGS = "a abbr acronym address applet area article aside audio b base basefont bdi bdo big blink blockquote body br button canvas caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input ins kbd label legend li link main map mark marquee math menu meta meter nav nobr noframes noscript object ol optgroup option output p param picture pre progress q ref rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr"
 _NAMES = "|".join(sorted(TAGS.split(), key=len, reverse=True))
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+# Elements that site template may consist of; headings, list items, cells, paragraphs and code are never deleted by themselves.
+BLOCKS = {"aside", "div", "dl", "footer", "form", "header", "menu", "nav", "ol", "section", "table", "ul"}
 # LaTeX commands that need no brace (fixed values).
 COMMANDS = "alpha beta gamma delta epsilon varepsilon zeta eta theta lambda mu nu xi pi rho sigma tau phi varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Phi Psi Omega le leq ge geq ne neq approx equiv sim times cdot pm mp div sum prod int oint infty partial nabla forall exists in notin subset subseteq cup cap to rightarrow leftarrow Rightarrow mapsto ldots cdots dots quad qquad item hline newline linebreak noindent maketitle tableofcontents centering par LaTeX TeX sin cos tan log ln exp lim max min sqrt left right bigl bigr ell hbar circ"
 
@@ -112,7 +116,7 @@ class _Reader:
         self.kinds.add("latex")
         return self.keep(f"$$ {body.strip()} $$" if m.group(1) is not None or m.group(3) is not None else f"${body.strip()}$")
 
-    # -- HTML: a tree of elements; every subtree has a hash, every piece of text the hashes of its ancestors
+    # -- HTML: a tree of elements; block subtrees of several children have a hash, every piece of text the hashes of its ancestors
 
     def pieces(self) -> list[tuple[list[int], str]]:
         s = self.text
@@ -126,15 +130,17 @@ class _Reader:
             return [([], s)]
         self.kinds.add("html")
         runs: list[tuple[int, int, str]] = []  # start, end, what the tag before it leaves
-        elements: list[list] = []  # tag, start, end
+        elements: list[list] = []  # tag, start, end, children (elements and runs of text)
         stack: list[int] = []
         at, lead = 0, ""
         for m in marks:
             runs.append((at, m.start(), lead))
+            if stack and s[at : m.start()].strip():
+                elements[stack[-1]][3] += 1
             at, lead = m.end(), ""
             name = (m.group(2) or "").lower()
             if not name:
-                elements.append(["!", m.start(), m.end()])
+                elements.append(["!", m.start(), m.end(), 0])
                 continue
             closing = bool(m.group(1))
             if name in ("pre", "code", "script", "style") and not closing:
@@ -157,13 +163,16 @@ class _Reader:
                             elements[e][2] = m.end()
                         del stack[k:]
                         break
-            elif name in VOID or m.group().endswith("/>"):
-                elements.append([name, m.start(), m.end()])
+                continue
+            if stack and name not in ("br", "hr"):
+                elements[stack[-1]][3] += 1
+            if name in VOID or m.group().endswith("/>"):
+                elements.append([name, m.start(), m.end(), 0])
             else:
                 stack.append(len(elements))
-                elements.append([name, m.start(), len(s)])
+                elements.append([name, m.start(), len(s), 0])
         runs.append((at, len(s), lead))
-        hashes = [(a, b, xxhash.xxh64_intdigest(" ".join(s[a:b].split())) - (1 << 63), tag) for tag, a, b in elements]
+        hashes = [(a, b, xxhash.xxh64_intdigest(" ".join(s[a:b].split())) - (1 << 63) if tag in BLOCKS and n > 1 else None, tag) for tag, a, b, n in elements]
         out = []
         for a, b, lead in runs:
             over = [(h, tag) for x, y, h, tag in hashes if x < a and b <= y and y - x > 0 and not (y <= a)]
@@ -173,7 +182,7 @@ class _Reader:
             elif any(tag in ("script", "style") for _, tag in over):
                 body = ""
             if body:
-                out.append(([h for h, _ in over], body))
+                out.append(([h for h, _ in over if h is not None], body))
         return out
 
     # -- the other kinds, in one piece
@@ -279,7 +288,7 @@ class _Reader:
 
 
 def read_markup(text: str | None) -> tuple[list[str], list[tuple[list[int], str]]]:
-    """(kinds, pieces): the kinds of markup in a text, and its clean text in pieces with the hashes of the element subtrees they stand in."""
+    """(kinds, pieces): the kinds of markup in a text, and its clean text in pieces with the hashes of the block subtrees they stand in."""
     if text is None:
         return [], []
     text = text.replace("\r\n", "\n")
@@ -309,17 +318,18 @@ def _read(texts: pd.Series) -> pd.DataFrame:
 
 
 def _subtrees(texts: pd.Series) -> pd.Series:
-    """Hashes of the element subtrees in each text."""
+    """Hashes of the block subtrees in each text."""
     return texts.map(lambda t: sorted({h for over, _ in read_markup(t)[1] for h in over}))
 
 
-def clean_markup(fields: DataFrame, min_pages: int = 20, min_share: float = 0.01) -> DataFrame:
+def clean_markup(fields: DataFrame, min_share: float = 0.5) -> DataFrame:
     """(tbl, row_id, field, kinds, clean_text, n_template): clean text of every field, and the kinds of markup it held.
 
-    fields: (tbl, row_id, field, host, page, content). Method: markup is read into a tree; every element subtree
-    is hashed; the pages of each host that hold a subtree are counted in Spark; subtrees on at least min_pages
-    pages and min_share of the host's pages are site template and are deleted. What remains keeps its structure:
-    "# " headings, "- " lists, fenced code, $ formulas; tables become rows with " | ".
+    fields: (tbl, row_id, field, host, page, content). Method: markup is read into a tree; every block
+    subtree with several children (BLOCKS) is hashed; the pages of each host that hold a subtree are counted in
+    Spark; subtrees on at least min_share of the host's pages are site template and are deleted, whatever the
+    size of the table. Hosts with fewer than RECURRING pages show no recurrence and keep everything. What remains
+    keeps its structure: "# " headings, "- " lists, fenced code, $ formulas; tables become rows with " | ".
 
     The counts join back on (host, hash, salt): the recurring subtrees, few for each host (at most the number of
     subtrees a page holds on average, divided by min_share), are repeated for each salt, so a subtree that a third
@@ -336,7 +346,7 @@ def clean_markup(fields: DataFrame, min_pages: int = 20, min_share: float = 0.01
     held = held.select("tbl", "row_id", "field", "_host", "_page", F.explode("_h").alias("_hash"))
     per_hash = held.select("_host", "_page", "_hash").distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n"))
     pages = own.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    template = per_hash.join(pages, "_host").filter((F.col("_n") >= min_pages) & (F.col("_n") >= min_share * F.col("_pages")))
+    template = per_hash.join(pages, "_host").filter((F.col("_pages") >= RECURRING) & (F.col("_n") >= min_share * F.col("_pages")))
     salted = template.select(F.col("_host").alias("_th"), F.col("_hash").alias("_tx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ts"))
     hits = held.withColumn("_salt", F.pmod(F.xxhash64("tbl", "row_id", "field"), F.lit(salts)).cast("int"))
     hits = hits.join(salted, (F.col("_host") == F.col("_th")) & (F.col("_hash") == F.col("_tx")) & (F.col("_salt") == F.col("_ts")), "left_semi")

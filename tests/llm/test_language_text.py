@@ -136,6 +136,21 @@ def test_clean_markup_keeps_structure_and_drops_template(spark):
     assert M.clean_markup(df.limit(0)).count() == 0
 
 
+def test_clean_markup_is_the_same_at_two_sizes(spark):
+    nav = '<div class="menu"><a>Home</a> <a>About</a></div>'
+    parts = ("<h2>Background</h2>", "<ul><li>mill</li><li>mill</li></ul>", "<table><tr><th>Repairs</th><td>none</td></tr></table>", "<p>by <code>run()</code></p>")
+    got = []
+    for n in (12, 120):
+        rows_ = [("c", i, "f", "h", f"h/{i}", f"{nav}{parts[i % 4]} own text <h3>Notes</h3>") for i in range(n)]
+        rows_ += [("c", n + i, "f", None, None, f"{nav}{parts[i]} own text <h3>Notes</h3>") for i in range(4)] + [("c", n + 4 + i, "f", "few", f"few/{i}", nav) for i in range(2)]
+        out = {r.row_id: r for r in M.clean_markup(spark.createDataFrame(rows_, "tbl string, row_id int, field string, host string, page string, content string")).collect()}
+        got.append({out[i].clean_text for i in range(n)})
+        assert all(out[i].n_template == 1 and "Home" not in out[i].clean_text and out[i].clean_text.endswith("### Notes") for i in range(n))
+        assert all(out[i].n_template == 0 and "Home About" in out[i].clean_text for i in range(n, n + 6))
+    assert got[0] == got[1] and len(got[0]) == 4
+    assert all(any(w in t for t in got[0]) for w in ("## Background", "- mill\n- mill", "Repairs | none", "by run()"))
+
+
 @pytest.mark.parametrize(
     "text,kind",
     [

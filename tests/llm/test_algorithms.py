@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import borda, mixing, neighbours, packing, topn
+from skein.llm import borda, mixing, nearcopies, neighbours, packing, topn
 
 
 def test_top_n_against_brute_force(spark):
@@ -110,6 +110,31 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0), limits).count() == 0
 
 
+def test_near_sets_against_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    texts = ["common phrase in every one of them " + " ".join(rng.choice(words) for _ in range(rng.randrange(3, 120))) for _ in range(60)]
+    for t in texts[:40]:
+        w = t.split()
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += ["blah " * 9, "blah " * 20, "a b c", "a b d", "種子庫的記錄顯示潮汐鐘每天早上都要手動調整一次才行，而且必須寫下來。", "種子庫的記錄顯示潮汐鐘每天早上都要手動調整一次才行，而且必須寫下來！"]
+    sets = [frozenset(nearcopies.shingles(t, {}).tolist()) for t in texts]
+    ids = [nearcopies._set_id(nearcopies.shingles(t, {})) for t in texts]
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(texts)) for j in range(i) if ids[i] != ids[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts)), "doc_id long, folded string").withColumn("set_id", nearcopies.shingle_set_id(F.col("folded")))
+    assert {tuple(r) for r in nearcopies.near_sets(df).collect()} == want and len(want) > 8
+    assert len({ids[-6], ids[-5]}) == 1 and ids[-4] != ids[-3] and (min(ids[-2:]), max(ids[-2:])) in want
+
+
+def test_near_copies_never_share_a_container(spark):
+    base = [f"word{i}" for i in range(100)]
+    docs = [(i, " ".join([*base[: 50 + i], "other", *base[51 + i :]]), "a") for i in (0, 20, 40)] + [(9, "quite another text of a few words", "a")]
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([("one", 4096)], "container_kind string, capacity_tokens int")).collect()
+    assert len({r.container_id for r in rows}) == 3 and len(rows) == 4
+
+
 def test_subset_counts_against_brute_force():
     rng = random.Random(6)
     for _ in range(60):

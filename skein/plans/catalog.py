@@ -482,7 +482,7 @@ def pipeline_property_graph(t):
     mentions = S.phrase_matches(t("chunks").select(F.col("chunk_id").cast("string").alias("chunk"), "text"), a, "chunk", "text").select(F.col("chunk").cast("long").alias("doc"), F.col("rel_path").alias("entity"))
     short = lambda c: X.alias_key(F.regexp_extract(X.title_of(F.col(c)), r"^\S+ \S+ (.+)$", 1))
     edges = _edges(t).select(short("src").alias("src"), short("dst").alias("dst"), "relation").filter("src <> '' AND dst <> ''").distinct()
-    return R.run_property_graph(_questions(t), t("chunks"), a.select(F.col("alias").alias("node"), F.col("alias").alias("display_name")), mentions, edges, max_hops=1).select("query_id", "rank_no", "text_key", "score")
+    return R.run_property_graph(_questions(t), t("chunks"), a.select(F.col("alias").alias("node"), F.col("alias").alias("display_name")), mentions, edges, max_hops=3).select("query_id", "rank_no", "text_key", "score")
 
 
 @query

@@ -188,3 +188,12 @@ def test_standing_of_values(spark, rows):
     got = {(r.g, r.v): (r.n_lower, r.n_equal) for r in standing_of_values(spark.createDataFrame(data, "g string, v double"), ["g"], "v").collect()}
     for g, v in data:
         assert got[g, v] == (sum(1 for h, w in data if h == g and w < v), sum(1 for h, w in data if h == g and w == v))
+
+
+def test_property_graph_query_takes_three_hops(spark, monkeypatch):
+    from skein.plans import catalog
+
+    hops, khop = [], G.khop_undirected
+    monkeypatch.setattr(G, "khop_undirected", lambda seeds, edges, n, *rest: hops.append(n) or khop(seeds, edges, n, *rest))
+    catalog.QUERIES["pipeline_property_graph"](spark, "/root/testdata/sf0.001")
+    assert hops == [3]

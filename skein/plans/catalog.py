@@ -228,6 +228,24 @@ def strict_retrieval(t):
     return R.strict_candidates(docs, _aliases(t)).select("source_path", "target_path", "target_content", "reranker_score")
 
 
+def _names(t) -> DataFrame:
+    """(vault, alias, file_path): titles, stems and the phrases behind the coined words, with every note of that name."""
+    name = F.explode(F.array(X.title_of(F.col("rel_path")), F.col("stem"), F.regexp_extract("stem", r"^[^_]+_[^_]+_(.+)$", 1)))
+    n = t("notes").select("vault", _path().alias("file_path"), name.alias("name"))
+    return n.select("vault", X.alias_key(F.col("name")).alias("alias"), "file_path").filter("alias <> ''").distinct()
+
+
+@query
+def phrase_notes(t):
+    return _names(t)
+
+
+@query
+def strict_note_retrieval(t):
+    docs = t("notes").filter("body IS NOT NULL").select("vault", _path().alias("file_path"), F.col("body").alias("text"))
+    return R.strict_note_candidates(docs, _names(t))
+
+
 @query
 def proximity_match(t):
     p = X.phrase_lemmas(F.regexp_extract("entity", r"^[^_]+_[^_]+_(.+)$", 1))

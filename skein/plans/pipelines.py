@@ -40,6 +40,21 @@ def strict_candidates(docs: DataFrame, aliases: DataFrame, before: int = 1, afte
     return first.join(docs.select("file_path", F.col("text").alias("source_content")), "file_path").select(F.col("file_path").alias("source_path"), "source_content", F.col("rel_path").alias("target_path"), "target_content", F.lit(0.0).alias("vector_distance"), F.lit(1.0).alias("reranker_score"))
 
 
+def strict_note_candidates(docs: DataFrame, names: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
+    """(source_path, target_path, target_content): notes of the own vault that docs (vault, file_path, text) name by a title or alias of names (vault, alias, file_path).
+
+    Phrases are searched once each; then (vault, phrase) leads to all notes of that name, the own note left out. The
+    context is that of the first sentence with any name of the note.
+    """
+    sents = C.sentence_windows(docs, "file_path", "text", before, after).join(C.sentence_rows(docs, "file_path", "text"), ["file_path", "idx"])
+    keyed = sents.withColumn("_k", F.concat_ws("\u0001", "file_path", F.col("idx").cast("string")))
+    phrases = names.select("alias", F.col("alias").alias("rel_path")).distinct()
+    hits = S.phrase_matches(keyed.select("_k", "sentence"), phrases, "_k", "sentence").join(keyed.select("_k", "file_path", "idx", "window"), "_k")
+    named = hits.select("file_path", "idx", "token_pos", "window", F.col("rel_path").alias("alias")).join(docs.select("file_path", "vault"), "file_path")
+    found = named.join(names.select("vault", "alias", F.col("file_path").alias("target_path")).distinct(), ["vault", "alias"]).filter("file_path <> target_path")
+    return found.groupBy(F.col("file_path").alias("source_path"), "target_path").agg(F.min_by("window", F.struct("idx", "token_pos")).alias("target_content"))
+
+
 def combined_candidates(strict: DataFrame, broad: DataFrame) -> DataFrame:
     return L.union_first_wins(strict, broad, ["source_path", "target_path", "target_content"])
 

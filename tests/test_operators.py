@@ -197,3 +197,12 @@ def test_property_graph_query_takes_three_hops(spark, monkeypatch):
     monkeypatch.setattr(G, "khop_undirected", lambda seeds, edges, n, *rest: hops.append(n) or khop(seeds, edges, n, *rest))
     catalog.QUERIES["pipeline_property_graph"](spark, "/root/testdata/sf0.001")
     assert hops == [3]
+
+
+def test_strict_candidates_lead_to_notes_of_the_vault(spark, rows):
+    from skein.plans import pipelines as R
+
+    docs = spark.createDataFrame([("v", "v/a.md", "First line. See the salt pan here."), ("v", "v/b.md", "The salt pan."), ("w", "w/c.md", "A salt pan.")], "vault string, file_path string, text string")
+    names = spark.createDataFrame([("v", "salt pan", "v/b.md"), ("v", "salt pan", "v/d.md"), ("w", "salt pan", "w/e.md")], "vault string, alias string, file_path string")
+    got = rows(R.strict_note_candidates(docs, names), "source_path", "target_path")
+    assert got == [("v/a.md", "v/b.md"), ("v/a.md", "v/d.md"), ("v/b.md", "v/d.md"), ("w/c.md", "w/e.md")]

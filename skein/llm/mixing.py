@@ -2,49 +2,65 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skein.llm.tokens import token_count
 from skein.session import materialize, spread
 
-#: The dynamic programme closes budgets up to this many tokens; larger remainders are filled from the longest documents first.
-PROGRAMME_TOKENS = 65_536
-
-
 def subset_counts(lengths: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their sum comes as near to budget as can be without exceeding it.
 
-    Bounded knapsack over reachable sums as bit sets; multiplicities are split into powers of two.
+    Bounded knapsack over reachable sums; multiplicities are split into powers of two. For every sum the step that
+    reached it first is kept, so memory is a few bytes a token of budget however many lengths there are.
     """
+    budget = max(0, int(budget))
+    reached = np.zeros(budget + 1, dtype=bool)
+    first = np.full(budget + 1, -1, dtype=np.int32)
+    reached[0] = True
     steps: list[tuple[int, int]] = []
     for n, c in sorted(lengths.items(), reverse=True):
-        power = 1
-        while n > 0 and c > 0 and n <= budget:
-            take = min(power, c)
-            if take * n <= budget:
-                steps.append((n, take))
-            c -= take
+        if n <= 0:
+            continue
+        power, c = 1, min(c, budget // n)
+        while c > 0 and not reached[budget]:
+            k = min(power, c)
+            new = np.flatnonzero(reached[: budget + 1 - n * k] & ~reached[n * k :]) + n * k
+            first[new] = len(steps)
+            reached[new] = True
+            steps.append((n, k))
+            c -= k
             power *= 2
-    mask = (1 << (budget + 1)) - 1
-    reach = [1]
-    for n, k in steps:
-        if reach[-1] >> budget & 1:  # reached exactly
-            break
-        reach.append((reach[-1] | reach[-1] << n * k) & mask)
-    at = reach[-1].bit_length() - 1
+    at = int(np.flatnonzero(reached)[-1])
     out: dict[int, int] = {}
-    for i in range(len(reach) - 1, 0, -1):
-        if reach[i - 1] >> at & 1:
-            continue
-        n, k = steps[i - 1]
+    while at:
+        n, k = steps[first[at]]
         out[n] = out.get(n, 0) + k
         at -= n * k
     return out
 
 
-def choose_counts(lengths: dict[int, int], budget: int, max_repeats: int) -> tuple[int, dict[int, int]]:
-    """(passes, extra): every document is used passes times, and extra[n] documents of length n once more."""
+def even_counts(lengths: dict[int, int], budget: int) -> dict[int, int]:
+    """The same share of every length, together at most budget: what a length can't use up is carried to the shorter ones."""
+    whole = sum(n * c for n, c in lengths.items())
+    out, carry = {}, 0
+    for n, c in sorted(lengths.items(), reverse=True):
+        carry += n * c * budget  # in units of 1 / whole
+        out[n] = min(c, carry // (n * whole))
+        carry -= out[n] * n * whole
+    return out
+
+
+def choose_counts(lengths: dict[int, int], budget: int, max_repeats: int, precision: float = 1e-6) -> tuple[int, dict[int, int]]:
+    """(passes, extra): every document is used passes times, and extra[n] documents of length n once more.
+
+    What whole passes leave of the budget is met by an even share of all lengths up to a reserve of one longest
+    document, and the reserve by the knapsack programme over all documents left. Where the sum misses the budget by more
+    than precision of it, the reserve grows fourfold, at last to the whole budget, which is the exact optimum.
+    """
     whole = sum(n * c for n, c in lengths.items())
     if whole <= 0 or budget <= 0 or max_repeats <= 0:
         return 0, {}
@@ -52,21 +68,16 @@ def choose_counts(lengths: dict[int, int], budget: int, max_repeats: int) -> tup
     left = budget - passes * whole
     if passes >= max_repeats or left <= 0:
         return int(passes), {}
-    extra = {n: c * left // whole for n, c in lengths.items()}  # the same share of every length first
-    left -= sum(n * c for n, c in extra.items())
-    for n in sorted(lengths, reverse=True):
-        if left <= PROGRAMME_TOKENS:
+    reserve, unit = max(lengths), math.gcd(*lengths)
+    while True:
+        extra = even_counts(lengths, max(0, left - reserve))
+        rest = left - sum(n * c for n, c in extra.items())
+        more = subset_counts({n: c - extra[n] for n, c in lengths.items()}, rest)
+        missed = rest - sum(n * k for n, k in more.items())
+        if missed <= max(precision * budget, left % unit) or reserve >= left:
             break
-        more = min(lengths[n] - extra[n], (left - PROGRAMME_TOKENS // 2) // n)
-        if more > 0:
-            extra[n] += more
-            left -= more * n
-    if left > PROGRAMME_TOKENS:  # only where documents are longer than that
-        for n in sorted(lengths, reverse=True):
-            more = min(lengths[n] - extra[n], left // n)
-            extra[n] += more
-            left -= more * n
-    for n, k in subset_counts({n: c - extra[n] for n, c in lengths.items()}, int(min(left, PROGRAMME_TOKENS))).items():
+        reserve *= 4
+    for n, k in more.items():
         extra[n] += k
     return int(passes), {n: c for n, c in extra.items() if c}
 
@@ -83,11 +94,17 @@ def _plan(documents: DataFrame, weights: DataFrame, total_tokens: int | None, to
     want = weights.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).filter("source IS NOT NULL")
     have = sized.filter("n_tokens > 0 AND source IS NOT NULL").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
     stock = have.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
-    usable = stock.join(want.filter("target_share > 0 AND max_repeats > 0"), "source")
-    # shares of sources without documents fall to the others in proportion
-    whole = usable.agg(F.sum("target_share").alias("_s"), F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share")).alias("_t"))
-    size = F.lit(total_tokens).cast("double") if total_tokens is not None else F.col("_t") * F.col("_s")
-    budget = usable.crossJoin(F.broadcast(whole)).select("source", "max_repeats", F.least(F.floor(size * F.col("target_share") / F.col("_s") + 1e-6), F.col("tokens") * F.col("max_repeats")).alias("budget"))
+    usable = stock.join(want.filter("target_share > 0 AND max_repeats > 0"), "source").withColumn("cap", F.col("tokens") * F.col("max_repeats"))
+    # shares of sources without documents fall to the others in proportion, and so does what a source at its cap can't give:
+    # sources are filled in the order in which they reach their caps; the table has one row a listed source
+    short = W.orderBy(F.col("cap") / F.col("target_share"), "source")
+    past = short.rowsBetween(W.unboundedPreceding, -1)
+    size = F.lit(total_tokens).cast("double") if total_tokens is not None else F.sum("tokens").over(W.partitionBy()).cast("double")
+    level = (size - F.coalesce(F.sum("cap").over(past), F.lit(0))) / (F.sum("target_share").over(W.partitionBy()) - F.coalesce(F.sum("target_share").over(past), F.lit(0.0)))
+    # the first source that stays below its cap has the highest level of those that do, and it is common to them
+    levels = usable.withColumn("_level", level).withColumn("_full", F.col("_level") * F.col("target_share") >= F.col("cap") * (1 - 1e-12))
+    common = levels.agg(F.max(F.when(~F.col("_full"), F.col("_level"))).alias("_common"))
+    budget = levels.crossJoin(F.broadcast(common)).select("source", "max_repeats", F.when(F.col("_full"), F.col("cap")).otherwise(F.floor(F.col("_common") * F.col("target_share") + 1e-6)).cast("long").alias("budget"))
     picks = have.join(budget, "source").groupBy("source").applyInPandas(_choose, "source string, n_tokens long, n_docs long, passes long, extra long")
     return sized, materialize(picks, "mix-picks")
 
@@ -96,13 +113,14 @@ def mix_sources(documents: DataFrame, weights: DataFrame, total_tokens: int | No
     """(doc_id, source, n_tokens, times, target_share, actual_share): the documents of the mix and how often each is used.
 
     Method: documents are counted by (source, exact token length); each source's budget is met by whole passes over
-    it and a subset of lengths, found by bounded-knapsack dynamic programming over the counts; documents of a
-    length are then taken in the order of a seeded hash. times never exceeds max_repeats.
-
-    total_tokens None makes the mix as large as the target shares allow: until the first source is used up. With a
-    size given, sources that can't fill their budget fall short and actual_share says so. Sources that have no
-    documents or aren't listed contribute nothing; the shares of listed ones without documents go to the others in
-    proportion. Null sources, and texts without tokens, don't take part. Repeated weight rows count once (largest).
+    it and a subset of lengths, found by bounded-knapsack dynamic programming over the counts (see choose_counts); documents
+    of a length are then taken in the order of a seeded hash. times never exceeds max_repeats.
+
+    total_tokens None makes the mix as large as the listed sources that have documents, each counted once, so it grows with
+    them. A source whose stock times max_repeats is less than its part of the size is used up; what it can't give, like the
+    shares of listed sources without documents, goes to the others in proportion, and actual_share says what each
+    reached. Sources that aren't listed contribute nothing. Null sources, and texts without tokens, don't take part.
+    Repeated weight rows count once (largest).
     """
     sized, picks = _plan(documents, weights, total_tokens, tokenizer)
     used = picks.groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("passes") * F.col("n_docs") + F.col("extra"))).alias("_used"))

@@ -53,6 +53,10 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_weights"))
 
 
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p9_mix(spark, d), table(spark, d, "documents"), table(spark, d, "source_weights"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.content_free(table(spark, d, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_pack": p8_pack,
     "p9_mix": p9_mix,
+    "p9_report": p9_report,
     "p10_found": p10_found,
 }
 

@@ -12,12 +12,13 @@ from skein.llm.tokens import token_count
 from skein.session import materialize, spread
 
 
-def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity: int, distinct_sources: bool = False) -> list[int]:
-    """Container number of each item: the tightest container with room that holds none of the item's duplicates.
+def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity: int, source_share: float = 0.5) -> list[int]:
+    """Container number of each item: the tightest container with room that holds none of the item's duplicates nor enough of its source.
 
     Items are taken from the largest down. Containers are ordered by residual room; the search starts at the
     smallest residual that fits and goes on to its successors until one is compatible by its bitmaps; else a new
-    container opens. With distinct_sources two items of one source never share a container. cluster or source
+    container opens. The source bitmap of a container has the sources that hold source_share of its capacity or more:
+    they get no further item there. 0 keeps two items of one source apart always, 1 binds nothing. cluster or source
     -1: none.
     """
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
@@ -27,14 +28,15 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
     bit = {c: 1 << n for n, c in enumerate(c for c, k in count.items() if k > 1 and c != -1)}
     source_bit = {s: 1 << n for n, s in enumerate(sorted(set(sources) - {-1}))}
     room: list[tuple[int, int]] = []  # (residual, container), ordered
-    held: list[list[int]] = []  # bitmaps of each container: duplicate clusters, sources
+    held: list[list[int]] = []  # bitmaps of each container: duplicate clusters, sources with their share
+    by_source: dict[tuple[int, int], int] = {}
     out = [0] * len(sizes)
     for i in order:
         size, cb, sb = sizes[i], bit.get(clusters[i], 0), source_bit.get(sources[i], 0)
         at = bisect_left(room, (size, -1))
         while at < len(room):
             b = room[at][1]
-            if not held[b][0] & cb and not (distinct_sources and held[b][1] & sb):
+            if not held[b][0] & cb and not held[b][1] & sb:
                 break
             at += 1
         if at < len(room):
@@ -43,19 +45,21 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
             left, b = capacity, len(held)
             held.append([0, 0])
         held[b][0] |= cb
-        held[b][1] |= sb
+        by_source[b, sb] = by_source.get((b, sb), 0) + size
+        if by_source[b, sb] >= source_share * capacity:
+            held[b][1] |= sb
         insort(room, (left - size, b))
         out[i] = b
     return out
 
 
-def _pack(round_no: int, loose_above: float | None, distinct_sources: bool):
+def _pack(round_no: int, loose_above: float | None, source_share: float):
     """Packs one group; containers with more than loose_above of their capacity free are given back as loose items (container null)."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "part_no"], kind="stable").reset_index(drop=True)
         capacity = int(pdf["capacity"].iat[0])
-        bins = best_fit(pdf["n_tokens"].tolist(), pdf["cluster"].tolist(), pdf["source_no"].tolist(), capacity, distinct_sources)
+        bins = best_fit(pdf["n_tokens"].tolist(), pdf["cluster"].tolist(), pdf["source_no"].tolist(), capacity, source_share)
         pdf["_bin"] = bins
         fill = pdf.groupby("_bin")["n_tokens"].transform("sum")
         prefix = f"{pdf['container_kind'].iat[0]}-{round_no}-{pdf['shard'].iat[0]}-"
@@ -70,18 +74,19 @@ def _pack(round_no: int, loose_above: float | None, distinct_sources: bool):
 _ITEM = "container_kind string, capacity long, container_id string, doc_id long, part_no int, n_tokens long, cluster long, source_no long"
 
 
-def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str | None = None, group_rows: int = 20_000, distinct_sources: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str | None = None, group_rows: int = 20_000, source_share: float = 0.5) -> DataFrame:
     """(container_kind, container_id, doc_id, part_no, n_tokens): an assignment of every document to containers of every kind.
 
     Sizes are tokens of a public tokenizer. A document beyond the capacity fills whole containers with its first
     parts (part_no from 0, capacity tokens each) and its remainder is packed like any other; no other document is
     split. Method: conflict-constrained best fit (see best_fit); copies of a text, equal after folding case and
     white space, and near copies never share a container of a kind. Near copies have a Jaccard similarity of 0.8 of
-    their 5-word shingles (see nearcopies), directly or over others.
+    their 5-word shingles (see nearcopies), directly or over others. A source that holds source_share of a container gets
+    no further document into it, so no container is filled by one source while others are at hand.
 
     Documents are packed in groups of about group_rows by hash, so no task sees all of them; containers left more
-    than a twentieth empty are opened again and their items packed together in a second round, so the groups cost
-    next to no room. Null and empty texts have size 0 and still get a place; a null source is a source; an empty
+    than a twentieth empty are opened again and their items packed together in a second round, without the limit on
+    sources (what is left then may be of one source only), so neither the groups nor that limit cost much room. Null and empty texts have size 0 and still get a place; a null source is a source; an empty
     table gives an empty result; limits without a positive capacity are left out; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
@@ -100,16 +105,16 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str | Non
     rest = rest.select("container_kind", "capacity", "doc_id", F.col("full").alias("part_no"), F.col("left").alias("n_tokens"), "cluster", "source_no")
 
     n = items.count()
-    first = _rounds(rest, n, group_rows, 1, 0.05, distinct_sources)
+    first = _rounds(rest, n, group_rows, 1, 0.05, source_share)
     first = materialize(first, "pack-first")
     loose = first.filter(F.col("container_id").isNull()).drop("container_id")
     n_loose = loose.groupBy("container_kind").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first().m
-    second = _rounds(loose, n_loose, 2 * group_rows, 2, None, distinct_sources)
+    second = _rounds(loose, n_loose, 2 * group_rows, 2, None, 1.0)
     columns = ["container_kind", "container_id", "doc_id", "part_no", "n_tokens"]
     return whole.select(columns).unionByName(first.filter(F.col("container_id").isNotNull()).select(columns)).unionByName(second.select(columns))
 
 
-def _rounds(rest: DataFrame, n: int, group_rows: int, round_no: int, loose_above: float | None, distinct_sources: bool) -> DataFrame:
+def _rounds(rest: DataFrame, n: int, group_rows: int, round_no: int, loose_above: float | None, source_share: float) -> DataFrame:
     groups = max(1, -(-n // group_rows))
     sharded = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(round_no)), F.lit(groups)).cast("int"))
-    return sharded.groupBy("container_kind", "shard").applyInPandas(_pack(round_no, loose_above, distinct_sources), _ITEM)
+    return sharded.groupBy("container_kind", "shard").applyInPandas(_pack(round_no, loose_above, source_share), _ITEM)

@@ -81,10 +81,21 @@ def test_best_fit_keeps_copies_apart():
     for s, b in zip(sizes, bins):
         load[b] += s
     assert max(load.values()) <= 100 and bins[1] != bins[2] and len(load) == 3
-    apart = packing.best_fit(sizes, clusters, sources, 100, distinct_sources=True)
+    apart = packing.best_fit(sizes, clusters, sources, 100, source_share=0)
     assert all(apart[i] != apart[j] for i in range(8) for j in range(i) if sources[i] == sources[j])
 
 
+def test_a_source_with_its_share_gets_nothing_more_into_a_container():
+    sizes, sources = [30] * 12, [1] * 6 + [2] * 6
+    bins = packing.best_fit(sizes, [-1] * 12, sources, 120, source_share=0.5)
+    held = defaultdict(list)
+    for b, s in zip(bins, sources):
+        held[b].append(s)
+    assert all(sorted(v) == [1, 1, 2, 2] for v in held.values())
+    free = packing.best_fit(sizes, [-1] * 12, sources, 120, source_share=1)
+    assert [free[i] for i in range(4)] == [0] * 4
+
+
 def test_pack_documents(spark):
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choice(["mill", "river", "wheel"]) for _ in range(rng.randrange(1, 400))), rng.choice("ab")) for i in range(200)]
@@ -174,3 +185,40 @@ def test_mix_sources(spark):
     small = mixing.mix_sources(df, w, total_tokens=1000).agg(F.sum(F.col("n_tokens") * F.col("times"))).first()[0]
     assert 950 <= small <= 1000
     assert mixing.mix_sources(df.limit(0), w).count() == 0
+
+
+def test_choose_counts_is_exact_at_every_size():
+    rng = random.Random(3)
+    for scale in (1, 50, 20_000):
+        lengths = {n: scale * rng.randrange(1, 6) for n in (3, 17, 120, 731, 5_003)}
+        whole = sum(n * c for n, c in lengths.items())
+        for share in (0.13, 0.5, 0.97, 1.4):
+            budget = int(whole * share)
+            passes, extra = mixing.choose_counts(lengths, budget, 2)
+            assert all(0 <= extra[n] <= lengths[n] for n in extra)
+            used = passes * whole + sum(n * c for n, c in extra.items())
+            missed = budget - used
+            if scale == 1:
+                sums = {0}
+                for n, c in lengths.items():
+                    sums = {s + n * k for s in sums for k in range(c + 1)}
+                left = budget - passes * whole
+                assert missed == left - max(s for s in sums if s <= left)
+            else:
+                assert 0 <= missed <= 1e-6 * budget + 1, (scale, share, missed)
+    assert mixing.choose_counts({10: 4}, 35, 1) == (0, {10: 3})  # no sum comes nearer
+
+
+def test_short_sources_are_used_up_and_their_share_goes_to_the_others(spark):
+    docs = [(i, "word " * (5 + i % 40), s) for s, lo, hi in (("big", 0, 600), ("mid", 600, 900), ("tiny", 900, 903)) for i in range(lo, hi)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    w = spark.createDataFrame([("big", 0.5, 2), ("mid", 0.3, 2), ("tiny", 0.2, 3)], "source string, target_share double, max_repeats int")
+    used, stock = defaultdict(int), defaultdict(int)
+    for r in mixing.mix_sources(df, w).collect():
+        used[r.source] += r.n_tokens * r.times
+        stock[r.source] += r.n_tokens
+    assert used["tiny"] == 3 * stock["tiny"]
+    assert abs(used["big"] / used["mid"] - 5 / 3) < 1e-3
+    twice = df.unionByName(df.withColumn("doc_id", F.col("doc_id") + 10_000))
+    n = mixing.mix_sources(twice, w).agg(F.sum(F.col("n_tokens") * F.col("times"))).first()[0]
+    assert abs(n - 2 * sum(used.values())) <= 4  # the size follows the input

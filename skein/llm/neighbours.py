@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skein.session import materialize
 
-#: Rows of the sample that shard pivots are taken from, and shards at most.
-SAMPLE_ROWS, MAX_SHARDS = 4096, 4096
+#: Rows of the sample that the trees over shards are built on: 32 a shard, at least and at most so many.
+SAMPLE_ROWS = (8192, 65_536)
 _EPS = 2e-6  # what single precision may hide; everything within it is measured again in double precision
 
 
@@ -49,98 +49,124 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class VantageTree:
-    """Balls around vantage points of one shard; a query skips a ball that the triangle inequality rules out.
+    """A hierarchy of vantage points: each one splits its points by their angle to it into nearer and farther ones, down to leaves.
 
-    Every point lies in the ball of the first vantage point within `radius` of it; points far from all others are
-    balls of their own, so the distance to their vantage point is their distance.
+    By the triangle inequality a point within `reach` of a query lies on the query's side of a split, or the query's own
+    angle is within reach of the split; so a query that goes both ways where it is that close misses nothing. With a
+    smaller reach it may miss some. Vantage points (some of the points, and some random directions, which see even very
+    close points apart) and splits are chosen from CANDIDATES so that few points lie within reach of the split for what it
+    divides. overlap, where reach is relaxed, bounds the share of a node's points that may go both ways.
     """
 
-    def __init__(self, unit: np.ndarray, radius: float = 0.6):
-        self.unit = unit
-        left = np.arange(len(unit))
-        points, members, reach = [], [], []
-        while len(left):
-            angle = np.arccos(np.clip(unit[left] @ unit[left[len(left) // 2]], -1.0, 1.0))
-            angle[len(left) // 2] = 0.0
-            near = angle <= radius
-            points.append(left[len(left) // 2])
-            members.append(left[near])
-            reach.append(float(angle[near].max()))
-            left = left[~near]
-        self.points = np.array(points, dtype=np.int64)
-        self.members, self.reach = members, np.array(reach, dtype=np.float32)
-
-    def nearest(self, q: np.ndarray, q_file: np.ndarray, files: np.ndarray, k: int, least: float, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, point number) of all candidates for the k nearest points of other files with cosine >= least.
-
-        The own ball is searched first; what it yields shrinks the search radius of the others. relax shrinks that
-        radius further: 1 is exact, less may miss neighbours in other balls.
-        """
-        found_q, found_x = [], []
-        limit = math.acos(max(-1.0, least - _EPS))
-        points = self.unit[self.points].T.copy()
-        reachable = np.cos(np.minimum(self.reach + limit + 1e-4, math.pi)).astype(np.float32)
-        single = np.array([len(m) == 1 for m in self.members])
-
-        def keep(rows, x, s, radius, first):
-            """Candidates among the similarities s of query rows to the points x; in the first round the k-th of them shrinks the radius."""
-            s[block_file[rows][:, None] == files[x][None, :]] = -2.0
-            floor = np.cos(radius[rows]) - _EPS
-            if len(x) > k:
-                kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
-                floor = np.maximum(floor, kth - _EPS)
-                if first:
-                    radius[rows] = np.minimum(radius[rows], np.arccos(np.clip(kth - _EPS, -1.0, 1.0)))
-            i, j = np.nonzero(s >= floor[:, None])
-            found_q.append(begin + rows[i])
-            found_x.append(x[j])
-
-        for begin in range(0, len(q), 4096):
-            block, block_file = q[begin : begin + 4096], q_file[begin : begin + 4096]
-            to_points = block @ points
-            own = to_points.argmax(axis=1)
-            hit = np.flatnonzero(to_points >= reachable[None, :])
-            row, ball = np.divmod(hit, len(self.points))
-            slack = np.arccos(np.clip(to_points.ravel()[hit], -1.0, 1.0)) - self.reach[ball]
-            radius = np.full(len(block), limit, dtype=np.float32)
-            order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(len(self.points) + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                rows = order[cuts[b] : cuts[b + 1]]
-                keep(rows, self.members[b], block[rows] @ self.unit[self.members[b]].T, radius, True)
-            open_ = (slack <= radius[row] * relax + 1e-4) & (ball != own[row])
-            row, ball = row[open_], ball[open_]
-            alone = single[ball]
-            r, x = row[alone], self.points[ball[alone]]
-            good = (to_points[r, ball[alone]] >= np.cos(radius[r]) - _EPS) & (block_file[r] != files[x])
-            found_q.append(begin + r[good])
-            found_x.append(x[good])
-            row, ball = row[~alone], ball[~alone]
-            order = np.argsort(ball, kind="stable")
-            row, ball = row[order], ball[order]
-            cuts = np.searchsorted(ball, np.arange(len(self.points) + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                rows = row[cuts[b] : cuts[b + 1]]
-                keep(rows, self.members[b], block[rows] @ self.unit[self.members[b]].T, radius, False)
-        if not found_q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    CANDIDATES, PROBE = 32, 2048
+    WIDTH = 0.03  # radians about a split that should hold few points even where queries don't go both ways
+
+    def __init__(self, unit: np.ndarray, leaf_rows: float, reach: float, overlap: float | None = None, seed: int = 0):
+        rng = np.random.default_rng(seed)
+        self.members: list[np.ndarray] = []
+        points, cuts, margins, child = [], [], [], []
+        stack: list[tuple[np.ndarray, int, int]] = [(np.arange(len(unit)), -1, 0)]
+        self.root = -1
+        while stack:
+            rows, above, side = stack.pop()
+            split = self._split(unit, rows, reach, overlap, rng) if len(rows) > max(1.0, leaf_rows) else None
+            if split is None:
+                number = ~len(self.members)
+                self.members.append(rows)
+            else:
+                number = len(points)
+                point, cut, margin, near = split
+                points.append(point)
+                cuts.append(cut)
+                margins.append(margin)
+                child.append([0, 0])
+                stack += [(rows[near], number, 0), (rows[~near], number, 1)]
+            if above < 0:
+                self.root = number
+            else:
+                child[above][side] = number
+        self.points, self.cuts, self.margins, self.child = np.array(points, np.float32).reshape(len(points), unit.shape[1]), cuts, margins, child
+
+    def _split(self, unit, rows, reach, overlap, rng):
+        probe = unit[rows if len(rows) <= self.PROBE else rng.choice(rows, self.PROBE, replace=False)]
+        far = rng.normal(size=(self.CANDIDATES // 4, unit.shape[1])).astype(np.float32)
+        seen = np.concatenate([unit[rng.choice(rows, min(len(rows), self.CANDIDATES - len(far)), replace=False)], far / np.linalg.norm(far, axis=1, keepdims=True)])
+        angles = np.sort(_angles(probe, seen), axis=0)
+        n = len(probe)
+        at = np.unique(np.linspace(0.1 * n, 0.9 * n, 49).astype(int).clip(1, n - 1))
+        share = at / n
+        divides = -(share * np.log2(share) + (1 - share) * np.log2(1 - share))
+        best = None
+        for j in range(len(seen)):
+            d = angles[:, j]
+            cut = (d[at - 1] + d[at]) / 2
+            close = max(reach, self.WIDTH)
+            both = (np.searchsorted(d, cut + close) - np.searchsorted(d, cut - close)) / n
+            cost = np.where(d[at] > d[at - 1], (both + 0.5 / n) / divides, np.inf)
+            i = int(cost.argmin())
+            if np.isfinite(cost[i]) and (best is None or cost[i] < best[0]):
+                best = (cost[i], j, cut[i])
+        if best is None:
+            return None
+        _, j, cut = best
+        margin = reach
+        if overlap is not None:
+            margin = min(reach, float(np.sort(np.abs(angles[:, j] - cut))[min(n - 1, int(overlap * n))]))
+        near = _angles(unit[rows], seen[j : j + 1])[:, 0] <= cut
+        return None if near.all() or not near.any() else (seen[j], float(cut), margin, near)
+
+    def route(self, q: np.ndarray):
+        """(leaf, rows of q that visit it, whether it is their own side of every split) for all leaves that are visited."""
+        stack = [(self.root, np.arange(len(q)), np.ones(len(q), bool))]
+        while stack:
+            node, rows, home = stack.pop()
+            if node < 0:
+                yield ~node, rows, home
+                continue
+            angle = _angles(q[rows], self.points[node : node + 1])[:, 0]
+            near = angle <= self.cuts[node]
+            for side, go, own in ((0, angle <= self.cuts[node] + self.margins[node], near), (1, angle > self.cuts[node] - self.margins[node], ~near)):
+                if go.any():
+                    stack.append((self.child[node][side], rows[go], (home & own)[go]))
+
+    def nearest(self, unit: np.ndarray, q: np.ndarray, q_file: np.ndarray, files: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, point number) of all candidates for the k nearest of the points `unit` of other files with cosine >= least, in the leaves visited."""
+        found_q, found_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        floor = np.full(len(q), least - _EPS, dtype=np.float32)
+        for leaf, visitors, _ in self.route(q):
+            x = self.members[leaf]
+            points, x_file = unit[x].T, files[x]
+            for begin in range(0, len(visitors), 2048):
+                rows = visitors[begin : begin + 2048]
+                s = q[rows] @ points
+                i, j = np.nonzero(s >= floor[rows][:, None])
+                other = q_file[rows[i]] != x_file[j]
+                i, j = i[other], j[other]
+                many = np.flatnonzero(np.bincount(i, minlength=len(rows)) > k)
+                if len(many):  # the k-th of them raises what the query asks for from here on
+                    own = s[many]
+                    own[q_file[rows[many]][:, None] == x_file[None, :]] = -2.0
+                    floor[rows[many]] = np.maximum(floor[rows[many]], np.partition(own, len(x) - k, axis=1)[:, len(x) - k] - _EPS)
+                    good = s[i, j] >= floor[rows[i]]
+                    i, j = i[good], j[good]
+                found_q.append(rows[i])
+                found_x.append(x[j])
         return np.concatenate(found_q), np.concatenate(found_x)
 
 
-_SHARD_SCHEMA = "shard int, part int, id long, file long, home boolean, target boolean, vec binary"
+_SHARD_SCHEMA = "tree int, shard int, id long, file long, query boolean, target boolean, vec binary"
 
 
-def _search_shard(k: int, least: float, relax: float, dim: int):
+def _search_shard(k: int, least: float, reach: float, overlap: float | None, leaf_rows: int, dim: int):
     def search(table: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.float32).reshape(-1, dim)
         ids, files = table["id"].to_numpy(), table["file"].to_numpy()
-        target, query = table["target"].to_numpy(zero_copy_only=False), table["home"].to_numpy(zero_copy_only=False)
-        unit = _unit(raw)
-        x, q = np.flatnonzero(target), np.flatnonzero(query)
+        x, q = np.flatnonzero(table["target"].to_numpy(zero_copy_only=False)), np.flatnonzero(table["query"].to_numpy(zero_copy_only=False))
         if not len(x) or not len(q):
             return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        tree = VantageTree(unit[x])
-        qi, xi = tree.nearest(unit[q], files[q], files[x], k, least, relax)
+        unit = _unit(raw)
+        tree = VantageTree(unit[x], leaf_rows, reach, overlap, table["tree"][0].as_py())
+        qi, xi = tree.nearest(unit[x], unit[q], files[q], files[x], k, least)
         qi, xi = q[qi], x[xi]
         cosine = _exact(raw[qi], raw[xi]) if len(qi) else np.zeros(0)
         keep = cosine >= least
@@ -155,21 +181,31 @@ def _search_shard(k: int, least: float, relax: float, dim: int):
     return search
 
 
+def _blobs(raw: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = raw.shape[1] * raw.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, (len(raw) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 def nearest_neighbours(
-    df: DataFrame, key: str = "chunk_id", vector: str = "vector", file: str = "file_path", k: int = 5, least: float = 0.8, dim: int = 64, shard_rows: int = 16_384, relax_shard: float = 0.12, relax_ball: float = 1.0
+    df: DataFrame, key: str = "chunk_id", vector: str = "vector", file: str = "file_path", k: int = 5, least: float = 0.8, dim: int = 64,
+    shard_rows: int = 32_768, leaf_rows: int = 2048, trees: int | None = None, relax_shard: float = 0.0, relax_leaf: float = 0.16, overlap: float = 0.5,
 ) -> DataFrame:
     """(id, other, cosine): for each row its k nearest rows with another file value, cosine rounded to 6 decimals and >= least; ties to the smaller key.
 
-    Method: rows go to the shard of the nearest of a few pivots (taken from a sample of at most SAMPLE_ROWS rows;
-    about one pivot for shard_rows rows, MAX_SHARDS at most). Each shard holds a tree of vantage points; a query
-    visits the shards, and in them the balls, that the triangle inequality with the search radius, shrunk by
-    relax_shard and relax_ball, doesn't rule out. Both at 1 restore exact search. Every row is indexed and every
-    row is a query; the sample only places the pivots.
+    Method: vantage-point trees. `trees` of them are built on a sample (SAMPLE_ROWS) with leaves that stand for at most
+    about shard_rows rows; a leaf is a shard. A row is stored in its own leaf of each tree, and as a query visits the
+    leaves that the triangle inequality with a search radius of relax_shard * acos(least) doesn't rule out: with 0 its
+    own alone. Each shard holds a vantage-point tree of its rows down to leaf_rows, searched in the same way with
+    relax_leaf. What one tree misses another finds: a split parts close rows now and then, so trees None takes three and
+    five more for each sixteenfold number of shards, by which the share of neighbours found stays the same. A factor of 1
+    is exact search at its level (one tree is enough then). With smaller ones at most `overlap` of a node's rows go both
+    ways, so that a dense spot doesn't draw every query of it into all its shards. Every row is indexed and every row is a
+    query; the sample only places vantage points.
 
     Exact copies of a vector are collapsed first: at most 2k of them are targets (enough for any query's k nearest
     whichever file is left out), one row for each (vector, file) is a query and its answer counts for its copies;
-    so a vector that a third of all rows share costs no more than any other. A shard with far more rows than
-    shard_rows is split by key, its queries visit all parts.
+    so a vector that a third of all rows share costs no more than any other.
 
     Rows whose vector isn't dim finite components, not all zero, are neither queries nor targets. A null file is
     a file of its own. Keys must be unique. An empty table gives an empty result.
@@ -186,49 +222,47 @@ def nearest_neighbours(
     copies = again.join(firsts, ["v1", "v2", "file"]).join(shown, "id", "left").select("id", "rep", F.coalesce("target", F.lit(False)).alias("target"))
     copies = materialize(copies, "vector-copies")
 
-    stats = base.select(F.count(F.lit(1)).alias("n")).first()
-    shards = int(min(MAX_SHARDS, max(1, round(stats.n / shard_rows))))
-    sample = base.filter(F.size("vec") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS if shards > 1 else 1).select("vec").toArrow()
+    n = base.count()
+    shards = max(1.0, n / shard_rows)
+    wanted = int(min(max(SAMPLE_ROWS[0], 32 * shards), SAMPLE_ROWS[1]))
+    sample = base.filter(F.size("vec") == dim).orderBy(F.xxhash64("id")).limit(wanted).select("vec").toArrow()
     _, m = _vectors(sample["vec"], dim) if sample.num_rows else (None, np.zeros((0, dim), np.float32))
-    pivots = _unit(m)[: max(1, shards)] if len(m) else np.eye(1, dim, dtype=np.float32)
-    reach = 2.0 * relax_shard * math.acos(least)
-    shared = spark.sparkContext.broadcast(pivots)
+    m = _unit(m) if len(m) else m
+    radius = math.acos(least)
+
+    def factor(relax: float) -> tuple[float, float | None]:
+        return (radius + 1e-3, None) if relax >= 1 else (relax * radius, overlap)
+
+    count = 1 if relax_shard >= 1 else trees or round(3 + 1.25 * math.log2(shards))
+    forest = [VantageTree(m, len(m) / shards, *factor(relax_shard), seed) for seed in range(count)]
+    leaves = sum(len(t.members) for t in forest)
+    for t in forest:
+        t.members = []  # only the sample's row numbers
+    shared = spark.sparkContext.broadcast(forest)
 
     def place(batches):
         for batch in batches:
             at, raw = _vectors(batch.column("vec"), dim)
             if not len(at):
                 continue
-            angle = _angles(_unit(raw), shared.value)
-            home = angle.argmin(axis=1)
-            visit = angle <= angle.min(axis=1, keepdims=True) + reach
-            visit[np.arange(len(home)), home] = True
-            row, shard = np.nonzero(visit)
+            unit = _unit(raw)
             ids, files = batch.column("id").to_numpy()[at], batch.column("file").to_numpy()[at]
             rep, target = batch.column("rep").fill_null(-1).to_numpy(zero_copy_only=False)[at], batch.column("target").to_numpy(zero_copy_only=False)[at]
-            has = batch.column("has").to_numpy(zero_copy_only=False)[at]
-            is_query = ~has | (rep == ids)
-            at_home = shard == home[row]
-            keep = is_query[row] | (at_home & target[row])
-            row, shard, at_home = row[keep], shard[keep], at_home[keep]
-            blobs = [raw[i].tobytes() for i in range(len(raw))]
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array(shard, pa.int32()), "part": pa.array(np.zeros(len(row)), pa.int32()), "id": ids[row], "file": files[row], "home": is_query[row], "target": at_home & target[row], "vec": pa.array([blobs[i] for i in row], pa.binary())}
-            )
+            query = ~batch.column("has").to_numpy(zero_copy_only=False)[at] | (rep == ids)
+            for number, tree in enumerate(shared.value):
+                for shard, rows, home in tree.route(unit):
+                    keep = query[rows] | (home & target[rows])
+                    rows, home = rows[keep], home[keep]
+                    if len(rows):
+                        yield pa.RecordBatch.from_pydict(
+                            {"tree": pa.array(np.full(len(rows), number), pa.int32()), "shard": pa.array(np.full(len(rows), shard), pa.int32()), "id": ids[rows], "file": files[rows], "query": query[rows], "target": home & target[rows], "vec": _blobs(raw[rows])}
+                        )
 
     marked = base.join(copies.withColumn("has", F.lit(True)), "id", "left").select("id", "file", "vec", "rep", F.coalesce("target", F.lit(True)).alias("target"), F.coalesce("has", F.lit(False)).alias("has"))
-    placed = marked.mapInArrow(place, _SHARD_SCHEMA)
-    if shards > 1:
-        placed = materialize(placed, "vector-shards")
-        crowded = {r.shard: math.ceil(r.n / (2 * shard_rows)) for r in placed.groupBy("shard").agg(F.sum(F.col("target").cast("long")).alias("n")).filter(F.col("n") > 2 * shard_rows).collect()}
-        if crowded:
-            parts = F.create_map(*(F.lit(x) for p in crowded.items() for x in p))[F.col("shard")]
-            own = F.pmod(F.xxhash64("id"), parts).cast("int")
-            many = placed.filter(parts.isNotNull()).withColumn("_own", own).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-            many = many.withColumn("target", F.col("target") & (F.col("part") == F.col("_own"))).filter("home OR target").select(placed.columns)
-            placed = placed.filter(parts.isNull()).unionByName(many)
-    found = placed.groupBy("shard", "part").applyInArrow(_search_shard(k, least, relax_ball, dim), "id long, other long, cosine double")
-    best = found.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("_r") <= k).select("id", "other", "cosine")
+    placed = marked.mapInArrow(place, _SHARD_SCHEMA).repartition(4 * leaves, "tree", "shard")
+    found = placed.groupBy("tree", "shard").applyInArrow(_search_shard(k, least, *factor(relax_leaf), leaf_rows, dim), "id long, other long, cosine double")
+    # a pair that several trees find has one rank
+    best = found.withColumn("_r", F.dense_rank().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("_r") <= k).select("id", "other", "cosine").distinct()
     # copies hold their representative as well, so one join gives its answer to all of them
     same = copies.select(F.col("id").alias("_copy"), F.col("rep").alias("_rep"))
     return best.join(same, F.col("id") == F.col("_rep"), "left").select(F.coalesce("_copy", "id").alias("id"), "other", "cosine")

@@ -66,14 +66,37 @@ def test_neighbours_against_brute_force(spark):
     data += [(5000, "z", None), (5001, "z", [1.0] * 32), (5002, "z", [0.0] * 64), (5003, "z", [float("nan")] * 64), (5004, "z", [float("inf")] * 64), (5005, "y", [1.0] * 64)]
     df = spark.createDataFrame(data, "chunk_id long, file_path string, vector array<float>")
     want = brute(data)
-    for rows, relax in ((16_384, 1.0), (60, 1.0), (10, 1.0)):  # one shard, several, several that are split
-        got = {tuple(r) for r in neighbours.similar_pairs(df, shard_rows=rows, relax_shard=relax).collect()}
-        assert got == want, (rows, len(got), len(want))
-    relaxed = {tuple(r) for r in neighbours.similar_pairs(df, shard_rows=60, relax_shard=0.12).collect()}
+    for rows, leaf in ((16_384, 2048), (60, 2048), (10, 2048), (200, 20)):  # one shard, several, many, trees of several leaves in them
+        got = {tuple(r) for r in neighbours.similar_pairs(df, shard_rows=rows, leaf_rows=leaf, relax_shard=1.0, relax_leaf=1.0).collect()}
+        assert got == want, (rows, leaf, len(got), len(want))
+    relaxed = {tuple(r) for r in neighbours.similar_pairs(df, shard_rows=60, leaf_rows=30).collect()}
     assert len(relaxed & want) >= 0.9 * len(want)
     assert neighbours.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_vantage_tree_splits_a_dense_spot():
+    rng = np.random.default_rng(2)
+    spot = np.ones(64) / 8 + rng.normal(scale=1e-5, size=(4000, 64))
+    unit = neighbours._unit(np.concatenate([spot, rng.normal(size=(4000, 64))]).astype(np.float32))
+    tree = neighbours.VantageTree(unit, 500, 0.05, 0.5, 1)
+    assert max(map(len, tree.members)) <= 500 and sorted(np.concatenate(tree.members)) == list(range(8000))
+    visits = sum(len(rows) for _, rows, _ in tree.route(unit))
+    home = sum(int(h.sum()) for _, _, h in tree.route(unit))
+    assert home == 8000 and visits < 8 * 8000
+
+
+def test_neighbours_found_stay_with_the_number_of_shards(spark):
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(60, 64))
+    v = (centers[np.arange(3000) % 60] + rng.normal(scale=0.3, size=(3000, 64))).astype(np.float32)
+    data = [(i, f"f{i}", [float(x) for x in v[i]]) for i in range(3000)]
+    df = spark.createDataFrame(data, "chunk_id long, file_path string, vector array<float>")
+    exact = {tuple(r) for r in neighbours.similar_pairs(df).collect()}  # one shard of one leaf
+    for rows in (1000, 250):
+        got = {tuple(r) for r in neighbours.similar_pairs(df, shard_rows=rows, leaf_rows=200).collect()}
+        assert len(got & exact) >= 0.9 * len(exact), (rows, len(got & exact), len(exact))
+
+
 def test_best_fit_keeps_copies_apart():
     sizes, clusters, sources = [60, 50, 50, 40, 30, 20, 10, 0], [-1, 7, 7, -1, -1, -1, -1, -1], [1, 1, 2, 2, 1, 2, 1, 1]
     bins = packing.best_fit(sizes, clusters, sources, 100)

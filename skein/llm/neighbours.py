@@ -154,7 +154,7 @@ class VantageTree:
         return np.concatenate(found_q), np.concatenate(found_x)
 
 
-_SHARD_SCHEMA = "tree int, shard int, id long, file long, query boolean, target boolean, vec binary"
+_SHARD_SCHEMA = "shard int, id long, file long, query boolean, target boolean, vec binary"
 
 
 def _search_shard(k: int, least: float, reach: float, overlap: float | None, leaf_rows: int, dim: int):
@@ -165,7 +165,7 @@ def _search_shard(k: int, least: float, reach: float, overlap: float | None, lea
         if not len(x) or not len(q):
             return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         unit = _unit(raw)
-        tree = VantageTree(unit[x], leaf_rows, reach, overlap, table["tree"][0].as_py())
+        tree = VantageTree(unit[x], leaf_rows, reach, overlap, table["shard"][0].as_py())
         qi, xi = tree.nearest(unit[x], unit[q], files[q], files[x], k, least)
         qi, xi = q[qi], x[xi]
         cosine = _exact(raw[qi], raw[xi]) if len(qi) else np.zeros(0)
@@ -235,7 +235,7 @@ def nearest_neighbours(
 
     count = 1 if relax_shard >= 1 else trees or round(3 + 1.25 * math.log2(shards))
     forest = [VantageTree(m, len(m) / shards, *factor(relax_shard), seed) for seed in range(count)]
-    leaves = sum(len(t.members) for t in forest)
+    first = np.cumsum([0] + [len(t.members) for t in forest]).tolist()  # shards are numbered over all trees
     for t in forest:
         t.members = []  # only the sample's row numbers
     shared = spark.sparkContext.broadcast(forest)
@@ -255,12 +255,12 @@ def nearest_neighbours(
                     rows, home = rows[keep], home[keep]
                     if len(rows):
                         yield pa.RecordBatch.from_pydict(
-                            {"tree": pa.array(np.full(len(rows), number), pa.int32()), "shard": pa.array(np.full(len(rows), shard), pa.int32()), "id": ids[rows], "file": files[rows], "query": query[rows], "target": home & target[rows], "vec": _blobs(raw[rows])}
+                            {"shard": pa.array(np.full(len(rows), first[number] + shard), pa.int32()), "id": ids[rows], "file": files[rows], "query": query[rows], "target": home & target[rows], "vec": _blobs(raw[rows])}
                         )
 
     marked = base.join(copies.withColumn("has", F.lit(True)), "id", "left").select("id", "file", "vec", "rep", F.coalesce("target", F.lit(True)).alias("target"), F.coalesce("has", F.lit(False)).alias("has"))
-    placed = marked.mapInArrow(place, _SHARD_SCHEMA).repartition(4 * leaves, "tree", "shard")
-    found = placed.groupBy("tree", "shard").applyInArrow(_search_shard(k, least, *factor(relax_leaf), leaf_rows, dim), "id long, other long, cosine double")
+    placed = marked.mapInArrow(place, _SHARD_SCHEMA).repartitionById(first[-1], F.col("shard"))  # one shard a task
+    found = placed.groupBy("shard").applyInArrow(_search_shard(k, least, *factor(relax_leaf), leaf_rows, dim), "id long, other long, cosine double")
     # a pair that several trees find has one rank
     best = found.withColumn("_r", F.dense_rank().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("_r") <= k).select("id", "other", "cosine").distinct()
     # copies hold their representative as well, so one join gives its answer to all of them

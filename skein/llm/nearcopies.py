@@ -50,52 +50,87 @@ def _over(texts, f) -> list:
     return out
 
 
-def shingle_set_id(folded: Column) -> Column:
-    """A number for the set of shingles of a text folded before; texts of equal sets have the same."""
-    return F.pandas_udf(lambda texts: pd.Series(_over(texts, _set_id), dtype="int64"), T.LongType())(folded)
-
-
 def _bucket(s: np.ndarray) -> np.ndarray:
     return ((s.view(np.uint64) * _BASE) >> np.uint64(46)).astype(np.int64)
 
 
-def near_sets(texts: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b): all pairs of shingle sets, a < b, with a Jaccard similarity of at least `least`, of texts (doc_id, folded, set_id), doc_id unique.
+#: A sketch has one bit for each of 64 * SKETCH classes of shingles: whether their number is odd.
+SKETCH = 8
+_SKETCH = [f"k{i}" for i in range(SKETCH)]
 
-    Exact, by prefixes: in any one order of all shingles, two sets so similar share one of the first
-    n - ceil(least * n) + 1 of their n shingles. The order is rare ones first, by BUCKETS counters over all texts, so
-    a phrase that many texts hold is hardly ever in a prefix. Pairs that their sizes or the place of the shared
-    shingle rule out aren't formed; the sets of the others are compared. Equal sets are one, so many copies form no pairs.
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & (64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def describe(texts: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, keep..., set_id, n, k0 ..., bucket, seen) of texts (doc_id, folded, keep...), in one pass and written once.
+
+    One row for each text with the number of its shingle set (equal sets have the same; null without words), their count and
+    their sketch; and, with a bucket, rows that say how many texts of a task hold a shingle of it.
     """
-    texts = spread(texts)
+    texts = spread(texts.select("doc_id", "folded", *keep))
+    own = ["doc_id", *keep]
+    fields = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    out = ", ".join(f"{c} {fields[c]}" for c in own) + ", set_id long, n int, " + ", ".join(f"{k} long" for k in _SKETCH) + ", bucket int, seen long"
 
-    def count(batches):
+    def run(batches):
         total = np.zeros(BUCKETS, np.int64)
+        kinds = None
         for batch in batches:
-            for s in _over(batch.column("folded").to_pylist(), lambda s: s):
+            sets = _over(batch.column("folded").to_pylist(), lambda s: s)
+            for s in sets:
                 np.add.at(total, _bucket(s), 1)
+            rows = {c: batch.column(c) for c in own}
+            kinds = {c: x.type for c, x in rows.items()}
+            rows["set_id"] = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
+            rows["n"] = pa.array([len(s) for s in sets], pa.int32())
+            sketch = np.array([_sketch(s) for s in sets], np.int64).reshape(len(sets), SKETCH)
+            rows |= {k: sketch[:, i].copy() for i, k in enumerate(_SKETCH)}
+            rows |= {"bucket": pa.nulls(len(sets), pa.int32()), "seen": pa.nulls(len(sets), pa.int64())}
+            yield pa.RecordBatch.from_pydict(rows)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": total[at]})
+        if len(at):
+            rows = {c: pa.nulls(len(at), t) for c, t in kinds.items()}
+            rows |= {"set_id": pa.nulls(len(at), pa.int64()), "n": pa.nulls(len(at), pa.int32())} | {k: pa.nulls(len(at), pa.int64()) for k in _SKETCH}
+            yield pa.RecordBatch.from_pydict(rows | {"bucket": pa.array(at, pa.int32()), "seen": total[at]})
+
+    return materialize(texts.mapInArrow(run, out), "near-texts")
+
 
-    counted = texts.select("folded").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def near_sets(texts: DataFrame, least: float = 0.8, described: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of shingle sets, a < b, with a Jaccard similarity of at least `least`, of texts (doc_id, folded), doc_id unique.
+
+    Exact, by prefixes: in any one order of all shingles, two sets so similar share one of the first
+    n - ceil(least * n) + 1 of their n shingles. The order is rare ones first, by BUCKETS counters over all texts, so
+    a phrase that many texts hold is hardly ever in a prefix. Pairs that their sizes or the place of the shared
+    shingle rule out aren't formed. Of the others the sketches are compared: sets differ in at least as many shingles as
+    their sketches differ in bits, so few pairs are left whose whole sets meet. Equal sets are one, so many copies form no pairs.
+    """
+    described = describe(texts) if described is None else described
+    texts = spread(texts.select("doc_id", "folded"))
+    counted = described.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     counts = np.zeros(BUCKETS, np.int64)
-    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    counts[counted["bucket"].to_numpy()] = counted["seen"].to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches):
         for batch in batches:
             ids, hashes, sizes, places = [], [], [], []
-            for i, s in zip(batch.column("set_id").to_pylist(), _over(batch.column("folded").to_pylist(), lambda s: s)):
+            for s in _over(batch.column("folded").to_pylist(), lambda s: s):
                 n = len(s)
+                if not n:
+                    continue
                 p = n - int(np.ceil(least * n - 1e-9)) + 1
                 hashes.append(s[np.lexsort((s, shared.value[_bucket(s)]))[:p]])
-                ids.append(np.full(p, i, np.int64))
+                ids.append(np.full(p, _set_id(s), np.int64))
                 sizes.append(np.full(p, n, np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if ids:
                 yield pa.RecordBatch.from_pydict({"set_id": np.concatenate(ids), "h": np.concatenate(hashes), "n": np.concatenate(sizes), "pos": np.concatenate(places)})
 
-    prefix = texts.select("set_id", "folded").mapInArrow(prefixes, "set_id long, h long, n int, pos int")
+    prefix = texts.select("folded").mapInArrow(prefixes, "set_id long, h long, n int, pos int")
     lists = prefix.groupBy("h").agg(F.collect_set(F.struct("set_id", "n", "pos")).alias("_p")).filter(F.size("_p") > 1)
     a = F.col("_a")
 
@@ -105,17 +140,21 @@ def near_sets(texts: DataFrame, least: float = 0.8) -> DataFrame:
         return (b["set_id"] > a["set_id"]) & fits
 
     pairs = lists.select("_p", F.explode("_p").alias("_a")).select(a["set_id"].alias("a"), F.explode(F.transform(F.filter("_p", may), lambda b: b["set_id"])).alias("b")).distinct()
+    sets = described.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in _SKETCH))
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("doc_id").alias(f"{side}_doc"), F.col("n").alias(f"{side}_n"), *(F.col(k).alias(f"{side}_{k}") for k in _SKETCH)), side)
+    differ = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in _SKETCH), F.lit(0))
+    pairs = pairs.filter(differ <= (1 - least) / (1 + least) * (F.col("a_n") + F.col("b_n")) + 1e-9).select("a", "b", "a_doc", "b_doc")
     pairs = materialize(pairs, "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    one = texts.select("doc_id", "set_id").join(asked, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("set_id").alias("_set"))
+    asked = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
     whole = F.pandas_udf(lambda t: pd.Series(_over(t, lambda s: s)), T.ArrayType(T.LongType()))
-    sets = materialize(texts.select("doc_id", "folded").join(one, "doc_id").select("_set", whole("folded").alias("_s")), "near-sets")
-    both = pairs.join(sets.select(F.col("_set").alias("a"), F.col("_s").alias("_x")), "a").join(sets.select(F.col("_set").alias("b"), F.col("_s").alias("_y")), "b")
+    sets = materialize(texts.join(asked, "doc_id").select("doc_id", whole("folded").alias("_s")), "near-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a_doc"), F.col("_s").alias("_x")), "a_doc").join(sets.select(F.col("doc_id").alias("b_doc"), F.col("_s").alias("_y")), "b_doc")
     same = F.size(F.array_intersect("_x", "_y"))
     return both.filter(same >= least * (F.size("_x") + F.size("_y") - same) - 1e-9).select("a", "b")
 
 
-def near_clusters(texts: DataFrame, least: float = 0.8) -> DataFrame:
-    """(set_id, cluster) of the sets with a near one: components of near_sets."""
-    edges = materialize(near_sets(texts, least).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-edges")
+def near_clusters(texts: DataFrame, least: float = 0.8, described: DataFrame | None = None) -> DataFrame:
+    """(set_id, near) of the sets with a near one: components of near_sets."""
+    edges = materialize(near_sets(texts, least, described).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-edges")
     return connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("near"))

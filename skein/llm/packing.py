@@ -7,7 +7,7 @@ from bisect import bisect_left, insort
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from skein.llm.nearcopies import near_clusters, shingle_set_id
+from skein.llm.nearcopies import describe, near_clusters
 from skein.llm.tokens import token_count
 from skein.session import materialize, spread
 
@@ -91,12 +91,12 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str | Non
     """
     text = F.coalesce("text", F.lit(""))
     folded = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", folded.alias("folded"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("source_no"))
-    sized = spread(docs).select("doc_id", token_count(F.col("text"), tokenizer).alias("size"), F.when(F.col("folded") == "", F.lit(-1)).otherwise(shingle_set_id(F.col("folded"))).alias("cluster"), "source_no")
-    sized = materialize(sized, "pack-items")
-    texts = docs.filter("folded <> ''").select("doc_id", "folded").withColumn("set_id", shingle_set_id(F.col("folded")))
-    near = near_clusters(texts).withColumnRenamed("set_id", "cluster")
-    items = materialize(sized.join(near, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near"), "pack-clusters")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), folded.alias("folded"), "text", F.xxhash64(F.coalesce("source", F.lit(""))).alias("source_no"))
+    sized = spread(docs).select("doc_id", "folded", token_count(F.col("text"), tokenizer).alias("size"), "source_no")
+    described = describe(sized, "size", "source_no")
+    near = near_clusters(docs.filter("folded <> ''"), described=described)
+    items = described.filter("doc_id IS NOT NULL").select("doc_id", "size", "source_no", "set_id").join(near, "set_id", "left")
+    items = materialize(items.select("doc_id", "size", "source_no", F.coalesce("near", "set_id", F.lit(-1)).alias("cluster")), "pack-items")
     kinds = limits.filter(F.col("capacity_tokens") > 0).select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
     cut = items.join(kinds).withColumn("full", F.expr("CASE WHEN size > capacity THEN CAST(size div capacity AS INT) ELSE 0 END"))
     whole = cut.filter("full > 0").select("container_kind", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part_no"))

@@ -9,204 +9,62 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from skein.llm.language import STOPWORDS
 from skein.llm.markup import TAGS
 from skein.llm.sentences import boundaries
 from skein.session import spread
 
 KINDS = ("placeholder", "script_notice", "error_page", "filler")
 
-# Labelled exemplars (fixed values): what such records say, one passage a line. "#" stands for a number or code.
+# Labelled exemplars (fixed values): phrases that such records are made of in general, one a line, several phrases of a
+# line between bars. "#" stands for a number, code or path.
 EXEMPLARS = {
     "script_notice": """
-please enable javascript to view this page
-you need to turn on javascript in your browser to run this app
-you need to enable javascript to run this app
-javascript must be switched on to use the graph view
-javascript must be enabled in order to use this site
-javascript seems to be disabled without it the note can't be displayed
-javascript is disabled in your browser
-javascript is required to view this content
-javascript is not available
-we've detected that javascript is disabled in this browser please enable javascript or switch to a supported browser to continue
-this site requires javascript and cookies enable them and reload
-enable javascript and cookies to continue
-this note viewer works only with scripting enabled
-you have scripts turned off turn them on then reload #
-scripts are blocked unblock them to continue reading
-your browser does not support scripts or they are switched off
-your browser does not support javascript
-loading if nothing happens allow scripts for this page
-to protect the notes from robots we need to run a script your browser blocked it
-checking your browser before opening the vault javascript is required ray #
-checking your browser before accessing the site
-we're sorry but noteviewer doesn't work properly without js enabled
-we're sorry but this app doesn't work properly without javascript enabled please enable it to continue
-für diese anwendung muss in ihrem browser javascript eingeschaltet sein
-bitte aktivieren sie javascript um diese seite anzuzeigen
-javascript ist in ihrem browser deaktiviert
-для просмотра страницы включите javascript в настройках браузера
-эта страница не работает без поддержки сценариев
-для работы сайта необходимо включить javascript
-в вашем браузере отключен javascript
-увімкніть javascript щоб переглянути цю сторінку
-для роботи сторінки потрібна підтримка сценаріїв
-active javascript para ver esta página
-es necesario habilitar javascript para continuar
-su navegador no admite javascript
-é necessário ativar o javascript para continuar
-ative o javascript para ver esta página
-请启用 javascript 后再浏览本页
-您的浏览器不支持或禁用了脚本请启用后刷新
-このページを表示するにはjavascriptを有効にしてください
-スクリプトが無効になっています有効にしてから再読み込みしてください
-इस पृष्ठ को देखने के लिए जावास्क्रिप्ट सक्षम करें
-इस पृष्ठ को देखने के लिए javascript चालू करें
-โปรดเปิดใช้งาน javascript เพื่อดูหน้านี้
-กรุณาเปิดใช้งานจาวาสคริปต์""",
+enable javascript | turn on javascript | javascript must be enabled | javascript must be switched on to use | javascript is disabled | javascript seems to be off | javascript is required | requires javascript and cookies
+allow scripts to run | scripts are blocked | unblock scripts | scripting must be enabled | works only with scripting | viewer | scripts are turned off | turn scripts on and reload | if nothing happens | need to run a script | protection from robots
+your browser does not support scripts | your browser blocked it | checking your browser | can't be displayed without it | without js this app doesn't work properly | enable it to continue | run this app | use this site | view this page | noscript
+javascript aktivieren | javascript einschalten | javascript ist im browser deaktiviert | ihr browser unterstützt kein javascript | für diese anwendung muss javascript eingeschaltet sein | um die seite anzuzeigen
+включите javascript | javascript отключен в браузере | необходимо включить сценарии | включите поддержку сценариев | страница не работает без сценариев | для просмотра страницы
+увімкніть javascript | javascript вимкнено у браузері | потрібна підтримка сценаріїв | не працює без сценаріїв | щоб переглянути сторінку
+active javascript | habilitar javascript | javascript está desactivado | su navegador no admite scripts | es necesario para ver esta página
+ative o javascript | ativar o javascript | javascript está desativado | o seu navegador não suporta scripts | é necessário para continuar | para ver esta página
+启用 javascript | 请启用脚本 | 浏览器不支持脚本 | 脚本已被禁用 | 需要 javascript 才能浏览本页 | 启用后请刷新 | 后再浏览
+javascriptを有効にしてください | スクリプトが無効です | ページを表示するには | 有効にしてから再読み込み | ブラウザが対応していません
+javascript सक्षम करें | जावास्क्रिप्ट चालू करें | ब्राउज़र में स्क्रिप्ट बंद है | पृष्ठ देखने के लिए
+เปิดใช้งาน javascript | เปิดใช้จาวาสคริปต์ | เบราว์เซอร์ไม่รองรับสคริปต์ | เพื่อดูหน้านี้ | โปรดเปิดใช้""",
     "error_page": """
-# not found
-page not found
-the page # could not be found on this server
-the requested url # was not found on this server
-the page you requested does not exist or has been removed
-sorry the note you were looking for has been moved or deleted
-hmm # isn't here any more it was removed # days ago or never existed
-error # internal server error please try again later reference #
-internal server error
-# bad gateway
-upstream did not answer
-request # failed after # retries upstream reset
-gateway timeout
-the server took too long to respond reload to try again
-service temporarily unavailable
-we are down for maintenance until #
-service unavailable the server is temporarily unable to service your request
-too many requests slow down and retry after # seconds
-rate limit exceeded
-access denied you don't have permission to view #
-access denied
-# forbidden
-you do not have permission to access this resource
-this vault is private ask its owner for access to #
-this site can't be reached the connection timed out after # s
-connection refused
-no results an unexpected error occurred while rendering # status #
-an unexpected error occurred
-oops something went wrong we could not load this note #
-something went wrong please try again later
-your session has expired please sign in again to see this page
-you have been logged out because of inactivity
-please log in to continue
-you must be logged in to view this page
-database error could not connect to notes db errno #
-error establishing a database connection
-ssl handshake failed for # #
-error code message note not found trace #
-error code accessdenied code requestid # requestid error
-html head title # title head body h bad request h hr # body html
-traceback most recent call last
-file sync py line # in load
-keyerror #
-valueerror typeerror attributeerror indexerror #
-java lang illegalstateexception note store closed
-at notes store read store java #
-exception in thread main java lang nullpointerexception
-fatal error uncaught exception in # on line #
-segmentation fault core dumped
-http # error
-# bad request #
-bad request your browser sent a request that this server could not understand
-content length #
-ошибка # страница # не найдена
-страница не найдена
-внутренняя ошибка сервера попробуйте обновить страницу позже код #
-невозможно подключиться к базе заметок повторите попытку через # мин
-доступ запрещён у вас нет прав для просмотра этой страницы
-сервис временно недоступен попробуйте позже
-время сеанса истекло войдите снова
-помилка # сторінку не знайдено
-внутрішня помилка сервера спробуйте пізніше
-доступ заборонено у вас немає прав для перегляду цієї сторінки
-сервіс тимчасово недоступний
-fehler # diese seite wurde nicht gefunden
-seite vorübergehend nicht erreichbar bitte versuchen sie es später noch einmal #
-interner serverfehler
-zugriff verweigert sie haben keine berechtigung diese seite anzuzeigen
-ihre sitzung ist abgelaufen bitte melden sie sich erneut an
-error # no tiene permiso para ver esta página
-la página solicitada no existe o ha sido eliminada
-error interno del servidor inténtelo de nuevo más tarde
-página no encontrada
-su sesión ha caducado inicie sesión de nuevo
-erro # o serviço está indisponível
-página não encontrada
-erro interno do servidor tente novamente mais tarde
-a sua sessão expirou inicie sessão novamente
-não tem permissão para ver esta página
-# 页面不存在
-找不到您请求的页面
-服务器内部错误请稍后再试
-访问被拒绝您没有权限查看此页面
-会话已过期请重新登录
-服务暂时不可用
-ページが見つかりません # urlをご確認ください
-サーバー内部エラーが発生しました
-アクセスが拒否されました
-セッションの有効期限が切れました再度ログインしてください
-त्रुटि # पृष्ठ नहीं मिला
-सर्वर त्रुटि कृपया बाद में पुनः प्रयास करें
-आपको इस पृष्ठ को देखने की अनुमति नहीं है
-ข้อผิดพลาด # ไม่พบหน้าที่คุณต้องการ
-เซิร์ฟเวอร์ขัดข้อง โปรดลองใหม่ภายหลัง
-คุณไม่มีสิทธิ์เข้าถึงหน้านี้""",
+not found | page # does not exist | could not be found on this server | has been moved or deleted | has been removed | isn't here any more | removed # days ago | never existed | the page you were looking for
+internal server error | please try again later | error # | error code # | reference # | status # | bad gateway | no answer from upstream | upstream reset | request # failed | after # retries | gateway timeout | took too long to respond | reload to try again
+service temporarily unavailable | down for maintenance until # | too many requests | slow down and retry after # seconds | rate limit exceeded
+access denied | you don't have permission to view # | forbidden | this page is private | ask the owner for access to #
+site can't be reached | connection timed out after # s | connection refused | no results | an unexpected error occurred while rendering # | something went wrong | oops | we could not load this page
+your session has expired | sign in again to see this page | you have been logged out because of inactivity | please log in | you must be logged in to view
+database error | could not connect to the database | db errno # | ssl handshake failed for #
+error code message trace # | error code accessdenied requestid # | access denied request id # | bad request # | # bad request | http # error | content length #
+traceback most recent call last | file # py line # in load | file line # in module | keyerror # | valueerror | typeerror | indexerror | attributeerror
+java lang exception | java lang illegalstateexception closed | at java util # | at read java # | store closed | exception in thread main | nullpointerexception | fatal error uncaught exception in # on line # | segmentation fault core dumped
+ошибка # | страница # не найдена | внутренняя ошибка сервера | попробуйте обновить страницу позже | код # | невозможно подключиться к базе | повторите попытку через # мин | доступ запрещён | нет прав для просмотра | сервис временно недоступен | время сеанса истекло | войдите снова
+помилка # | сторінку не знайдено | внутрішня помилка сервера | спробуйте пізніше | доступ заборонено | немає прав для перегляду | сервіс тимчасово недоступний
+fehler # | seite wurde nicht gefunden | interner serverfehler | vorübergehend nicht erreichbar | bitte versuchen sie es später noch einmal | zugriff verweigert | keine berechtigung | sitzung ist abgelaufen | melden sie sich erneut an
+error # | no tiene permiso para ver esta página | la página solicitada no existe | ha sido eliminada | error interno del servidor | inténtelo más tarde | página no encontrada | su sesión ha caducado
+erro # | o serviço está indisponível | página não encontrada | erro interno do servidor | tente novamente mais tarde | a sessão expirou | sem permissão para ver esta página
+页面不存在 | 找不到页面 | 服务器内部错误 | 请稍后再试 | 访问被拒绝 | 没有权限查看 | 会话已过期 | 请重新登录 | 服务暂时不可用 | # 错误
+ページが見つかりません | urlをご確認ください | サーバーエラーが発生しました | アクセスが拒否されました | セッションの有効期限が切れました | もう一度ログインしてください | しばらくしてからお試しください
+त्रुटि # | पृष्ठ नहीं मिला | सर्वर त्रुटि | बाद में पुनः प्रयास करें | देखने की अनुमति नहीं है
+ข้อผิดพลาด # | ไม่พบหน้าที่คุณต้องการ | เซิร์ฟเวอร์ขัดข้อง | โปรดลองใหม่ภายหลัง | ไม่มีสิทธิ์เข้าถึงหน้านี้""",
     "filler": """
 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vestibulum pellentesque vivamus ornare curabitur tristique faucibus donec integer mauris nunc vitae lacus mattis
-sample text replace it later
-your text goes here
-text goes here
-content coming soon
-placeholder paragraph please ignore
-this is dummy content for layout purposes only
-this is placeholder text
-dummy text dummy text
-test test test # test
-blah blah blah
-foo bar baz foo bar baz
-text text text text
-asdf asdf jkl asdf
-qwe rty qwe rty
-qwerty qwerty qwerty
-xxxx xxxx xxxx
-hier steht bald ein text
-blindtext blindtext blindtext
-dies ist ein blindtext
-здесь будет текст
-текст рыба для проверки вёрстки
-тут буде текст
-текст заглушка для перевірки верстки
-aquí va el texto de relleno
-texto de relleno
-texto de exemplo substituir depois
-aqui vai o texto de preenchimento
-这里是占位文字
-此处为示例文本
-ここにダミーの文章が入ります
-サンプルテキスト
-यहाँ नमूना पाठ आएगा
-यह केवल भराव पाठ है
-ข้อความตัวอย่าง
-ใส่ข้อความที่นี่""",
+sample text | replace it later | your text goes here | content coming soon | placeholder paragraph | please ignore | dummy content for layout purposes only | this is placeholder text
+test # | blah | foo bar baz | asdf jkl | qwe rty | qwerty | xxxx | xxx | text text
+hier steht bald ein text | blindtext | platzhaltertext
+здесь будет текст | текст рыба для проверки вёрстки | тут буде текст | текст заглушка для перевірки верстки
+texto de relleno | aquí va el texto | texto de exemplo | substituir depois | aqui vai o texto de preenchimento
+占位文字 | 此处为示例文本 | 这里是文字 | ダミーの文章が入ります | サンプルテキスト | ここに文章
+नमूना पाठ | यहाँ भराव पाठ आएगा | ข้อความตัวอย่าง | ใส่ข้อความที่นี่""",
     "chrome": """
-home notes about
-skip to content menu
-start archive note
-back to start page
-contact the administrator if this goes on
-notes service
-all rights reserved
-reload this page
-#""",
+home notes about | skip to content | menu | start archive note | back to start page | contact the administrator if this goes on | notes service | all rights reserved | reload this page | #""",
 }
+_GLUE = frozenset(" ".join(STOPWORDS.values()).split()) | {"#"}
 
 # Names of fields that templates leave to be filled (fixed values), compared without case.
 FIELDS = "title date name author topic project summary text tags tag link url email phone address company city country subject body content description heading header footer id user username first_name last_name note vault file path source titel datum autor thema nombre fecha autor título tema resumen nome data имя дата автор тема название ім'я назва 题 题目 标题 作者 日期 題名 著者 日付 タイトル 本文 शीर्षक नाम ชื่อ"
@@ -217,15 +75,15 @@ _IDENT = rf"(?:[^\W\d]\w*_\w+|{_FIELD})"
 _SWITCH = "NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOGALLERY|HIDDENCAT|INDEX|NOINDEX"
 _HTML = "|".join(TAGS.split())
 _PLACEHOLDER = re.compile(
-    rf"\{{\{{\{{?\s*[^{{}}\s][^{{}}\n]{{0,80}}\}}\}}\}}?|[$#]\{{\s*[^\W\d][\w. :|-]{{0,60}}\}}|%\([^\W\d]\w*\)[sdfr]|%%[^\W\d][\w ]{{1,40}}%%|@@[^\W\d][\w ]{{1,40}}@@"
-    rf"|(?<!\w)__(?!(?:{_SWITCH})__)[A-Z][A-Z_ ]{{2,40}}__(?!\w)|(?<![\w$])\$[A-Z][A-Z_]{{2,40}}\$|<%=?-?\s*[^%\n]{{1,80}}%>|\{{%-?\s*[^%\n]{{1,80}}%\}}|<<\s*[^\W\d]\w{{1,40}}\s*>>"
-    rf"|<(?!(?:(?i:{_HTML}))\b)(?:[A-Z]{{2,}}(?:_[A-Z]+)*)>|<(?i:(?:{ASKS})\s[^<>\n/=]{{2,40}}|[^<>\n/=]{{2,40}}\s(?:{ASKS}))>"
-    rf"|\[(?!\s)(?:[A-Z]+_[A-Z_]+|(?i:{_FIELD}))\](?!\()(?=[^\[]|\Z)|\[\s*(?i:(?:{ASKS})[\s:]\s*[^\[\]\n]{{1,60}}|[^\[\]\n]{{1,60}}\s(?:{ASKS}|here|aquí|aqui|сюда|тут))\](?!\()"
-    rf"|\(\s*(?i:(?:insert|enter|your|type|tu|su|ihr|dein|введите|ваше)\s[^()\n]{{1,40}}\s(?:here|aquí|aqui|hier|сюда))\)|(?<![\w$#{{])\{{{_IDENT}\}}(?![\w}}])"
-    r"|[【\[（(［](?=[^】\]）)］\n]{0,30}(?:在此|请输入|请填写|填写|ここに|入力|記入|題名|标题|タイトル|यहाँ|लिखें|दर्ज करें|ใส่|กรอก|พิมพ์))[^】\]）)］\n]{1,40}[】\]）)］]"
+    rf"\{{\{{\{{?\s*[^{{}}\s][^{{}}\n]*\}}\}}\}}?|[$#]\{{\s*[^\W\d][\w. :|-]*\}}|%\([^\W\d]\w*\)[sdfr]|%%[^\W\d][\w ]+%%|@@[^\W\d][\w ]+@@"
+    rf"|(?<!\w)__(?!(?:{_SWITCH})__)[A-Z][A-Z_ ]{{2,}}__(?!\w)|(?<![\w$])\$[A-Z][A-Z_]{{2,}}\$|<%=?-?\s*[^%\n]+%>|\{{%-?\s*[^%\n]+%\}}|<<\s*[^\W\d]\w+\s*>>"
+    rf"|<(?!(?:(?i:{_HTML}))\b)(?:[A-Z]{{2,}}(?:_[A-Z]+)*)>|<(?i:(?:{ASKS})\s[^<>\n/=]{{2,}}|[^<>\n/=]{{2,}}\s(?:{ASKS}))>"
+    rf"|\[(?!\s)(?:[A-Z]+_[A-Z_]+|(?i:{_FIELD}))\](?!\()(?=[^\[]|\Z)|\[\s*(?i:(?:{ASKS})[\s:]\s*[^\[\]\n]+|[^\[\]\n]+\s(?:{ASKS}|here|aquí|aqui|сюда|тут))\](?!\()"
+    rf"|\(\s*(?i:(?:insert|enter|your|type|tu|su|ihr|dein|введите|ваше)\s[^()\n]+\s(?:here|aquí|aqui|hier|сюда))\)|(?<![\w$#{{])\{{{_IDENT}\}}(?![\w}}])"
+    r"|[【\[（(［](?=[^】\]）)］\n]*(?:在此|请输入|请填写|填写|ここに|入力|記入|題名|标题|タイトル|यहाँ|लिखें|दर्ज करें|ใส่|กรอก|พิมพ์))[^】\]）)］\n]+[】\]）)］]"
 )
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<(code|pre)\b.*?</\1>", re.S)
-_QUOTED = re.compile(r"“[^“”\n]{0,80}”|„[^„“”\n]{0,80}[“”]|«[^«»\n]{0,80}»|「[^「」\n]{0,80}」|『[^『』\n]{0,80}』|(?<![\w\"=])\"[^\"\n]{0,80}\"(?!\w)")
+_QUOTED = re.compile(r"“[^“”\n]*”|„[^„“”\n]*[“”]|«[^«»\n]*»|「[^「」\n]*」|『[^『』\n]*』|(?<![\w\"=])\"[^\"\n]*\"(?!\w)")
 _NUMBER = re.compile(r"(?<!\w)(?:/[\w%.-]+)+/?|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\b[a-f]{8,}\b|\d+(?:[.:,]\d+)*")
 _TERM = re.compile(r"#|[぀-ヿ㐀-鿿]{1,2}|[฀-๿]{1,3}|[ऀ-ॿ]+|[^\W\d_ऀ-ॿ฀-๿぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)*")
 
@@ -266,45 +124,73 @@ def placeholders(text: str) -> list[tuple[int, int]]:
 _HINT = re.compile(r"[{}<>\[@%$【（(［]|__")
 
 
+#: An exemplar of more terms than that is a vocabulary: passages are made of its words in any order and choice.
+VOCABULARY = 40
+
+
 class ResidueIndex:
-    """Inverted index over the exemplars with the idf of their terms in the corpus."""
+    """Inverted index over the labelled exemplars with the idf of their terms in the corpus.
+
+    contained: TF-IDF share of an exemplar that a passage must hold; covered: TF-IDF share of the passage that the exemplars
+    of that kind must make up of which it holds at least half as much. Function words and numbers weigh GLUE of a term.
+    """
 
-    def __init__(self, df: dict[str, int] | None = None, n_docs: int = 0, contained: float = 0.62, covered: float = 0.55):
+    GLUE = 0.25
+
+    def __init__(self, df: dict[str, int] | None = None, n_docs: int = 0, contained: float = 0.5, covered: float = 0.35):
         self.contained, self.covered = contained, covered
-        self.idf: dict[str, float] = {}
+        self.weight: dict[str, float] = {}
         self.exemplars: list[tuple[str, set[str], float]] = []
         self.postings: dict[str, list[int]] = {}
+        self.other = (math.log(n_docs + 1) + 2.0) / 2  # of terms that no exemplar has: halfway between the commonest and the rarest
         df = df or {}
         for kind, lines in EXEMPLARS.items():
-            for line in lines.strip().split("\n"):
-                bag = bag_of(line)
-                for t in bag:
-                    self.idf[t] = math.log((n_docs + 1) / (df.get(t, 0) + 1)) + 1.0
+            for phrase in re.split(r"[|\n]", lines):
+                bag = bag_of(phrase)
+                if not bag:
+                    continue
                 for t in bag:
+                    idf = math.log((n_docs + 1) / (df.get(t, 0) + 1)) + 1.0
+                    self.weight[t] = idf * self.GLUE if t in _GLUE else idf
                     self.postings.setdefault(t, []).append(len(self.exemplars))
-                self.exemplars.append((kind, bag, sum(self.idf[t] for t in bag)))
-        self.vocabulary = frozenset(self.idf)
+                self.exemplars.append((kind, bag, sum(self.weight[t] for t in bag)))
+        self.vocabulary = frozenset(self.weight)
 
     def match(self, passage: str) -> str | None:
-        """The kind of the exemplar that the passage contains, or is contained in, to a high degree."""
+        """The kind whose exemplars, those that the passage holds to a high degree, cover it to a high degree."""
         bag = bag_of(passage)
-        if len(bag & self.vocabulary) < self.covered * len(bag) or not bag:  # no exemplar can cover enough of it
+        known = bag & self.vocabulary
+        if not known:
+            return None
+        if _QUOTED.search(passage):  # a passage that quotes in passing doesn't say it itself; one of quotations only does
+            own = bag_of(_QUOTED.sub(" ", passage))
+            if 2 * len(own) > len(bag):
+                known &= own
+        weight, glue = self.weight, self.other * self.GLUE
+        whole = sum(weight[t] for t in known) + sum(glue if t in _GLUE else self.other for t in bag - known)
+        if sum(weight[t] for t in known) < self.covered * whole:
             return None
         hits: Counter = Counter()
-        for t in bag:
-            for e in self.postings.get(t, ()):
-                hits[e] += self.idf[t]
-        best, kind = 0.0, None
+        for t in known:
+            for e in self.postings[t]:
+                hits[e] += weight[t]
+        union: dict[str, set[str]] = {}
+        sure = set()
         for e, mass in hits.items():
-            k, ex, whole = self.exemplars[e]
-            share = len(bag & ex) / len(bag)
-            if len(ex) > 40:  # a vocabulary rather than a passage: the passage must lie within it
-                score = share if share >= 0.8 and len(bag) >= 2 else 0.0
+            kind, ex, full = self.exemplars[e]
+            if len(ex) > VOCABULARY:
+                held = len(bag) > 1 and len(bag & ex) >= 0.8 * len(bag)
             else:
-                contained = mass / whole
-                score = contained * share if contained >= self.contained and share >= self.covered else 0.0
-            if score > best:
-                best, kind = score, k
+                held = mass >= self.contained * full and not known & ex <= _GLUE
+            if held:
+                sure.add(kind)
+            if held or mass >= self.contained / 2 * full:
+                union.setdefault(kind, set()).update(ex)
+        best, kind = self.covered, None
+        for k in sure:
+            share = sum(weight[t] for t in known & union[k]) / whole
+            if share >= best:
+                best, kind = share, k
         return kind
 
     def kind(self, text: str | None) -> str | None:
@@ -319,7 +205,7 @@ class ResidueIndex:
             line = line.strip()
             if not line:
                 continue
-            whole = self.match(line) if len(line) < 400 else None
+            whole = self.match(line)
             begin = 0
             for end in [len(line)] if whole else boundaries(line):
                 unit = line[begin:end].strip()

@@ -206,3 +206,15 @@ def test_sentence_abbreviations_before_numbers_and_line_breaks():
     assert units("The label reads v.\n18.4.1, see fig. 2 for details. I said no. Then it went.") == ["The label reads v.\n18.4.1, see fig. 2 for details.", "I said no.", "Then it went."]
     assert units("According to Dr.\nVel it can be trusted.A short test. He has a Ph.D in it.") == ["According to Dr.\nVel it can be trusted.", "A short test.", "He has a Ph.D in it."]
     assert units("น้ำหนักคือประมาณ 27.8 กิโลกรัมซึ่งหนัก ดร. Kin เขียน") == ["น้ำหนักคือประมาณ 27.8 กิโลกรัมซึ่งหนัก", "ดร. Kin เขียน"]
+
+
+def test_residue_in_words_of_its_own_and_beyond_old_bounds():
+    index = R.ResidueIndex()
+    for text, kind in [
+        ("The server is down for maintenance. Please try again later.", "error_page"), ("You don't have permission to open this page.", "error_page"), ("Die Sitzung ist leider abgelaufen, melden Sie sich bitte an.", "error_page"),
+        ("Scripts are off: turn them on in your browser and reload.", "script_notice"), ("Для работы сайта включите JavaScript в браузере.", "script_notice"), ("Placeholder text, please replace later.", "filler"),
+        ("We read “" + "page not found " * 12 + "” on the old screen, and nobody in the archive knew which of the many clocks had shown it or what for.", None),
+        ("The note says “{{" + "title of the note " * 8 + "}}” as a joke.", None), ("A real note. {{" + "title of the note " * 8 + "}} It goes on.", "placeholder"),
+        ("This page could not be found on this server. " * 30, "error_page"),
+    ]:
+        assert index.kind(text) == kind, text

@@ -23,10 +23,10 @@ REFUSALS = [
     "i cannot answer", "i can't answer", "i can not answer", "cannot be answered", "can't be answered", "can't answer that", "cannot answer that", "cannot answer this", "can't answer this", "won't be able to", "i cannot share", "i can't share", "i cannot provide", "i can't provide", "i cannot discuss", "i can't discuss", "i cannot comply", "i can't comply", "i must decline", "i have to decline", "i won't answer", "i will not answer",
     "i'd rather not", "i would rather not", "i prefer not to", "beyond what i am able", "beyond what i'm able", "outside what i am able", "not something i can", "i'm not allowed", "i am not allowed", "i am not permitted", "i'm not permitted",
     "as a language model", "as an ai", "as a large language model", "i'm just an ai", "i am just an ai", "i do not have access to", "i don't have access to", "i don't have enough information", "i do not have enough information",
-    "no answer can be given", "does not contain enough information", "doesn't contain enough information", "do not contain enough information", "don't contain enough information", "does not contain the answer", "doesn't contain the answer", "context does not provide", "context doesn't provide", "not enough context", "not enough information to answer", "insufficient context", "insufficient information", "context is insufficient", "passages don't mention", "passages do not mention", "context does not mention", "context doesn't mention", "cannot be determined from the", "can't be determined from the", "the given context", "based on the provided context, i can", "not mentioned in the provided", "not found in the provided",
-    "не могу ответить", "не могу помочь", "я не могу", "не вправе обсуждать", "я не вправе", "как языковая модель", "как модель", "не имею доступа", "недостаточно данных для ответа", "недостаточно информации", "контексте нет", "контексте недостаточно", "нет ответа на этот вопрос", "не в состоянии ответить",
+    "no answer can be given", "does not contain enough information", "doesn't contain enough information", "do not contain enough information", "don't contain enough information", "does not contain the answer", "doesn't contain the answer", "context does not provide", "context doesn't provide", "not enough context", "not enough information to answer", "insufficient context", "insufficient information", "context is insufficient", "passages don't mention", "passages do not mention", "context does not mention", "context doesn't mention", "cannot be determined from the", "can't be determined from the", "the given context does not", "the given context doesn't", "the given context can't", "the given context cannot", "based on the provided context, i can't", "based on the provided context, i cannot", "not mentioned in the provided", "not found in the provided",
+    "не могу ответить", "не могу помочь", "не могу обсуждать", "не могу поделиться", "не могу комментировать", "не вправе обсуждать", "я не вправе", "как языковая модель", "не имею доступа", "недостаточно данных для ответа", "недостаточно информации", "контексте нет", "контексте недостаточно", "нет ответа на этот вопрос", "не в состоянии ответить",
     "не можу відповісти", "не можу допомогти", "як мовна модель", "не маю доступу", "контексту недостатньо", "недостатньо інформації", "недостатньо даних", "не маю права обговорювати", "не маю змоги відповісти",
-    "kann ich nicht beantworten", "kann ich leider nicht", "nicht beantworten", "kann dabei nicht helfen", "kann ich nicht helfen", "als sprachmodell", "als ki-modell", "keinen zugriff auf", "reicht für eine antwort", "kontext reicht", "nicht genügend informationen", "nicht genug informationen", "darf ich nicht", "möchte ich nicht spekulieren",
+    "kann ich nicht beantworten", "kann ich leider nicht", "nicht beantworten", "kann dabei nicht helfen", "kann ich nicht helfen", "als sprachmodell", "als ki-modell", "keinen zugriff auf", "reicht für eine antwort", "kontext reicht", "nicht genügend informationen", "nicht genug informationen", "darf ich nicht beantworten", "darf ich nicht besprechen", "darf ich nicht teilen", "möchte ich nicht spekulieren",
     "no puedo responder", "no puedo ayudar", "como modelo de lenguaje", "no tengo acceso", "no contiene información suficiente", "información insuficiente", "contexto insuficiente", "no hay suficiente información", "no puedo compartir", "no me es posible responder",
     "não posso responder", "não posso ajudar", "como modelo de linguagem", "não tenho acesso", "não chega para responder", "não é suficiente para responder", "não contém informação suficiente", "não contém informações suficientes", "informação insuficiente", "contexto insuficiente", "não consigo responder",
     "无法回答", "不能回答", "作为一个语言模型", "作为语言模型", "作为一个ai", "作为ai", "不足以回答", "没有足够的信息", "信息不足", "无法提供", "不便讨论", "不方便透露",
@@ -133,15 +133,34 @@ def is_empty(answer: str | None) -> bool:
 _QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|(?<!\w)\"[^\"]*\"")
 
 
+# Words that turn to the answer behind a phrase of regret (fixed values), and starts of a clause that is no answer.
+TURNS = "but however yet though still instead но однако зато але проте однак aber jedoch doch allerdings pero sino aunque mas porém contudo но 但 但是 不过 然而 しかし ただし でも लेकिन परंतु मगर แต่"
+_TURN = re.compile("|".join(rf"(?<!\w){w}(?!\w)" if ord(w[0]) < 0x900 else w for w in sorted(set(TURNS.split()), key=len, reverse=True)))
+_NO_ANSWER = re.compile(r"\W*(?:i|we|you|please|feel|if|let|я|мы|вы|если|можете|ich|sie|wenn|bitte|yo|usted|puede|puedes|si|eu|você|pode|se|ви|якщо|我|您|你|如果|私|もし|मैं|आप|यदि|ฉัน|คุณ|หาก)(?!\w)|\W*(?:我|您|你|如果|私|もし|ฉัน|คุณ|หาก)")
+
+
+def _answers_behind(low: str, end: int) -> bool:
+    """Whether a clause behind the refusing phrase turns to an answer after all."""
+    m = _TURN.search(low, end)
+    return bool(m) and not _NO_ANSWER.match(low, m.end()) and len(tokens_of(low[m.end() :])) >= 3
+
+
 def is_refusal(answer: str) -> bool:
-    """Whether a refusal phrase stands outside quotations; the automaton reads the whole answer once."""
+    """Whether a refusal phrase of whole words stands outside quotations with no answer behind it; the automaton reads the whole answer once."""
     low = answer.casefold().replace("’", "'").replace("ʼ", "'")
     low = re.sub(r"\s+", " ", low)
     hits = [(end - len(p) + 1, end + 1) for end, p in _REFUSAL.iter(low)]
+    hits = [(s, e) for s, e in hits if not (_joined(low, s) or _joined(low, e))]
     if not hits:
         return False
     quotes = [m.span() for m in _QUOTED.finditer(low)]
-    return any(not any(a <= s and e <= b for a, b in quotes) for s, e in hits)
+    hits = [(s, e) for s, e in hits if not any(a <= s and e <= b for a, b in quotes)]
+    return bool(hits) and not _answers_behind(low, max(e for _, e in hits))
+
+
+def _joined(low: str, at: int) -> bool:
+    """Whether letters of a script with spaces stand on both sides of a position, so that a word goes on there."""
+    return 0 < at < len(low) and all(c.isalpha() and ord(c) < 0x900 for c in low[at - 1 : at + 1])
 
 
 def is_copied(question: str | None, answer: str) -> bool:
@@ -271,9 +290,8 @@ def shape(token: str) -> str:
 
 def last_tokens(text: str) -> list[str]:
     """The last DEPTH + 1 tokens of the text in their shapes, commas included, not crossing a sentence mark; the word itself first."""
-    tail = text[-240:]
-    cut = max((m.end() for m in _SENT.finditer(tail)), default=0)
-    tail = tail[cut:] or tail
+    cut = max((m.end() for m in _SENT.finditer(text)), default=0)
+    tail = text[cut:] or text
     raw = _LAST.findall(tail)
     if not raw:
         return []
@@ -401,6 +419,10 @@ LEAST_SEEN = 6
 FINAL_SHARE = 0.12
 
 
+#: Places a gram of many open endings is spread over.
+SALTS = 16
+
+
 def broken_pairs(pairs: DataFrame, key: str, question: str = "question", answer: str = "answer") -> DataFrame:
     """(key, defect): one row for each defective question-answer pair, with its one defect type.
 
@@ -420,7 +442,10 @@ def broken_pairs(pairs: DataFrame, key: str, question: str = "question", answer:
     grams = open_.select("_k", "_short", F.posexplode(F.pandas_udf(_grams_of_tail, T.ArrayType(T.StringType()))("_t")).alias("_i", "gram"))
     counts = rows.filter(F.col("_a").isNotNull()).select(F.col("_a").alias("a")).mapInPandas(_count_endings, "gram string, n_final long, n_total long")
     counts = counts.groupBy("gram").agg(F.sum("n_final").alias("n_final"), F.sum("n_total").alias("n_total"))
-    seen = grams.join(counts, "gram", "left").groupBy("_k").agg(
+    # a gram of many endings is asked for in SALTS places, each once, and its count goes back to each of them
+    grams = grams.withColumn("_salt", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int"))
+    asked = grams.select("gram", "_salt").distinct().join(counts, "gram")
+    seen = grams.join(asked, ["gram", "_salt"], "left").groupBy("_k").agg(
         F.collect_list(F.struct("_i", "gram", F.coalesce("n_final", F.lit(0)).alias("f"), F.coalesce("n_total", F.lit(0)).alias("n"))).alias("_g"), F.first("_short").alias("_short")
     )
     cut = F.pandas_udf(_is_cut, T.BooleanType())(F.col("_g.gram"), F.col("_g.f"), F.col("_g.n"), F.col("_short"))

@@ -218,3 +218,19 @@ def test_residue_in_words_of_its_own_and_beyond_old_bounds():
         ("This page could not be found on this server. " * 30, "error_page"),
     ]:
         assert index.kind(text) == kind, text
+
+
+def test_refusals_are_whole_phrases_without_an_answer_behind_them():
+    for t in (
+        "As an airline pilot she flew to Rome every week.", "As an aim of the project, the mill was moved.", "Photosynthesis works best in the given context of strong light and water.", "Эта сеть ведёт себя как модель мозга и учится.",
+        "Я не могу сказать точно, но столица Франции — Париж.", "I can't answer that exactly, but the mill was moved in 1905.", "The sign said “I cannot answer that question” in red.", "Das darf ich nicht vergessen: die Mühle steht am Fluss.",
+    ):
+        assert not P.is_refusal(t), t
+    for t in ("As an AI, I can't share this.", "I'm sorry, but I can't help with that question.", "I cannot answer this, but you can ask someone else.", "Извините, но я не могу ответить на этот вопрос.", "抱歉，我无法回答这个问题。", "Leider darf ich nicht besprechen, was dort steht."):
+        assert P.is_refusal(t), t
+
+
+def test_a_long_last_sentence_keeps_its_start():
+    words = "the wheel turned and the river ran " * 20
+    assert P.last_tokens("It began. " + words + "because of")[0] == "" and P.last_tokens("It began. Near the mill")[0] == "<s>"
+    assert P.last_tokens("mill" * 200)[0] == "<s>"  # one word longer than any window

@@ -133,12 +133,15 @@ def load_pieces(path: str) -> set[str]:
 class UnigramModels:
     """Per-language piece probabilities; score(word) sums the probability of every segmentation of the word."""
 
-    MAX_PIECE = 12
     KNOWN = 200_000
+    KNOWN_LETTERS = 24  # longer runs hardly come again and aren't remembered
     FLOOR = 1e-7  # of a character outside the pieces seen in a language
 
     def __init__(self, pieces: dict[str, tuple[float, ...]]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
+        # beginnings of pieces, None where they are no piece themselves: a walk along a word ends where no piece goes on
+        self._walk: dict[str, tuple[float, ...] | None] = {p[:n]: None for p in pieces for n in range(1, len(p))} | pieces
         self._known: dict[tuple[str, ...], dict[str, tuple[float, ...]]] = {}
 
     def __getstate__(self):
@@ -152,44 +155,59 @@ class UnigramModels:
         known = self._known.setdefault(langs, {})
         if len(known) > self.KNOWN:
             known.clear()
+        out = []
         for w in words:
-            if w not in known:
-                known[w] = self._score(w, langs)
-        return [known[w] for w in words]
+            score = known.get(w)
+            if score is None:
+                score = self._score(w, langs)
+                if len(w) <= self.KNOWN_LETTERS:
+                    known[w] = score
+            out.append(score)
+        return out
 
     def _score(self, word: str, langs: tuple[str, ...] = LANGS) -> tuple[float, ...]:
         """Log probability of word in each of langs by the forward algorithm over all its segmentations."""
-        n, get, floor = len(word), self.pieces.get, self.FLOOR
-        found = [(i, j, p) for j in range(1, n + 1) for i in range(max(0, j - self.MAX_PIECE), j) if (p := get(word[i:j])) is not None]
+        n, walk, floor = len(word), self._walk, self.FLOOR
+        arcs = []
+        for i in range(n):
+            own = []
+            for j in range(i + 1, n + 1):
+                p = walk.get(word[i:j], walk)
+                if p is walk:
+                    break
+                if p is not None:
+                    own.append((j, p))
+            arcs.append(own)
         out = []
         for li in map(LANGS.index, langs):
-            a, log, done = [1.0] + [0.0] * n, 0.0, 0
-            for i, j, p in found:  # arcs come by end; a[done + 1 .. j - 1] had no arcs left
-                while done < j:
-                    if done and done % 16 == 0:  # keep the numbers in range
-                        scale = 1.0 / max(a[done], 1e-280)
-                        lo = max(0, done - self.MAX_PIECE)
-                        a[lo : done + 1] = [x * scale for x in a[lo : done + 1]]
-                        log -= math.log(scale)
-                    done += 1
-                    a[done] = a[done - 1] * floor
-                a[j] += a[i] * p[li]
-            while done < n:
-                done += 1
-                a[done] = a[done - 1] * floor
-            out.append(math.log(max(a[n], 1e-290)) + log)
+            a, log = [1.0] + [0.0] * n, 0.0
+            for i, own in enumerate(arcs):  # arcs come by start, so a[i] is complete
+                here = a[i]
+                if i % 16 == 15:  # keep the numbers in range
+                    end = min(n, i + self.longest) + 1
+                    a[i:end] = [x / here for x in a[i:end]]
+                    log += math.log(here)
+                    here = 1.0
+                a[i + 1] += here * floor
+                for j, p in own:
+                    a[j] += here * p[li]
+            out.append(math.log(a[n]) + log)
         return tuple(out)
 
     @classmethod
     def fit(cls, texts: list[tuple[str, str]], vocabulary: set[str], rounds: int = 1, smooth: float = 0.2) -> UnigramModels:
-        """From (language, text) rows: expected piece counts over all segmentations (forward-backward), a few rounds."""
+        """From (language, text) rows: expected piece counts over all segmentations (forward-backward), a few rounds.
+
+        Runs of scripts without spaces are fitted in stretches of KNOWN_LETTERS; they are scored whole.
+        """
         words: Counter = Counter()
         for lang, text in texts:
             li = LANGS.index(lang)
             for w in pieces_of(text):
-                words[li, w] += 1
+                for i in range(0, len(w), cls.KNOWN_LETTERS):
+                    words[li, w[i : i + cls.KNOWN_LETTERS]] += 1
         chars = {c for _, w in words for c in w}
-        usable = {p for p in vocabulary | chars if len(p) <= cls.MAX_PIECE}
+        usable = vocabulary | chars
         long = max(map(len, usable), default=1)
 
         def arcs(w: str) -> list[tuple[int, int, str]]:
@@ -228,11 +246,8 @@ class UnigramModels:
 
 
 def pieces_of(text: str) -> list[str]:
-    """Runs of letters that the models score: lower-case words, and runs of scripts without spaces cut into stretches of at most 24 letters."""
-    out = _ANY_RUN.findall(text.lower())
-    if max(map(len, out), default=0) > 24:
-        out = [w[i : i + 24] for w in out for i in range(0, len(w), 24)]
-    return out
+    """Runs of letters that the models score, in lower case: words, and whole runs of scripts without spaces."""
+    return _ANY_RUN.findall(text.lower())
 
 
 #: A term in brackets or quotation marks; longer quotations, or such with sentence marks, are text of their sentence.
@@ -257,7 +272,8 @@ class Identifier:
     def sentence(self, text: str) -> tuple[str, float] | None:
         """(language, confidence) of one sentence unit; names, and terms in brackets or quotation marks don't count; None without enough letters.
 
-        The script decides which languages can have written it; their unigram models share the confidence.
+        The script decides which languages can have written it; their unigram models share the confidence, where it is
+        one language with the models of all others, to which its letters are unknown.
         """
         core = _ASIDE.sub(" ", text) if _QUOTES.search(text) else text
         if core.isascii():
@@ -288,15 +304,15 @@ class Identifier:
                 allowed = ("ja",) if counts["kana"] * 10 >= counts["han"] else WRITES["han"]
             else:
                 allowed = WRITES[script]
-        if len(allowed) == 1:
-            return allowed[0], 1.0
         words = pieces_of(_NAME.sub(" ", core)) or pieces_of(core)
         return self._best(words, allowed) if words else None
 
     def _best(self, words: list[str], allowed: tuple[str, ...]) -> tuple[str, float]:
         own = [sum(column) for column in zip(*self.models.scores(words, allowed))]
+        if len(allowed) == 1:  # the models of other scripts have none of the letters, so each gives them the floor
+            own += [sum(map(len, words)) * math.log(self.models.FLOOR)] * (len(LANGS) - 1)
         top = max(own)
-        return allowed[own.index(top)], 1.0 / sum([math.exp(max(-700.0, v - top)) for v in own])
+        return allowed[min(own.index(top), len(allowed) - 1)], 1.0 / sum([math.exp(max(-700.0, v - top)) for v in own])
 
     def text(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, language, confidence) of each maximal run of sentences in one language.

@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from skein.session import spread
+from skein.session import materialize, spread
 
 KINDS = ("html", "markdown", "wiki", "latex")
 #: Pages a host must have before a share of them means anything.
@@ -26,13 +26,13 @@ BLOCKS = {"aside", "div", "dl", "footer", "form", "header", "menu", "nav", "ol",
 COMMANDS = "alpha beta gamma delta epsilon varepsilon zeta eta theta lambda mu nu xi pi rho sigma tau phi varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Phi Psi Omega le leq ge geq ne neq approx equiv sim times cdot pm mp div sum prod int oint infty partial nabla forall exists in notin subset subseteq cup cap to rightarrow leftarrow Rightarrow mapsto ldots cdots dots quad qquad item hline newline linebreak noindent maketitle tableofcontents centering par LaTeX TeX sin cos tan log ln exp lim max min sqrt left right bigl bigr ell hbar circ"
 
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(/?)({_NAMES})(?:\s*/?>|\s[^<>]*>|(?=\s+[\w-]+\s*=)[^<>\n]*|(?<=[a-z][a-z0-9])(?=\n|\Z))", re.I | re.S)
-_ESCAPED_TAG = re.compile(rf"&lt;/?(?:{_NAMES})\b[^<>]{{0,200}}?&gt;", re.I)
+_ESCAPED_TAG = re.compile(rf"&lt;/?(?:{_NAMES})\b(?:(?!&[lg]t;)[^<>])*&gt;", re.I)
 _REF = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,31}));")
 
 _FENCE = re.compile(r"^(```+|~~~+)[^\n`]*\n.*?(?:^\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _CODE = re.compile(r"(?<!`)(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)")
 _MATH_ENV = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}.*?(?:\\end\{\1\2\}|\Z)", re.S)
-_MATH = re.compile(r"\$\$(?=[^$])(.+?)\$\$|\\\((.+?)\\\)|\\\[(.+?)\\\]|(?<![\\$\w])\$(?=[^\s$])([^$\n]{0,200}?[^\s$\\]|[^\s$])\$(?![\w$])", re.S)
+_MATH = re.compile(r"\$\$(?=[^$])(.+?)\$\$|\\\((.+?)\\\)|\\\[(.+?)\\\]|(?<![\\$\w])\$(?=[^\s$])([^$\n]*?[^\s$\\]|[^\s$])\$(?![\w$])", re.S)
 _MATHY = re.compile(r"[\\^_=+<>{}*/|]|\A[A-Za-z]\Z|\A[A-Za-z]\s*[-+]\s*\d|\d\s*[-+]\s*[A-Za-z]")
 _COMMAND = re.compile(rf"\\(?:begin|end)\s*\{{[A-Za-z]+\*?\}}|(?<![\w:\\])~?\\[A-Za-z]+\*?\s?(?:\[[^\]\n]*\])?\{{|(?<![\w:\\])\\(?:{'|'.join(COMMANDS.split())})(?![A-Za-z\\])|(?<![\w:\\])\\[A-Za-z]+(?=[\^_{{])|(?<=[\w\s)])\\[%&#$](?=[\s.,;:)\]\w]|\Z)")
 
@@ -172,7 +172,7 @@ class _Reader:
                 stack.append(len(elements))
                 elements.append([name, m.start(), len(s), 0])
         runs.append((at, len(s), lead))
-        hashes = [(a, b, xxhash.xxh64_intdigest(" ".join(s[a:b].split())) - (1 << 63) if tag in BLOCKS and n > 1 else None, tag) for tag, a, b, n in elements]
+        hashes = [(a, b, xxhash.xxh64_intdigest(_shape(s[a:b])) - (1 << 63) if tag in BLOCKS and n > 1 else None, tag) for tag, a, b, n in elements]
         out = []
         for a, b, lead in runs:
             over = [(h, tag) for x, y, h, tag in hashes if x < a and b <= y and y - x > 0 and not (y <= a)]
@@ -242,7 +242,7 @@ class _Reader:
 
         def to(m: re.Match) -> str:
             nonlocal n
-            if s[m.start() + 2 : m.end()].lstrip().startswith("\\") or _LATEX_BEFORE.search(s, max(0, m.start() - 200), m.start()):
+            if s[m.start() + 2 : m.end()].lstrip().startswith("\\") or _LATEX_BEFORE.search(s, s.rfind("\n", 0, m.start()) + 1, m.start()):
                 return m.group()
             n += 1
             return ""
@@ -279,14 +279,22 @@ class _Reader:
         s = re.sub(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}", lambda m: "\n" + "#" * (1 + max(0, ["chapter", "section", "subsection", "subsubsection", "paragraph"].index(m.group(1)) if m.group(1) != "part" else 0)) + f" {m.group(2)}\n", s)
         s = re.sub(r"~?\\(?:cite[a-z]*|ref|eqref|label|pageref|index|bibliography[a-z]*|usepackage|documentclass)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "", s)
         s = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", s)
-        for _ in range(4):
+        n = 1
+        while n:  # from the innermost command outwards
             s, n = re.subn(r"\\[A-Za-z]+\*?\s?(?:\[[^\]\n]*\])*\{([^{}]*)\}", r"\1", s)
-            if not n:
-                break
         s = re.sub(r"\\([%&#$_{}])", r"\1", s)
         return re.sub(rf"(?<![\w:\\])\\(?:{'|'.join(COMMANDS.split())})(?![A-Za-z])\s?", "", s)
 
 
+_ATTRIBUTES = re.compile(r"<(/?\w+)[^<>]*>")
+_DIGITS = re.compile(r"\d+")
+
+
+def _shape(element: str) -> str:
+    """An element as its recurrence is counted: tags without attributes, folded text, numbers alike, white space single."""
+    return " ".join(_DIGITS.sub("#", _ATTRIBUTES.sub(r"<\1>", element).casefold()).split())
+
+
 def read_markup(text: str | None) -> tuple[list[str], list[tuple[list[int], str]]]:
     """(kinds, pieces): the kinds of markup in a text, and its clean text in pieces with the hashes of the block subtrees they stand in."""
     if text is None:
@@ -317,18 +325,14 @@ def _read(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kinds": kinds, "pieces": pieces})
 
 
-def _subtrees(texts: pd.Series) -> pd.Series:
-    """Hashes of the block subtrees in each text."""
-    return texts.map(lambda t: sorted({h for over, _ in read_markup(t)[1] for h in over}))
-
-
 def clean_markup(fields: DataFrame, min_share: float = 0.5) -> DataFrame:
     """(tbl, row_id, field, kinds, clean_text, n_template): clean text of every field, and the kinds of markup it held.
 
     fields: (tbl, row_id, field, host, page, content). Method: markup is read into a tree; every block
     subtree with several children (BLOCKS) is hashed; the pages of each host that hold a subtree are counted in
     Spark; subtrees on at least min_share of the host's pages are site template and are deleted, whatever the
-    size of the table. Hosts with fewer than RECURRING pages show no recurrence and keep everything. What remains
+    size of the table. Subtrees are the same if their tags are and their text is but for letter case and numbers, so an
+    attribute that marks the page one is on, or a counter, doesn't hide a menu. Hosts with fewer than RECURRING pages show no recurrence and keep everything. What remains
     keeps its structure: "# " headings, "- " lists, fenced code, $ formulas; tables become rows with " | ".
 
     The counts join back on (host, hash, salt): the recurring subtrees, few for each host (at most the number of
@@ -338,12 +342,10 @@ def clean_markup(fields: DataFrame, min_share: float = 0.5) -> DataFrame:
     """
     salts = 8
     own = fields.select("tbl", "row_id", "field", F.coalesce("host", F.lit("")).alias("_host"), F.coalesce("page", F.lit("")).alias("_page"), "content")
-    own = spread(own)
-    read = own.select("tbl", "row_id", "field", F.col("content").isNull().alias("_null"), F.pandas_udf(_read, _READ)("content").alias("_r"))
-    # only texts with a tag, plain or escaped, hold subtrees; the others aren't read for the counts
-    tagged = own.filter(F.col("content").contains("<") | F.col("content").contains("&lt;"))
-    held = tagged.select("tbl", "row_id", "field", "_host", "_page", F.pandas_udf(_subtrees, T.ArrayType(T.LongType()))("content").alias("_h"))
-    held = held.select("tbl", "row_id", "field", "_host", "_page", F.explode("_h").alias("_hash"))
+    read = spread(own).select("tbl", "row_id", "field", "_host", "_page", F.col("content").isNull().alias("_null"), F.pandas_udf(_read, _READ)("content").alias("_r"))
+    # every text is read once: the counts below and the clean text both come from what is written here
+    read = materialize(read, "markup-read")
+    held = read.select("tbl", "row_id", "field", "_host", "_page", F.explode(F.array_distinct(F.flatten("_r.pieces.over"))).alias("_hash"))
     per_hash = held.select("_host", "_page", "_hash").distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n"))
     pages = own.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     template = per_hash.join(pages, "_host").filter((F.col("_pages") >= RECURRING) & (F.col("_n") >= min_share * F.col("_pages")))

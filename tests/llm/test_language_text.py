@@ -234,3 +234,17 @@ def test_a_long_last_sentence_keeps_its_start():
     words = "the wheel turned and the river ran " * 20
     assert P.last_tokens("It began. " + words + "because of")[0] == "" and P.last_tokens("It began. Near the mill")[0] == "<s>"
     assert P.last_tokens("mill" * 200)[0] == "<s>"  # one word longer than any window
+
+
+def test_template_with_small_differences_goes_and_recurring_words_stay(spark):
+    menu = lambda i: "<nav>" + "".join(f'<a href="/{n}"{" class=active" if n == i % 3 else ""}>Part {n}</a>' for n in range(3)) + f"<i>{i} visitors</i></nav>"
+    rows_ = [("c", i, "f", "h", f"h/{i}", f"{menu(i)}<p>The <b>mill</b> text {'abcdefgh'[i]}</p>") for i in range(8)]
+    out = M.clean_markup(spark.createDataFrame(rows_, "tbl string, row_id int, field string, host string, page string, content string")).collect()
+    assert {r.clean_text for r in out} == {f"The mill text {c}" for c in "abcdefgh"} and all(r.n_template == 1 and r.kinds == ["html"] for r in out)
+
+
+def test_markup_beyond_old_bounds():
+    assert M.read_markup("x &lt;a href=" + "y" * 400 + "&gt;z")[0] == ["html"]
+    assert M.read_markup("$a_{1} + " + "b + " * 100 + "c$")[0] == ["latex"]
+    deep = "\\textbf{" * 9 + "x" + "}" * 9
+    assert "".join(t for _, t in M.read_markup(deep)[1]) == "x"

@@ -17,8 +17,9 @@ STOP_SECTIONS = ["См. также", "Литература", "Примечани
 PHRASE_WORDS = ["без", "не", "ни", "с", "по", "для", "из", "от", "до", "под", "над", "через", "между", "против", "вне", "при", "without", "not", "with", "by", "according to", "for", "from", "of", "before", "until", "under", "over", "through", "between", "against", "outside", "at", "during"]
 NO_CONTEXT = "No relevant context found."
 
+# Formats of links in notes (fixed values): "- relation:: [[target]]" anywhere, [[target|label]], a link line with any list mark.
 TYPED_LINK = r"-?\s*(.+?)\s*::\s*\[\[\s*(.+?)\s*\]\]"
-WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
+WIKILINK = r"\[\[\s*([^\]|\n]+)(?:\|[^\]]+)?\s*\]\]"
 LINE_LINK = r"(?md)^\s*(?:[-*+]\s+)?([^\n]*?)\s*::\s*\[\[([^\n]*?)\]\]"
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -80,6 +81,11 @@ def wikilinks(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(1)), lambda t: F.trim(t))
 
 
+def split_label(target: Column) -> Column:
+    """struct<name, label> of a link target "name|label"; label is null where there is none."""
+    return F.struct(F.substring_index(target, "|", 1).alias("name"), F.when(F.contains(target, F.lit("|")), F.substring(target, F.instr(target, "|") + 1, F.length(target))).alias("label"))
+
+
 def clean_for_model(text: Column, header_line: str = "## Related Connections") -> Column:
     """Front matter, everything from the link header on, and link lines removed; three or more newlines squeezed; trimmed."""
     c = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", "")

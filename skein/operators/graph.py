@@ -71,8 +71,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node id of each component of undirected edges (src, dst).
 
     Alternates large-star and small-star steps: every node is hung below the least node of its neighbourhood until
-    nothing changes. Rounds grow with the logarithm of the component size; a node with very many neighbours is
-    only ever reduced by a minimum, never gathered. Each round is materialised; only a count comes to the driver.
+    nothing changes. Rounds grow with the logarithm of the component size; more than max_rounds raise an error. The least
+    neighbour of a node is a minimum that combines before the shuffle, and it goes back to the node's edges in SALTS
+    places, so the edges of a hub are spread. Each round is materialised; only a count comes to the driver.
     """
     edge = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
     current = materialize(edge, "components")
@@ -80,19 +81,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = current.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(current.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         low = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("lowest"))
-        large = both.join(low, "n").filter("m > n").select(F.col("m").alias("hi"), F.col("lowest").alias("lo"))
+        large = _spread_join(both, low, "n", "m").filter("m > n").select(F.col("m").alias("hi"), F.col("lowest").alias("lo"))
         down = large.filter("hi <> lo").distinct()
         least = down.groupBy("hi").agg(F.min("lo").alias("lowest"))
-        small = down.join(least, "hi").select(F.col("lo").alias("hi"), F.col("lowest").alias("lo")).unionByName(least.select("hi", F.col("lowest").alias("lo")))
+        small = _spread_join(down, least, "hi", "lo").select(F.col("lo").alias("hi"), F.col("lowest").alias("lo")).unionByName(least.select("hi", F.col("lowest").alias("lo")))
         current = materialize(small.filter("hi <> lo").distinct(), "components")
         now = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
         if now == signature:
             break
         signature = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes.join(current.select(F.col("hi").alias("node"), "lo"), "node", "left").select("node", F.coalesce("lo", "node").alias("component"))
 
 
+SALTS = 16
+
+
+def _spread_join(many: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
+    """many joined with one (a row a key), the rows of a key spread over SALTS places by the column other."""
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(copies, [key, "_salt"]).drop("_salt")
+
+
 def resolve_entities(pairs: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """((node, component), merged edges): nodes joined by pairs (a, b, similarity >= threshold) become their least id; self-loops and repeated edges go."""
     groups = connected_components(pairs.filter(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))

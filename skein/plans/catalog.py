@@ -457,7 +457,7 @@ def _files(t) -> DataFrame:
 
 @query
 def content_hash_changes(t):
-    return I.changes(_files(t), t("chunks").select("file_path", F.col("file_hash").alias("hash")))
+    return I.changes(_files(t), t("chunks").select("file_path", F.col("file_hash").alias("hash"), "indexed_at", "chunk_id"))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from skein.functions import text as X
 from skein.operators import chunking as C, grouping as P, links as L, search as S
 from skein.plans.providers import Classifier, CoverageReranker, Reranker
+from skein.session import path_exists
 from skein.sources.sinks import append_done
 from skein.sources.vault import VaultConfig
 
@@ -66,8 +66,15 @@ def titles_in_text(pages: DataFrame, titles: DataFrame) -> DataFrame:
     return titles.join(sentences_of_titles(pages, titles).select("page", "title").distinct(), ["page", "title"], "left_semi")
 
 
-def link_contexts(pages: DataFrame, titles: DataFrame, top: int = 5, threshold: float = 0.0, reranker: Reranker | None = None) -> DataFrame:
-    """(page, title, rank_no, sentence, score): up to `top` distinct sentences for each link, best score first, then in text order."""
+def link_contexts(pages: DataFrame, titles: DataFrame, top: int = 5, threshold: float = 0.0, reranker: Reranker | None = None, scored: bool = True) -> DataFrame:
+    """(page, title, rank_no, sentence, score): up to `top` distinct sentences for each link, best score first, then in text order.
+
+    scored=False leaves the sentences unscored: then the first ones in text order count, and score is null.
+    """
+    if not scored:
+        once = sentences_of_titles(pages, titles).groupBy("page", "title", "sentence").agg(F.min("idx").alias("idx"))
+        first = F.row_number().over(W.partitionBy("page", "title").orderBy("idx"))
+        return once.withColumn("rank_no", first).filter(F.col("rank_no") <= top).select("page", "title", "rank_no", "sentence", F.lit(None).cast("double").alias("score"))
     reranker = reranker or CoverageReranker()
     hits = sentences_of_titles(pages, titles).withColumn("score", reranker.score(X.spaced(F.col("title")), F.col("sentence"))).filter(F.col("score") >= threshold)
     once = hits.groupBy("page", "title", "sentence").agg(F.max("score").alias("score"), F.min("idx").alias("idx"))
@@ -85,7 +92,7 @@ def classify_pending(pairs: DataFrame, done_path: str, classifier: Classifier) -
     schema = "source_path string, target_path string, relation_type string, reasoning string"
 
     def done() -> DataFrame:
-        return spark.read.schema(schema).parquet(done_path) if os.path.exists(done_path) else spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(done_path) if path_exists(spark, done_path) else spark.createDataFrame([], schema)
 
     append_done(classifier.classify(P.pending(pairs, done(), keys)).select("source_path", "target_path", "relation_type", "reasoning"), done_path)
     return done().dropDuplicates(keys)

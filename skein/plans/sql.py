@@ -184,8 +184,8 @@ WITH {_LATEST} SELECT DISTINCT p AS src_key, k AS dst_key FROM (
     "extract_links": f"WITH {_NOTE_EDGES} SELECT * FROM note_edges",
     "extract_wikilinks": r"""
 SELECT vault, src_path, CAST(link_ord AS INTEGER) AS link_ord, trim(tg) AS target_name FROM (
-  SELECT vault, rel_path AS src_path, unnest(regexp_extract_all(content, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS tg,
-    unnest(range(len(regexp_extract_all(content, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)))) AS link_ord FROM notes WHERE content IS NOT NULL)""",
+  SELECT vault, rel_path AS src_path, unnest(regexp_extract_all(content, '\[\[\s*([^\]|\n]+)(?:\|[^\]]+)?\s*\]\]', 1)) AS tg,
+    unnest(range(len(regexp_extract_all(content, '\[\[\s*([^\]|\n]+)(?:\|[^\]]+)?\s*\]\]', 1)))) AS link_ord FROM notes WHERE content IS NOT NULL)""",
     "resolve_links": f"WITH {_NOTE_EDGES} SELECT e.vault, e.target_name, src_path, relation, link_ord, dst_path FROM note_edges e JOIN names n ON e.vault = n.vault AND e.target_name = n.target_name",
     "dangling_links": f"WITH {_NOTE_EDGES} SELECT e.* FROM note_edges e ANTI JOIN names n ON e.vault = n.vault AND e.target_name = n.target_name",
     "links_by_note": f"""
@@ -359,8 +359,10 @@ x AS (SELECT qa_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || c
 SELECT qa_id, coalesce(c, '{NO_CONTEXT}') AS contexts FROM qa LEFT JOIN x USING (qa_id)""",
     "content_hash_changes": """
 WITH f AS (SELECT vault || '/' || rel_path AS file_path, max(md5(content)) AS n FROM notes GROUP BY 1),
-s AS (SELECT file_path, max(file_hash) AS o FROM chunks GROUP BY 1)
-SELECT file_path, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'updated' END AS change FROM f FULL JOIN s USING (file_path) WHERE o IS NULL OR n IS NULL OR n <> o""",
+s AS (SELECT file_path, file_hash AS o, true AS old FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY indexed_at DESC NULLS LAST, chunk_id DESC) AS rn FROM chunks) WHERE rn = 1)
+SELECT file_path, CASE WHEN old IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'updated' END AS change FROM f FULL JOIN s USING (file_path)
+WHERE old IS NULL OR n IS NULL OR n IS DISTINCT FROM o""",
     "chunk_cache": "SELECT chunk_id FROM chunks c WHERE EXISTS (SELECT 1 FROM notes n WHERE n.vault || '/' || n.rel_path = c.file_path AND md5(n.content) = c.file_hash)",
     "resume_anti_join": "SELECT vault || '/' || rel_path AS file_path FROM notes WHERE vault || '/' || rel_path NOT IN (SELECT sample_name || '/' || source_file FROM gold WHERE link_type IS NOT NULL AND sample_name IS NOT NULL AND source_file IS NOT NULL)",
     "corpus_counts": "SELECT vault, count(*) AS n_pairs, count(DISTINCT source_path) AS n_sources FROM candidates GROUP BY vault",

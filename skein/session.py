@@ -84,9 +84,70 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df once as a table in the shared folder and read it back.
 
     The copy is on shared storage, so a lost executor loses nothing, and it is written in one pass
-    (a reliable RDD checkpoint would compute its input twice).
+    (a reliable RDD checkpoint would compute its input twice). release() deletes what a session wrote.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that materialize wrote in this session; call it when their results are no longer read."""
+    while _written:
+        remove_path(spark, _written.pop())
+
+
+_written: list[str] = []
+
+
+# ---- paths on any file system that Hadoop knows ---------------------------------------------------------
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds; none where it doesn't exist."""
+    fs, p = _hadoop(spark, path)
+    return sorted(str(s.getPath()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_path(spark: SparkSession, path: str) -> str | None:
+    """The text of a file, None where there is none."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_path(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file beside its place and move it there, over what was there."""
+    fs, p = _hadoop(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    stream = fs.create(new, True)
+    try:
+        stream.write(text.encode("utf-8"))
+    finally:
+        stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(p), how)

@@ -6,9 +6,10 @@ import json
 import os
 import shutil
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.operators import links as L
+from skein.session import read_path, remove_path, write_path
 
 SAVE_MODES = ("inplace", "json", "export")
 
@@ -64,25 +65,68 @@ def write_by_strategy(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").partitionBy("strategy").json(path)
 
 
-def upsert_graph(nodes: DataFrame, rels: DataFrame, path: str) -> None:
-    """Overwrite nodes (one for each id; the first by type) and distinct relationships."""
-    one = nodes.groupBy("id").agg(F.min_by(F.struct(*[c for c in nodes.columns if c != "id"]), "type").alias("_n")).select("id", "_n.*")
-    one.write.mode("overwrite").parquet(f"{path}/nodes")
-    rels.distinct().write.mode("overwrite").parquet(f"{path}/rels")
+def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One node for each id of old and new: the columns of the new one, where it has them; the first by type where several are new."""
+    rest = [c for c in new.columns if c != "id"]
+    both = old.select("id", *rest, F.lit(1).alias("_age")).unionByName(new.select("id", *rest, F.lit(0).alias("_age")))
+    best = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_age", "type"))).alias(c)
+    return both.groupBy("id").agg(*map(best, rest))
 
 
-def save_state(path: str, state: dict) -> None:
-    """Write a state file atomically."""
+def merge_rels(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The distinct relationships of both."""
+    return old.select(*new.columns).unionByName(new).distinct()
+
+
+def upsert_graph(nodes: DataFrame, rels: DataFrame, path: str, wipe: bool = False) -> None:
+    """Merge nodes (id, type, ...) and relationships into the graph at path; wipe starts it anew.
+
+    The merged tables are written beside the old ones and named in graph.json at the end, so readers never see half a graph.
+    """
+    spark = nodes.sparkSession
+    state = {} if wipe else load_state(f"{path}/graph.json", spark)
+    version = load_state(f"{path}/graph.json", spark).get("version", 0) + 1
+    if state:
+        nodes, rels = merge_nodes(spark.read.parquet(f"{path}/nodes-{state['version']}"), nodes), merge_rels(spark.read.parquet(f"{path}/rels-{state['version']}"), rels)
+    else:
+        nodes, rels = merge_nodes(nodes.limit(0), nodes), rels.distinct()
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes-{version}")
+    rels.write.mode("overwrite").parquet(f"{path}/rels-{version}")
+    save_state(f"{path}/graph.json", {"version": version}, spark)
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, relationships) as last written."""
+    version = load_state(f"{path}/graph.json", spark)["version"]
+    return spark.read.parquet(f"{path}/nodes-{version}"), spark.read.parquet(f"{path}/rels-{version}")
+
+
+def dump_candidates(before: DataFrame, after: DataFrame, path: str) -> None:
+    """Write the candidates as found and as reranked, as JSON lines beside each other; an empty dump leaves no file behind."""
+    for name, df in (("before", before), ("after", after)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+        if df.sparkSession.read.text(f"{path}/{name}").isEmpty():
+            remove_path(df.sparkSession, f"{path}/{name}")
+
+
+def save_state(path: str, state: dict, spark: SparkSession | None = None) -> None:
+    """Write a state file atomically; with a session on any file system Hadoop knows, else on the local one."""
+    if spark is not None:
+        return write_path(spark, path, json.dumps(state, ensure_ascii=False, indent=2))
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path + ".tmp", "w", encoding="utf-8") as f:
         json.dump(state, f, ensure_ascii=False, indent=2)
     os.replace(path + ".tmp", path)
 
 
-def load_state(path: str) -> dict:
+def load_state(path: str, spark: SparkSession | None = None) -> dict:
+    """The state in a file, {} where there is none or it can't be read."""
     try:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        if spark is not None:
+            data = json.loads(read_path(spark, path) or "{}")
+        else:
+            with open(path, encoding="utf-8") as f:
+                data = json.load(f)
         return data if isinstance(data, dict) else {}
     except (OSError, ValueError):
         return {}

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.operators import chunking as C
+from skein.operators import chunking as C, links as L
+from skein.session import list_path, remove_path
 from skein.sources import sinks
 
 STAGES = ("idle", "diff", "index", "retrieve", "group", "classify", "export", "done")
 
 
-def changes(files: DataFrame, state: DataFrame) -> DataFrame:
-    """(file_path, change): added, removed or updated files of (file_path, hash) against the stored state; unchanged ones are left out."""
-    now = files.groupBy("file_path").agg(F.max("hash").alias("_n"))
-    old = state.groupBy("file_path").agg(F.max("hash").alias("_o"))
+def changes(files: DataFrame, state: DataFrame, newest: tuple[str, ...] = ("indexed_at", "chunk_id")) -> DataFrame:
+    """(file_path, change): added, removed or updated files of (file_path, hash) against the stored state; unchanged ones are left out.
+
+    Of several rows of a file in the state the newest counts, by those of the columns `newest` that it has (null is
+    oldest), then by hash. A null hash differs from any other.
+    """
+    now = files.groupBy("file_path").agg(F.max("hash").alias("_n"), F.lit(True).alias("_new"))
+    order = F.struct(*(c for c in newest if c in state.columns), "hash")
+    old = state.groupBy("file_path").agg(F.max_by("hash", order).alias("_o"), F.lit(True).alias("_old"))
     both = now.join(old, "file_path", "full_outer")
-    kind = F.when(F.col("_o").isNull(), F.lit("added")).when(F.col("_n").isNull(), F.lit("removed")).when(F.col("_n") != F.col("_o"), F.lit("updated"))
+    kind = F.when(F.col("_old").isNull(), F.lit("added")).when(F.col("_new").isNull(), F.lit("removed")).when(~F.col("_n").eqNullSafe(F.col("_o")), F.lit("updated"))
     return both.select("file_path", kind.alias("change")).filter("change IS NOT NULL")
 
 
@@ -71,26 +77,73 @@ class RunState:
         sinks.save_state(path, asdict(self))
 
 
+COMPACT = 16
+
+
+def _segment(base: str, name: str) -> tuple[str, str]:
+    return f"{base}/{name}/chunks", f"{base}/{name}/files"
+
+
+def read_index(spark: SparkSession, index_path: str) -> DataFrame:
+    """(file_path, chunk_index, text, file_hash): the index that stream_changes keeps; a file's chunks are those of the last segment that names it."""
+    names = sinks.load_state(f"{index_path}/current.json", spark).get("segments", [])
+    return _merged(spark, index_path, names)[0]
+
+
+def _merged(spark: SparkSession, index_path: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(chunks, files still there) of segments, later ones winning."""
+    chunks = spark.createDataFrame([], _CHUNK + ", seq int")
+    files = spark.createDataFrame([], "file_path string, change string, seq int")
+    for n, name in enumerate(names):
+        c, f = _segment(index_path, name)
+        chunks = chunks.unionByName(spark.read.schema(_CHUNK).parquet(c).withColumn("seq", F.lit(n)))
+        files = files.unionByName(spark.read.schema("file_path string, change string").parquet(f).withColumn("seq", F.lit(n)))
+    last = files.groupBy("file_path").agg(F.max("seq").alias("seq"), F.max_by("change", "seq").alias("change")).filter("change <> 'removed'")
+    return chunks.join(last.select("file_path", "seq"), ["file_path", "seq"]).drop("seq"), last.select("file_path", "change")
+
+
+_CHUNK = "file_path string, chunk_index int, text string, file_hash string"
+
+
 def stream_changes(stream: DataFrame, index_path: str, checkpoint: str, available_now: bool = True):
-    """Re-index a stream of notes (file_path, body, hash): each micro-batch replaces the chunks of its files.
+    """Re-index a stream of notes (file_path, body, hash, perhaps changed_at): each micro-batch replaces the chunks of its files.
 
-    The new index goes to a fresh folder named after the batch and the pointer file moves atomically, so a batch that is
-    run again after a failure gives the same index.
+    A batch writes one segment, its files and their chunks, and then the pointer file, which lists the segments; nothing
+    else is rewritten until COMPACT segments are merged into one. A batch that is run again after a failure finds its own
+    number in the pointer and starts from the segments before it, so the index is the same however often it runs. A row
+    with a null hash removes its file. Of several rows of a file in a batch the one with the latest changed_at counts, or
+    the largest hash where there is no such column. Both paths may be on any file system Hadoop knows.
     """
-    import os
-
-    pointer = os.path.join(index_path, "current.json")
+    pointer = f"{index_path}/current.json"
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        target = os.path.join(index_path, f"v{epoch}")
-        last = sinks.load_state(pointer).get("path")
-        latest = batch.groupBy("file_path").agg(F.max_by(F.struct("body", "hash"), "hash").alias("_n")).select("file_path", "_n.*")
-        empty = spark.createDataFrame([], "file_path string, chunk_index int, text string, file_hash string")
-        base = spark.read.parquet(last) if last and last != target else empty
-        updated = latest.select("file_path", F.lit("updated").alias("change"))
-        reindex(base, latest, updated).write.mode("overwrite").parquet(target)
-        sinks.save_state(pointer, {"path": target, "epoch": epoch})
+        state = sinks.load_state(pointer, spark)
+        before = state.get("before", []) if state.get("epoch") == epoch else state.get("segments", [])
+        order = F.struct(*(c for c in ("changed_at",) if c in batch.columns), "hash")
+        latest = batch.groupBy("file_path").agg(F.max_by(F.struct("body", "hash"), order).alias("_n")).select("file_path", "_n.*")
+        changed = latest.select("file_path", F.when(F.col("hash").isNull(), F.lit("removed")).otherwise(F.lit("updated")).alias("change"))
+        chunks, files = _segment(index_path, f"v{epoch}")
+        reindex(spark.createDataFrame([], _CHUNK), latest, changed).write.mode("overwrite").parquet(chunks)
+        changed.write.mode("overwrite").parquet(files)
+        segments = [*before, f"v{epoch}"]
+        if len(segments) >= COMPACT:
+            merged, kept = _merged(spark, index_path, segments)
+            chunks, files = _segment(index_path, f"v{epoch}-all")
+            merged.write.mode("overwrite").parquet(chunks)
+            kept.write.mode("overwrite").parquet(files)
+            segments = [f"v{epoch}-all"]
+        sinks.save_state(pointer, {"segments": segments, "before": before, "epoch": epoch}, spark)
+        for name in {*state.get("before", []), *state.get("segments", []), f"v{epoch}"} - {*segments, *before}:
+            remove_path(spark, f"{index_path}/{name}")
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def fresh_start(spark: SparkSession, folder: str, keep: tuple[str, ...] = ("config.json", "run.log"), notes: DataFrame | None = None) -> DataFrame | None:
+    """Forget an earlier run: everything in its folder but its configuration and log goes; notes (vault, rel_path, content), if given, come back without generated links."""
+    for path in list_path(spark, folder):
+        if path.rstrip("/").rsplit("/", 1)[-1] not in keep:
+            remove_path(spark, path)
+    return None if notes is None else L.clear_links(notes)

@@ -75,8 +75,60 @@ def test_stream_reindexes(spark, rows, tmp_path):
     run()
     spark.createDataFrame([("a", "second", "2"), ("b", "other", "1")], schema).write.mode("append").parquet(src)
     run()
-    current = sinks.load_state(os.path.join(index, "current.json"))["path"]
-    assert rows(spark.read.parquet(current), "file_path", "text") == [("a", "second"), ("b", "other")]
+    want = [("a", "second"), ("b", "other")]
+    assert rows(I.read_index(spark, index), "file_path", "text") == want
+    for name in os.listdir(tmp_path / "cp" / "commits"):  # the pointer was written, the commit was lost
+        if name.lstrip(".").startswith("1"):
+            os.remove(tmp_path / "cp" / "commits" / name)
+    run()
+    assert rows(I.read_index(spark, index), "file_path", "text") == want
+    spark.createDataFrame([("a", None, None), ("c", "third", "1")], schema).write.mode("append").parquet(src)
+    run()
+    assert rows(I.read_index(spark, index), "file_path", "text") == [("b", "other"), ("c", "third")]
+
+
+def test_segments_are_merged(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "COMPACT", 2)
+    src, index = str(tmp_path / "in"), str(tmp_path / "index")
+    schema = "file_path string, body string, hash string"
+    for n in range(4):
+        spark.createDataFrame([("a", f"text {n}", str(n)), (f"f{n}", "own", "1")], schema).write.mode("append").parquet(src)
+        I.stream_changes(spark.readStream.schema(schema).parquet(src), index, str(tmp_path / "cp")).awaitTermination(60)
+    assert rows(I.read_index(spark, index), "file_path", "text") == [("a", "text 3"), *((f"f{n}", "own") for n in range(4))]
+    assert len([x for x in os.listdir(index) if not x.startswith((".", "current"))]) <= 3
+
+
+def test_newest_row_of_a_file_counts(spark, rows):
+    files = spark.createDataFrame([("a", "2"), ("b", "1"), ("c", None)], "file_path string, hash string")
+    state = spark.createDataFrame([("a", "9", 1, 1), ("a", "2", 2, 2), ("b", "1", 1, 3), ("b", "2", None, 4), ("c", "1", 1, 5)], "file_path string, hash string, indexed_at int, chunk_id int")
+    assert rows(I.changes(files, state)) == [("c", "updated")]
+
+
+def test_graph_is_merged_and_wiped(spark, rows, tmp_path):
+    path = str(tmp_path / "g")
+    n = lambda *r: spark.createDataFrame(list(r), "id string, type string, name string")
+    r = lambda *x: spark.createDataFrame(list(x), "src_id string, dst_id string, type string")
+    sinks.upsert_graph(n(("a", "Entity", "old"), ("b", "Entity", "b")), r(("a", "b", "USES")), path)
+    sinks.upsert_graph(n(("a", "Entity", "new"), ("b", "Entity", None), ("c", "Entity", "c")), r(("a", "b", "USES"), ("b", "c", "USES")), path)
+    nodes, rels = sinks.read_graph(spark, path)
+    assert rows(nodes, "id", "name") == [("a", "new"), ("b", "b"), ("c", "c")] and rels.count() == 2
+    sinks.upsert_graph(n(("d", "Entity", "d")), r(), path, wipe=True)
+    assert rows(sinks.read_graph(spark, path)[0], "id") == [("d",)]
+
+
+def test_fresh_start_keeps_configuration_and_log(spark, tmp_path):
+    for name in ("config.json", "run.log", "state.json"):
+        (tmp_path / name).write_text("{}")
+    (tmp_path / "index").mkdir()
+    notes = spark.createDataFrame([("v", "a.md", "text\n\n## Related Connections\n\n- Uses:: [[b]]")], "vault string, rel_path string, content string")
+    assert I.fresh_start(spark, str(tmp_path), notes=notes).first().content == "text"
+    assert sorted(os.listdir(tmp_path)) == ["config.json", "run.log"]
+
+
+def test_candidate_dumps(spark, rows, tmp_path):
+    c = spark.createDataFrame([("a", 1.0), ("b", 0.1)], "source_path string, score double")
+    sinks.dump_candidates(c, c.limit(0), str(tmp_path))
+    assert rows(spark.read.json(str(tmp_path / "before")), "source_path") == [("a",), ("b",)] and not os.path.exists(tmp_path / "after")
 
 
 def test_providers(spark, rows):

@@ -155,14 +155,13 @@ class UnigramModels:
         known = self._known.setdefault(langs, {})
         if len(known) > self.KNOWN:
             known.clear()
-        out = []
-        for w in words:
-            score = known.get(w)
-            if score is None:
-                score = self._score(w, langs)
-                if len(w) <= self.KNOWN_LETTERS:
-                    known[w] = score
-            out.append(score)
+        out = [known.get(w) for w in words]
+        if None in out:
+            for i, w in enumerate(words):
+                if out[i] is None:
+                    out[i] = self._score(w, langs)
+                    if len(w) <= self.KNOWN_LETTERS:
+                        known[w] = out[i]
         return out
 
     def _score(self, word: str, langs: tuple[str, ...] = LANGS) -> tuple[float, ...]:

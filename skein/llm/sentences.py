@@ -39,6 +39,7 @@ _NEXT_UP = rf"\s*[{OPEN}]*[{UP}0-9ऀ-ॿ฀-๿぀-ヿ㐀-鿿０-ｚ]"
 #: tried one after the other (a language's own rules, then the script's, then the general ones); the first pair
 #: that matches decides. A position no rule matches is no boundary.
 TABLES: dict[str, list[tuple[bool, str, str]]] = {
+    "plain": [(True, rf"[{LO}]{{7}}\.|[{LO}]{{2}}[!?]", rf"\s+[{UP}]")],  # longer than any abbreviation; most positions end here
     "general": [
         (False, r"", r"[,;:，、；：]"),  # the sentence goes on after the mark
         (False, r"", rf"\s*[—–-]\s?[{LO}]"),  # dialogue dash: «…?» — спросил, ? —preguntó
@@ -69,11 +70,12 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     ],
 }
 #: Which tables a position uses, by the script of the letter before the mark.
-CASCADE = {"latin": ("general", "en", "de", "latin"), "thai": ("thai", "general", "latin"), "danda": ("general", "danda"), "cjk": ("cjk", "general", "latin")}
+CASCADE = {"latin": ("plain", "general", "en", "de", "latin"), "thai": ("thai", "general", "latin"), "danda": ("general", "danda"), "cjk": ("cjk", "general", "latin")}
 _RULES = {s: [(v, re.compile(rf"(?:{b})[{CLOSE}“]*\Z") if b else None, re.compile(a)) for t in tables for v, b, a in TABLES[t]] for s, tables in CASCADE.items()}
 
-_SPAN = re.compile(r"„[^„“”\n]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|(?<![\w\"])\"[^\"]*\"|\([^()]*\)|（[^（）]*）")
-_MARK = re.compile(rf"[.!?…。！？．｡।॥]+(?:\s?\.\.\.?)?[{CLOSE}]*|(?<=[ऀ-ॿ])\s?\|[{CLOSE}]*|[{CLOSE}]*\n\s*|(?<=[฀-๿])[  ​]+")
+# Each of the two starts with a look at the first character, which rules out most positions at once.
+_SPAN = re.compile(r"(?=[„“«「『\"(（])(?:„[^„“”\n]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|(?<![\w\"])\"[^\"]*\"|\([^()]*\)|（[^（）]*）)")
+_MARK = re.compile(rf"(?=[.!?…。！？．｡।॥|{CLOSE}\s\u200b])(?:[.!?…。！？．｡।॥]+(?:\s?\.\.\.?)?[{CLOSE}]*|(?<=[ऀ-ॿ])\s?\|[{CLOSE}]*|[{CLOSE}]*\n\s*|(?<=[฀-๿])[  ​]+)")
 _BLANK = re.compile(r"[ \t\r\f\v ]*\n[ \t\r\f\v ]*\n\s*")
 _DONE = re.compile(rf"[.!?…。！？．｡।॥|][{CLOSE}“]*\s*\Z")
 _FUNCTION_END = re.compile(r"(?i)\b(?:the|a|an|of|and|or|to|in|on|for|with|by|at|that|und|der|die|das|den|ein|eine|mit|von|zu|de|la|el|los|las|y|en|que|o|e|os|da|do|и|в|на|с|что|і|у|та|що)\Z")
@@ -112,7 +114,7 @@ def boundaries(text: str | None) -> list[int]:
         return []
     out: list[int] = []
     begin = 0
-    for m in [*_BLANK.finditer(text), None]:
+    for m in [*(_BLANK.finditer(text) if "\n" in text else ()), None]:
         stop = m.start() if m else len(text)
         if text[begin:stop].strip():
             _paragraph(text, begin, stop, out)

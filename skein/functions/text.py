@@ -18,7 +18,7 @@ PHRASE_WORDS = ["без", "не", "ни", "с", "по", "для", "из", "от"
 NO_CONTEXT = "No relevant context found."
 
 # Formats of links in notes (fixed values): "- relation:: [[target]]" anywhere, [[target|label]], a link line with any list mark.
-TYPED_LINK = r"-?\s*(.+?)\s*::\s*\[\[\s*(.+?)\s*\]\]"
+TYPED_LINK = r"(?d)-?\s*(.+?)\s*::\s*\[\[\s*(.+?)\s*\]\]"
 WIKILINK = r"\[\[\s*([^\]|\n]+)(?:\|[^\]]+)?\s*\]\]"
 LINE_LINK = r"(?md)^\s*(?:[-*+]\s+)?([^\n]*?)\s*::\s*\[\[([^\n]*?)\]\]"
 TOKEN = r"[\p{L}\p{N}]+"

@@ -89,6 +89,16 @@ def prf_rollup(counts: DataFrame, by: str) -> DataFrame:
     return with_prf(sums.select(F.when(F.col("_all") == 1, F.lit("OVERALL")).otherwise(F.col(by)).alias(by), "tp", "fp", "fn"))
 
 
+def micro_totals(counts: DataFrame, by: str) -> DataFrame:
+    """(by, tp, fp, fn, precision, recall, f1): the counts of all samples summed for each strategy."""
+    return with_prf(counts.groupBy(by).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
+
+
+def corpus_counts(df: DataFrame, by: str, rows: str, **distinct: str) -> DataFrame:
+    """(by, rows, ...): rows, and distinct values of columns by the name they get."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias(rows), *(F.countDistinct(c).alias(name) for name, c in distinct.items()))
+
+
 def nan_means(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the mean of each column without NaN and null, and n_evaluated, the rows less the largest number of such gaps."""
     gap = lambda c: F.col(c).isNull() | F.isnan(c)

@@ -83,6 +83,50 @@ def _nearest(shared, dim: int, k: int, metric: str, exclude: bool):
     return run
 
 
+def within(queries: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """(query_id, item_id, similarity): items (item_id, vector) whose cosine with a query (query_id, vector) is at least `least`, rounded to 6 digits; an item isn't like itself.
+
+    Queries are a stated set and go to the tasks in blocks, as in knn. Null, odd-sized and all-zero vectors don't take part.
+    """
+    spark = items.sparkSession
+    q = queries.filter(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    it = items.filter(F.col("vector").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "vector")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        t = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        rows = [(i, v) for i, v in zip(t["query_id"].to_pylist(), t["vector"].to_pylist()) if all(x is not None for x in v) and any(v)]
+        dim = max((len(v) for _, v in rows), default=0)
+        rows = [r for r in rows if len(r[1]) == dim]
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in rows], dtype=np.int64), np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), dim)))
+        part = it.mapInArrow(_alike(shared, dim, least), "query_id long, item_id long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _alike(shared, dim: int, least: float):
+    def run(batches):
+        ids, q = shared.value
+        if not len(ids):
+            return
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        for batch in batches:
+            vec = batch.column("vector")
+            at = np.flatnonzero(vec.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
+            if not len(at):
+                continue
+            x = vec.take(pa.array(at)).flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            item, x = batch.column("item_id").to_numpy()[at[ok]], x[ok]
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for s in range(0, len(q), 512):
+                sim = np.round(q[s : s + 512] @ x.T, 6)
+                i, j = np.nonzero((sim >= least) & (ids[s : s + 512][:, None] != item[None, :]))
+                yield pa.RecordBatch.from_pydict({"query_id": ids[s + i], "item_id": item[j], "similarity": sim[i, j]})
+
+    return run
+
+
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, key: str, text: str, k: int) -> DataFrame:
     """(query_id, key, score, rank_no): the k best documents of each query by BM25 (k1 1.2, b 0.75), scores rounded to 6 digits, ties to the smaller key.
 

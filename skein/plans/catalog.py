@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.functions import text as X
 from skein.operators import chunking as C, evaluation as E, graph as G, grouping as P, links as L, search as S
-from skein.plans import pipelines as R
-from skein.plans.sql import ORACLE_SQL as ORACLE_SQL
+from skein.plans import pipelines as R, sql, sql_sources
 from skein.session import table
 from skein.streaming import incremental as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL | sql_sources.ORACLE_SQL
 
 
 def query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -473,10 +473,10 @@ def resume_anti_join(t):
 
 @query
 def corpus_counts(t):
-    return t("candidates").groupBy("vault").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("source_path").alias("n_sources"))
+    return E.corpus_counts(t("candidates"), "vault", "n_pairs", n_sources="source_path")
 
 
-# ---- pipelines (rows only: their parts have SQL above) -------------------------------------------------------
+# ---- pipelines -------------------------------------------------------
 
 
 @query
@@ -513,3 +513,6 @@ def broad_retrieval(t):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Ranked contexts of the questions by the untyped pipeline."""
     return QUERIES["pipeline_untyped"](spark, d)
+
+
+from skein.plans import catalog_sources as catalog_sources  # noqa: E402  registers its queries with query()

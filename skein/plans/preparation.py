@@ -115,3 +115,24 @@ def context_recall(contexts: DataFrame, references: DataFrame) -> DataFrame:
     want = references.select("query_id", F.explode(X.lemma_set(F.col("reference"))).alias("w")).distinct()
     both = want.join(held.withColumn("_h", F.lit(1)), ["query_id", "w"], "left").groupBy("query_id").agg((F.count("_h") / F.count(F.lit(1))).alias("recall"))
     return references.select("query_id").distinct().join(both, "query_id", "left").select("query_id", F.coalesce("recall", F.lit(0.0)).alias("recall"))
+
+
+def evaluate_answers(contexts: DataFrame, references: DataFrame, n_contexts: int = 3) -> DataFrame:
+    """(query_id, n_contexts, context_recall, context_precision, faithfulness, correctness): the figures of every question, set at once.
+
+    contexts (query_id, rank_no, text), references (query_id, question, reference). The answer is made of the first n_contexts
+    contexts. Overlap figures over lemma sets stand in for judged ones: the share of the reference that the contexts hold,
+    the share of contexts that hold three of its lemmas (all, if it has fewer), the share of the answer that the contexts hold, and the F1 of answer and reference. A question that fails (no reference or
+    no context) is dropped, as a failed item is.
+    """
+    c = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank_no", "text"))).alias("_c")).select("query_id", F.col("_c.text").alias("texts"))
+    rows = references.filter("reference IS NOT NULL").join(c, "query_id")
+    sets = rows.select("query_id", F.size("texts").alias("n_contexts"), X.lemma_set(F.col("reference")).alias("r"), F.transform("texts", X.lemma_set).alias("t"), X.lemma_set(F.array_join(F.slice("texts", 1, n_contexts), " ")).alias("a"))
+    sets = sets.withColumn("all", F.array_distinct(F.flatten("t"))).filter("size(r) > 0")
+    share = lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(0.0)
+    useful = F.size(F.filter("t", lambda s: F.size(F.array_intersect("r", s)) >= F.least(F.lit(3), F.size("r"))))
+    p, r = share("a", "r"), share("r", "a")
+    return sets.select(
+        "query_id", "n_contexts", F.round(share("r", "all"), 6).alias("context_recall"), F.round(useful / F.col("n_contexts"), 6).alias("context_precision"),
+        F.round(share("a", "all"), 6).alias("faithfulness"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("correctness"),
+    )

@@ -42,6 +42,19 @@ class VaultConfig:
         return cls(**{k: v for k, v in data.items() if k in known and v is not None and (isinstance(v, known[k]) or known[k] is float and isinstance(v, int))}) if isinstance(data, dict) else cls()
 
 
+def with_defaults(config: DataFrame) -> DataFrame:
+    """vault_config rows with the default of every setting that is null, NaN or out of its range; one row a vault (the first by all columns)."""
+    d = VaultConfig()
+    number = lambda c, default, low: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.col(c) >= low), F.col(c)).otherwise(F.lit(default))
+    text = lambda c, default: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.col(c)).otherwise(F.lit(default))
+    one = config.groupBy("vault").agg(F.min(F.struct(*[c for c in config.columns if c != "vault"])).alias("_c")).select("vault", "_c.*")
+    return one.select(
+        "vault", text("lang", d.lang).alias("lang"), number("vector_search_weight", d.vector_search_weight, 0).alias("vector_search_weight"), number("initial_retrieval_k", d.initial_retrieval_k, 1).alias("initial_retrieval_k"),
+        text("broad_query_mode", d.broad_query_mode).alias("broad_query_mode"), number("rerank_top_k", d.rerank_top_k, 1).alias("rerank_top_k"), number("rerank_threshold", d.rerank_threshold, 0).alias("rerank_threshold"),
+        number("chunk_size", d.chunk_size, 1).alias("chunk_size"), number("chunk_overlap", d.chunk_overlap, 0).alias("chunk_overlap"), text("link_header", d.link_header).alias("link_header"),
+    )
+
+
 def resolve_vaults(root: str, names: list[str] | None = None) -> list[str]:
     """Vault folders: the named ones, else the root if it holds notes itself, else its child folders that do; a missing one raises FileNotFoundError."""
     if names:

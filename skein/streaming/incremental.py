@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,11 +38,14 @@ def cached(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select("file_path", F.col("hash").alias("file_hash")).distinct(), ["file_path", "file_hash"], "left_semi")
 
 
-def reindex(chunks: DataFrame, notes: DataFrame, changed: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
-    """(file_path, chunk_index, text, file_hash): the kept chunks and those of added or updated notes (file_path, body, hash); empty notes give none."""
+def reindex(chunks: DataFrame, notes: DataFrame, changed: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(file_path, chunk_index, text, file_hash): the kept chunks and those of added or updated notes (file_path, body, hash); empty notes give none.
+
+    cut makes (file_path, idx, chunk) of notes, the recursive splitter by default.
+    """
     todo = changed.filter("change IN ('added', 'updated')").select("file_path")
     own = notes.join(todo, "file_path", "left_semi").filter(F.coalesce(F.trim("body"), F.lit("")) != "")
-    fresh = C.recursive_chunks(own, "file_path", "body", size, overlap).join(own.select("file_path", F.col("hash").alias("file_hash")), "file_path")
+    fresh = (cut(own) if cut else C.recursive_chunks(own, "file_path", "body", size, overlap)).join(own.select("file_path", F.col("hash").alias("file_hash")), "file_path")
     fresh = fresh.select("file_path", F.col("idx").alias("chunk_index"), F.col("chunk").alias("text"), "file_hash")
     return remove(chunks.select("file_path", "chunk_index", "text", "file_hash"), changed).unionByName(fresh)
 

@@ -189,7 +189,7 @@ def _blobs(raw: np.ndarray) -> pa.Array:
 
 def nearest_neighbours(
     df: DataFrame, key: str = "chunk_id", vector: str = "vector", file: str = "file_path", k: int = 5, least: float = 0.8, dim: int = 64,
-    shard_rows: int = 32_768, leaf_rows: int = 2048, trees: int | None = None, relax_shard: float = 0.0, relax_leaf: float = 0.16, overlap: float = 0.5,
+    shard_rows: int = 65_536, leaf_rows: int = 2048, trees: int | None = None, relax_shard: float = 0.0, relax_leaf: float = 0.16, overlap: float = 0.5,
 ) -> DataFrame:
     """(id, other, cosine): for each row its k nearest rows with another file value, cosine rounded to 6 decimals and >= least; ties to the smaller key.
 

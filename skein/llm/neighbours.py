@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skein.session import materialize
 
-#: Rows of the sample that the trees over shards are built on: 32 a shard, at least and at most so many.
+#: Rows of the sample that the trees over shards are built on: 32 a shard, at least and at most about so many.
 SAMPLE_ROWS = (8192, 65_536)
 _EPS = 2e-6  # what single precision may hide; everything within it is measured again in double precision
 
@@ -189,7 +189,7 @@ def _blobs(raw: np.ndarray) -> pa.Array:
 
 def nearest_neighbours(
     df: DataFrame, key: str = "chunk_id", vector: str = "vector", file: str = "file_path", k: int = 5, least: float = 0.8, dim: int = 64,
-    shard_rows: int = 65_536, leaf_rows: int = 2048, trees: int | None = None, relax_shard: float = 0.0, relax_leaf: float = 0.16, overlap: float = 0.5,
+    shard_rows: int = 49_152, leaf_rows: int = 2048, trees: int | None = None, relax_shard: float = 0.0, relax_leaf: float = 0.16, overlap: float = 0.5,
 ) -> DataFrame:
     """(id, other, cosine): for each row its k nearest rows with another file value, cosine rounded to 6 decimals and >= least; ties to the smaller key.
 
@@ -198,7 +198,7 @@ def nearest_neighbours(
     leaves that the triangle inequality with a search radius of relax_shard * acos(least) doesn't rule out: with 0 its
     own alone. Each shard holds a vantage-point tree of its rows down to leaf_rows, searched in the same way with
     relax_leaf. What one tree misses another finds: a split parts close rows now and then, so trees None takes three and
-    five more for each sixteenfold number of shards, by which the share of neighbours found stays the same. A factor of 1
+    one more for each doubling of the shards, by which the share of neighbours found stays the same. A factor of 1
     is exact search at its level (one tree is enough then). With smaller ones at most `overlap` of a node's rows go both
     ways, so that a dense spot doesn't draw every query of it into all its shards. Every row is indexed and every row is a
     query; the sample only places vantage points.
@@ -225,7 +225,9 @@ def nearest_neighbours(
     n = base.count()
     shards = max(1.0, n / shard_rows)
     wanted = int(min(max(SAMPLE_ROWS[0], 32 * shards), SAMPLE_ROWS[1]))
-    sample = base.filter(F.size("vec") == dim).orderBy(F.xxhash64("id")).limit(wanted).select("vec").toArrow()
+    # rows by their hash, about as many as wanted; they are ordered here, so that no task gathers candidates for them
+    share = F.lit(int(min(1.0, wanted / max(1, n)) * (1 << 30)))
+    sample = base.filter((F.size("vec") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share)).select("id", "vec").toArrow().sort_by("id")
     _, m = _vectors(sample["vec"], dim) if sample.num_rows else (None, np.zeros((0, dim), np.float32))
     m = _unit(m) if len(m) else m
     radius = math.acos(least)
@@ -233,7 +235,7 @@ def nearest_neighbours(
     def factor(relax: float) -> tuple[float, float | None]:
         return (radius + 1e-3, None) if relax >= 1 else (relax * radius, overlap)
 
-    count = 1 if relax_shard >= 1 else trees or round(3 + 1.25 * math.log2(shards))
+    count = 1 if relax_shard >= 1 else trees or round(3 + math.log2(shards))
     forest = [VantageTree(m, len(m) / shards, *factor(relax_shard), seed) for seed in range(count)]
     first = np.cumsum([0] + [len(t.members) for t in forest]).tolist()  # shards are numbered over all trees
     for t in forest:

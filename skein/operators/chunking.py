@@ -95,9 +95,9 @@ def next_chunk_edges(chunks: DataFrame, source: str, index: str) -> DataFrame:
     return chunk_ids(chunks, source, index).filter("previous_key IS NOT NULL").select(F.col("previous_key").alias("src_key"), F.col("chunk_key").alias("dst_key")).distinct()
 
 
-def with_next_text(chunks: DataFrame, source: str, index: str, text: str) -> DataFrame:
-    """Chunks with text_next: their text, a line break and the next chunk's text where there is one."""
-    nxt = F.lead(text).over(W.partitionBy(source).orderBy(index))
+def with_next_text(chunks: DataFrame, source: str, index: str, text: str, *ties: str) -> DataFrame:
+    """Chunks with text_next: their text, a line break and the next chunk's text where there is one; ties order chunks of one index."""
+    nxt = F.lead(text).over(W.partitionBy(source).orderBy(index, *ties))
     return chunks.withColumn("text_next", F.concat(F.col(text), F.coalesce(F.concat(F.lit("\n"), nxt), F.lit(""))))
 
 

@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 def magnitude_bin(value: Column, per_unit: int = 64) -> Column:
     """A monotone bin number of any double: equal values share a bin, larger values never get a smaller bin.
 
-    The logarithmic scale needs no knowledge of range or units; infinities land in the outermost bins.
+    per_unit bins for every power of two, from the smallest double to the largest, so scores of any unit spread over
+    them alike: the exponent counts powers, the mantissa places within one. Zeros have bin 0, infinities the outermost ones.
     """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(per_unit)))
+    size = F.abs(value)
+    power = F.floor(F.log2(size))
+    # where log2 is a hair off at a power of two, the mantissa makes up for it
+    place = (power + 1100) * per_unit + F.floor((size / F.pow(F.lit(2.0), power) - 1) * per_unit)
+    inside = F.when(size == float("inf"), F.lit(3000 * per_unit)).otherwise(place)
+    return F.when(size == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * inside).cast("long")
 
 
 def standing_of_values(df: DataFrame, keys: list[str], value: str, per_unit: int = 4096) -> DataFrame:

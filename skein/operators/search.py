@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skein.functions import text as X
-from skein.session import spread
+from skein.session import materialize, spread
 
 K1, B = 1.2, 0.75
 #: Queries whose vectors one pass over the items carries; larger query sets take several passes.
@@ -138,6 +138,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, ke
     spark = docs.sparkSession
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.array_distinct(X.tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("tokens"))
     d = spread(docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("key", X.tokens(F.col("text")).alias("tokens"))
+    d = materialize(d, "bm25-tokens")  # statistics, frequencies and scores of every block read them
     n = q.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     size = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
@@ -231,12 +232,63 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, longer_than: int = 5) -
     return exact.unionByName(near).distinct()
 
 
-def fulltext(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, key: str, text: str) -> DataFrame:
-    """(query_id, key, score): number of query terms (see X.query_terms) that a document matches, exactly or within one edit."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.explode(X.query_terms(F.col(query_text))).alias("term"))
-    tok = docs.select(key, F.explode(F.array_distinct(X.tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token"))
-    match = fuzzy_terms(q.select("term").distinct(), tok.select("token").distinct())
-    return q.join(match, "term").join(tok, "token").select("query_id", key, "term").distinct().groupBy("query_id", key).agg(F.count(F.lit(1)).alias("score"))
+def fulltext(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, key: str, text: str, k: int | None = None) -> DataFrame:
+    """(query_id, key, score): number of query terms (see X.query_terms) that a document matches, exactly or within one edit.
+
+    The tokens that the terms of a block of queries match go to the tasks as posting lists, as in bm25, so a token that
+    many documents and many queries hold is never a join key. With k each task keeps the k best hits of a query (ties
+    of the last one included); the rank over all tasks is left to the caller.
+    """
+    spark = docs.sparkSession
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.explode(X.query_terms(F.col(query_text))).alias("term"))
+    tok = materialize(spread(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("key", F.array_distinct(X.tokens(F.col("text"))).alias("tokens")), "fulltext-tokens")
+    match = fuzzy_terms(q.select("term").distinct(), tok.select(F.explode("tokens").alias("token")).distinct())
+    asked = materialize(q.join(match, "term").groupBy("query_id", "term").agg(F.collect_set("token").alias("tokens")), "fulltext-terms")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        t = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        ids, owner = np.unique(t["query_id"].to_numpy(), return_inverse=True)
+        lists: dict[str, list[int]] = {}
+        for n, words in enumerate(t["tokens"].to_pylist()):  # n numbers the (query, term) pairs of the block
+            for w in words:
+                lists.setdefault(w, []).append(n)
+        vocabulary = sorted(lists)
+        shared = spark.sparkContext.broadcast((ids, owner, vocabulary, [np.array(lists[w], dtype=np.int64) for w in vocabulary]))
+        part = tok.mapInArrow(_count_terms(shared, k), f"query_id long, key {tok.schema['key'].dataType.simpleString()}, score long")
+        found = part if found is None else found.unionByName(part)
+    return found.withColumnRenamed("key", key)
+
+
+def _count_terms(shared, k: int | None):
+    def run(batches):
+        ids, owner, vocabulary, lists = shared.value
+        if not vocabulary:
+            return
+        words = pa.array(vocabulary, pa.string())
+        sizes = np.array([len(x) for x in lists])
+        flat, start = np.concatenate(lists), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                doc, tok = _token_ids(batch.column("tokens"), words)
+                if not len(tok):
+                    continue
+                n = sizes[tok]
+                at = np.repeat(start[tok] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                term = np.unique(np.repeat(doc, n) * len(owner) + flat[at])  # a term counts once, whichever of its tokens matched
+                hit, score = np.unique(term // len(owner) * len(ids) + owner[term % len(owner)], return_counts=True)
+                doc, query = hit // len(ids), hit % len(ids)
+                if k is not None:
+                    order = np.lexsort((-score, query))
+                    doc, query, score = doc[order], query[order], score[order]
+                    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+                    last = np.minimum(first + k, np.r_[first[1:], len(query)]) - 1
+                    keep = score >= np.repeat(score[last], np.diff(np.r_[first, len(query)]))
+                    doc, query, score = doc[keep], query[keep], score[keep]
+                yield pa.RecordBatch.from_pydict({"query_id": ids[query], "key": batch.column("key").take(pa.array(doc)), "score": score.astype(np.int64)})
+
+    return run
 
 
 def min_max(df: DataFrame, by: str, score: str, out: str, smaller_better: bool = False) -> DataFrame:

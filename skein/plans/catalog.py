@@ -263,7 +263,7 @@ def bm25_topk(t):
 
 @query
 def fulltext_or_fuzzy(t):
-    return S.top_k(S.fulltext(_questions(t), t("chunks"), "query_id", "question", "chunk_id", "text"), "query_id", [F.desc("score"), F.asc("chunk_id")], 10)
+    return S.top_k(S.fulltext(_questions(t), t("chunks"), "query_id", "question", "chunk_id", "text", 10), "query_id", [F.desc("score"), F.asc("chunk_id")], 10)
 
 
 def _vectors(t) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.functions import text as X
 from skein.operators import chunking as C, evaluation as E, graph as G, grouping as P, links as L, search as S
-from skein.plans import preparation as Q, providers as M
-from skein.plans.catalog import _gold_edges, _note_edges, _path, _predictions, query
+from skein.plans import pipelines as R, preparation as Q, providers as M
+from skein.plans.catalog import _edges, _gold_edges, _note_edges, _path, _predictions, _questions, query
 from skein.session import shared_folder
 from skein.sources import sinks, vault as V
 from skein.streaming import incremental as I
@@ -332,6 +332,33 @@ def qa_evaluation(t):
     return Q.evaluate_answers(contexts, qa)
 
 
+# ---- pipelines over vectors ----------------------------------------------------------------------------------------
+
+
+@query
+def vector_search(t):
+    """Chunks nearest to each question by hashed term vectors."""
+    return R.search_chunks(_questions(t), t("chunks").filter("text IS NOT NULL"), 5, weight=1.0).select("query_id", "chunk_id", "rank_no")
+
+
+@query
+def hybrid_search(t):
+    return R.search_chunks(_questions(t), t("chunks").filter("text IS NOT NULL"), 5, weight=0.5).select("query_id", "chunk_id", "score")
+
+
+@query
+def pipeline_untyped_vector(t):
+    return R.run_untyped(_questions(t), t("chunks").filter("text IS NOT NULL"), _edges(t), weight=1.0).select("query_id", "rank_no", "text", "score")
+
+
+@query
+def broad_retrieval_by_summary(t):
+    """Broad retrieval with a title and summary of each note as its query, by hashed term vectors."""
+    chunks = t("chunks").filter("text IS NOT NULL")
+    queries = R.title_summary_queries(t("notes").filter("body IS NOT NULL"))
+    return R.broad_by_summary(queries, chunks, threshold=0.3).select("source_path", "target_path", F.md5("target_content").alias("content_md5"), F.round("reranker_score", 6).alias("reranker_score"))
+
+
 # ---- re-indexing ----------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.functions import text as X
 from skein.operators import chunking as C, graph as G, grouping as P, links as L, search as S
-from skein.plans.providers import CoverageReranker, Reranker
+from skein.plans.providers import CoverageReranker, Embedder, HashEmbedder, Reranker
 
 
 def broad_candidates(queries: DataFrame, chunks: DataFrame, k: int = 15, top: int = 5, threshold: float = 0.5, reranker: Reranker | None = None) -> DataFrame:
@@ -31,6 +31,16 @@ def title_summary_queries(notes: DataFrame) -> DataFrame:
     return notes.select(F.concat_ws("/", "vault", "rel_path").alias("file_path"), X.title_summary(F.col("rel_path"), F.col("body")).alias("text"))
 
 
+def broad_by_summary(queries: DataFrame, chunks: DataFrame, k: int = 15, top: int = 5, threshold: float = 0.5, reranker: Reranker | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """broad_candidates with one query for each note (file_path, text), see title_summary_queries, embedded like the chunks (chunk_id, file_path, text).
+
+    Notes are as many as files, so they are searched in blocks against all chunks like any stated set of queries.
+    """
+    own = embedder or HashEmbedder()
+    q = queries.withColumn("query_id", F.xxhash64("file_path")).withColumn("vector", own.vector(F.col("text")))
+    return broad_candidates(q, chunks.select("chunk_id", "file_path", "text", own.vector(F.col("text")).alias("vector")), k, top, threshold, reranker)
+
+
 def strict_candidates(docs: DataFrame, aliases: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """Candidates by phrase match: docs (file_path, text) that name an entity (alias, rel_path); the context is the first sentence with it and its neighbours; score 1, distance 0."""
     sents = C.sentence_windows(docs, "file_path", "text", before, after).join(C.sentence_rows(docs, "file_path", "text"), ["file_path", "idx"])
@@ -62,9 +72,29 @@ def combined_candidates(strict: DataFrame, broad: DataFrame) -> DataFrame:
 # ---- question pipelines: questions (query_id, question), seeds (query_id, node, rank_no, score) --------------
 
 
-def seeds_by_text(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, node, rank_no, score): the distinct files of the k best chunks of each question by BM25."""
-    top = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", k).join(chunks.select("chunk_id", "file_path"), "chunk_id")
+def search_chunks(questions: DataFrame, chunks: DataFrame, k: int, weight: float = 0.0, embedder: Embedder | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank_no): the k best chunks of each question; weight 1 searches vectors, 0 full text, between them both.
+
+    Questions and chunks that have a column vector are compared by it; else embedder makes the vectors of both from
+    their texts. The score of a vector hit is 1 - distance, of a hybrid one the weighted sum of scaled scores.
+    """
+    if weight <= 0:
+        return S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", k)
+    if embedder is not None or "vector" not in questions.columns or "vector" not in chunks.columns:
+        own = embedder or HashEmbedder()
+        q, c = questions.withColumn("vector", own.vector(F.col("question"))), chunks.withColumn("vector", own.vector(F.col("text")))
+    else:
+        q, c = questions, chunks
+    near = S.knn(q.select("query_id", "vector", F.lit(0).alias("grp")), c.select(F.col("chunk_id").alias("item_id"), "vector", F.lit(1).alias("grp")), k, "cosine").withColumnRenamed("item_id", "chunk_id")
+    if weight >= 1:
+        return near.select("query_id", "chunk_id", F.round(1 - F.col("distance"), 6).alias("score"), "rank_no")
+    hits = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", k)
+    return S.top_k(S.hybrid(near, hits, weight, "chunk_id"), "query_id", [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def seed_notes(questions: DataFrame, chunks: DataFrame, k: int = 5, weight: float = 0.0, embedder: Embedder | None = None) -> DataFrame:
+    """(query_id, node, rank_no, score): the distinct files of the k best chunks of each question (see search_chunks)."""
+    top = search_chunks(questions, chunks, k, weight, embedder).join(chunks.select("chunk_id", "file_path"), "chunk_id")
     return top.groupBy("query_id", F.col("file_path").alias("node")).agg(F.min("rank_no").alias("rank_no"), F.max("score").alias("score"))
 
 
@@ -76,9 +106,9 @@ def collect_contexts(visited: DataFrame, questions: DataFrame, chunks: DataFrame
     return S.rerank(scored, "query_id", "score", ["file_path", "chunk_id"], top, threshold)
 
 
-def run_untyped(questions: DataFrame, chunks: DataFrame, edges: DataFrame, max_hops: int = 2, seed_k: int = 5, top: int = 10) -> DataFrame:
-    """Seed, breadth-first expansion, prune: contexts of every question. edges (src, dst, relation)."""
-    visited = G.bfs(seeds_by_text(questions, chunks, seed_k), edges, max_hops)
+def run_untyped(questions: DataFrame, chunks: DataFrame, edges: DataFrame, max_hops: int = 2, seed_k: int = 5, top: int = 10, weight: float = 0.0, embedder: Embedder | None = None) -> DataFrame:
+    """Seed, breadth-first expansion, prune: contexts of every question. edges (src, dst, relation); weight as in search_chunks."""
+    visited = G.bfs(seed_notes(questions, chunks, seed_k, weight, embedder), edges, max_hops)
     return collect_contexts(visited, questions, chunks, top)
 
 
@@ -94,14 +124,15 @@ def edge_scorer(questions: DataFrame, chunks: DataFrame, reranker: Reranker | No
     return score
 
 
-def run_typed(questions: DataFrame, chunks: DataFrame, edges: DataFrame, max_hops: int = 2, threshold: float = 0.2, seed_k: int = 5, top: int = 10) -> DataFrame:
-    visited = G.bfs_scored(seeds_by_text(questions, chunks, seed_k), edges, edge_scorer(questions, chunks), max_hops, threshold)
+def run_typed(questions: DataFrame, chunks: DataFrame, edges: DataFrame, max_hops: int = 2, threshold: float = 0.2, seed_k: int = 5, top: int = 10, weight: float = 0.0, embedder: Embedder | None = None) -> DataFrame:
+    """As run_untyped, but a step must fit the question by at least threshold."""
+    visited = G.bfs_scored(seed_notes(questions, chunks, seed_k, weight, embedder), edges, edge_scorer(questions, chunks), max_hops, threshold)
     return collect_contexts(visited, questions, chunks, top)
 
 
-def run_single_hop(questions: DataFrame, chunks: DataFrame, links: DataFrame, seed_k: int = 5, top: int = 10, threshold: float = 0.3, expand_k: int = 5, penalty: float = 0.9) -> DataFrame:
+def run_single_hop(questions: DataFrame, chunks: DataFrame, links: DataFrame, seed_k: int = 5, top: int = 10, threshold: float = 0.3, expand_k: int = 5, penalty: float = 0.9, weight: float = 0.0, embedder: Embedder | None = None) -> DataFrame:
     """(query_id, rank_no, text, score): reranked seed chunks and the first chunks of notes they link to, as one ranking. links (src, dst, link_ord)."""
-    hits = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", seed_k)
+    hits = search_chunks(questions, chunks, seed_k, weight, embedder)
     hits = hits.drop("rank_no", "score").join(chunks.select("chunk_id", "file_path", "text"), "chunk_id").join(questions, "query_id")
     scored = hits.withColumn("score", S.coverage(F.col("question"), F.col("text")))
     seeds = S.rerank(scored, "query_id", "score", ["chunk_id"], top, threshold)
@@ -116,11 +147,11 @@ def run_property_graph(questions: DataFrame, chunks: DataFrame, entities: DataFr
 
     entities (node, display_name), mentions (doc = chunk_id, entity), edges (src, dst, relation).
     """
-    found = S.fulltext(questions, entities, "query_id", "question", "node", "display_name")
+    found = S.fulltext(questions, entities, "query_id", "question", "node", "display_name", seed_k)
     seeds = S.top_k(found, "query_id", [F.desc("score"), F.asc("node")], seed_k).select("query_id", "node")
     graph = G.khop_undirected(seeds, edges, max_hops)
     docs = G.documents_of_entities(mentions, graph).select("query_id", F.col("doc").alias("chunk_id"), F.col("n").cast("double").alias("score"))
-    texts = C.with_next_text(chunks, "file_path", "chunk_index", "text").select("chunk_id", F.col("text_next").alias("text"))
+    texts = C.with_next_text(chunks, "file_path", "chunk_index", "text", "chunk_id").select("chunk_id", F.col("text_next").alias("text"))
     by_entity = S.top_k(docs, "query_id", [F.desc("score"), F.asc("chunk_id")], top)
     direct = S.bm25(questions, chunks, "query_id", "question", "chunk_id", "text", top)
     branches = by_entity.select("query_id", F.lit(0).alias("branch"), F.col("rank_no").alias("ord"), "chunk_id", "score").unionByName(direct.select("query_id", F.lit(1).alias("branch"), F.col("rank_no").alias("ord"), "chunk_id", "score"))

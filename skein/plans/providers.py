@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.functions import text as X, vectors as V
@@ -39,16 +42,65 @@ class TokenLemmatizer:
         return X.tokens(text)
 
 
+class ModelReranker:
+    """A scorer of text pairs that works on batches; load() makes it once in each worker.
+
+    The model gets lists of at most `batch` (query, candidate) pairs and returns their scores; a null on either side
+    scores 0 without being sent.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16):
+        self.load, self.batch = load, batch
+
+    def score(self, query: Column, candidate: Column) -> Column:
+        load, batch = self.load, self.batch
+
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = load()
+            for q, c in parts:
+                out = np.zeros(len(q))
+                at = np.flatnonzero((q.notna() & c.notna()).to_numpy())
+                for s in range(0, len(at), batch):
+                    own = at[s : s + batch]
+                    out[own] = model([(q.iat[i], c.iat[i]) for i in own])
+                yield pd.Series(out)
+
+        return F.pandas_udf(run, "double")(query, candidate)
+
+
+class ModelEmbedder:
+    """A text encoder that works on batches; load() makes it once in each worker. Null texts have no vector."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, batch: int = 128):
+        self.load, self.dim, self.batch = load, dim, batch
+
+    def vector(self, text: Column) -> Column:
+        load, batch = self.load, self.batch
+
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for t in parts:
+                out: list = [None] * len(t)
+                at = np.flatnonzero(t.notna().to_numpy())
+                for s in range(0, len(at), batch):
+                    own = at[s : s + batch]
+                    for i, v in zip(own, model([t.iat[i] for i in own])):
+                        out[i] = list(map(float, v))
+                yield pd.Series(out, dtype=object)
+
+        return F.pandas_udf(run, "array<float>")(text)
+
+
 class HashEmbedder:
-    """Hashed term frequencies scaled to length one."""
+    """Hashed term frequencies scaled to length one; a token's slot is the first eight hexadecimal digits of its MD5, modulo dim."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def vector(self, text: Column) -> Column:
-        slots = F.transform(X.tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(self.dim)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-        return V.unit(counts)
+        slots = F.transform(X.tokens(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % self.dim)
+        counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
+        return V.unit(V.let(slots, counts))
 
 
 class CoverageReranker:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from skein.plans.sql import _BM25, _BODY, _COVER, _FIRST, _H, _L2, _LINE, _LINKS, _NOTE_EDGES, _PRED, _PRF, _QA20, _SENTS, _STOP, _STOPHEADS, _VEC, _WS, ORACLE_SQL as _BASE, _edge_counts, _strip, _title, _tokens
+from skein.operators.chunking import SEPARATORS
+from skein.plans.sql import _BM25, _BODY, _COVER, _FIRST, _GRAMS, _H, _L2, _LINE, _LINKS, _NOTE_EDGES, _PRED, _PRF, _QA20, _SENTS, _STOP, _STOPHEADS, _VEC, _WS, ORACLE_SQL as _BASE, _edge_counts, _strip, _title, _tokens
 
 _NEWLINES = r"regexp_replace(content, '\r\n?', chr(10), 'g')"
 _PART = r"regexp_extract({0}, '^[^_]+_[^_]+_(.+)$', 1)"
@@ -78,7 +79,105 @@ def _step(frontier: str, more: str = "") -> str:
   WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query_id = s.query_id AND z.node = dst){more} GROUP BY 1, 2 HAVING score >= 0.2"""
 
 
+def _slots(x: str) -> str:
+    """The slots of a text's tokens among 64."""
+    return f"list_transform({_tokens(x)}, lambda w: CAST('0x' || md5(w)[1:8] AS UBIGINT) % 64)"
+
+
+_COUNTS = "list_transform(range(64), lambda i: CAST(len(list_filter(sl, lambda s: s = i)) AS DOUBLE))"
+
+
+def _unit(x: str) -> str:
+    """A list of counts scaled to length one; zeros stay."""
+    return f"list_transform({x}, lambda c: c / greatest(1e-300, sqrt(list_dot_product({x}, {x}))))"
+
+
+def _near(queries: str, keep: int) -> str:
+    """near: the nearest chunks of queries (query_id, v) by the cosine of hashed term vectors."""
+    return f"""
+hc AS (SELECT chunk_id, {_COUNTS} AS v FROM (SELECT chunk_id, {_slots('text')} AS sl FROM chunks WHERE text IS NOT NULL)),
+hq AS ({queries}),
+hd AS (
+  SELECT query_id, chunk_id, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS distance FROM hq a, hc b
+  WHERE list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank_no FROM hd) WHERE rank_no <= {keep})"""
+
+
+_HASHED_QUESTIONS = f"SELECT query_id, {_COUNTS} AS v FROM (SELECT query_id, {_slots('question')} AS sl FROM questions)"
+
+def _split_at(level: int, separator: str) -> str:
+    """Pieces of more than 3000 characters cut in front of each separator but one at their very start."""
+    sep = "'" + separator.replace("\n", "' || chr(10) || '") + "'"
+    return f"""
+l{level + 1} AS (
+  SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 3000 THEN [p] ELSE list_transform(string_split(p[2:], {sep}), lambda x, i: CASE WHEN i = 1 THEN p[1:1] || x ELSE {sep} || x END) END)) AS ps FROM l{level})"""
+
+
+def _short(x: str) -> str:
+    """What a title says behind its two coined words, as an alias."""
+    return _alias(rf"regexp_extract({x}, '^\S+ \S+ (.+)$', 1)")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "recursive_chunks": f"""
+WITH RECURSIVE l0 AS (SELECT doc_id, [text] AS ps FROM documents WHERE text <> ''),{",".join(_split_at(i, s) for i, s in enumerate(SEPARATORS[:-1]))},
+pc AS (SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 3000 THEN [p] ELSE list_transform(range(0, length(p), 3000), lambda k: p[k + 1:k + 3000]) END)) AS ps FROM l{len(SEPARATORS) - 1}),
+pf AS (SELECT doc_id, ps, len(ps) AS n, list_transform(range(0, len(ps) + 1), lambda k: CASE WHEN k = 0 THEN 0 ELSE list_sum(list_transform(ps[1:k], lambda x: length(x))) END) AS sums FROM pc),
+w(doc_id, i, st, a, b) AS (
+  SELECT doc_id, 1::BIGINT, 1::BIGINT, NULL::BIGINT, NULL::BIGINT FROM pf
+  UNION ALL SELECT w.doc_id, i + 1,
+    CASE WHEN sums[i + 2] - sums[st] > 3000 THEN list_min(list_filter(range(st, i + 2), lambda k: sums[i + 1] - sums[k] <= least(300, 3000 - length(ps[i + 1])))) ELSE st END,
+    CASE WHEN sums[i + 2] - sums[st] > 3000 THEN st END, CASE WHEN sums[i + 2] - sums[st] > 3000 THEN i END
+  FROM w JOIN pf ON pf.doc_id = w.doc_id WHERE i < n),
+ck AS (
+  SELECT w.doc_id, i AS o, {_strip("array_to_string(ps[a:b], '')")} AS chunk FROM w JOIN pf ON pf.doc_id = w.doc_id WHERE a IS NOT NULL
+  UNION ALL SELECT w.doc_id, i + 1, {_strip("array_to_string(ps[st:n], '')")} FROM w JOIN pf ON pf.doc_id = w.doc_id WHERE i = n)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS idx, chunk FROM ck WHERE chunk <> ''""",
+    "pipeline_property_graph": f"""
+WITH RECURSIVE {_QA20}, {_BM25}, {_NOTE_EDGES}, {_GRAMS},
+qt AS (SELECT query_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(question, '[A-Za-zА-Яа-яЁё0-9]{{4,}}'), lambda x: lower(x)), lambda x: NOT list_contains({_STOP}, x)))) AS term FROM questions),
+tk AS (SELECT DISTINCT alias, unnest({_tokens('alias')}) AS token FROM aliases WHERE alias <> ''),
+mt AS (SELECT term, token FROM (SELECT DISTINCT term FROM qt), (SELECT DISTINCT token FROM tk) WHERE term = token OR (length(term) > 5 AND abs(length(term) - length(token)) <= 1 AND levenshtein(term, token) <= 1)),
+sf AS (SELECT query_id, alias, count(DISTINCT term) AS score FROM qt JOIN mt USING (term) JOIN tk USING (token) GROUP BY ALL),
+sd AS (SELECT query_id, alias AS node FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, alias) AS rn FROM sf) WHERE rn <= 10),
+es AS (SELECT DISTINCT {_short(_title('src'))} AS s, {_short(_title('dst'))} AS d FROM edges WHERE relation NOT IN ('MENTIONS', 'NEXT_CHUNK')),
+eu AS (SELECT s, d FROM es WHERE s <> '' AND d <> '' UNION SELECT d, s FROM es WHERE s <> '' AND d <> ''),
+kh(query_id, node, depth) AS (SELECT query_id, node, 0 FROM sd UNION SELECT k.query_id, eu.d, k.depth + 1 FROM kh k JOIN eu ON eu.s = k.node WHERE k.depth < 3),
+tt AS (SELECT chunk_id, {_tokens("coalesce(text, '')")} AS l FROM chunks),
+gg AS (SELECT chunk_id, n, l, unnest(range(len(l) - n + 1)) AS pos FROM tt, (SELECT DISTINCT n FROM al) WHERE len(l) >= n),
+me AS (SELECT DISTINCT chunk_id, alias FROM gg JOIN al ON al.n = gg.n AND array_to_string(l[pos + 1:pos + gg.n], ' ') = gram),
+dn AS (SELECT query_id, chunk_id, count(*) AS score FROM (SELECT DISTINCT query_id, node FROM kh) JOIN me ON alias = node GROUP BY ALL),
+br AS (
+  SELECT query_id, 0 AS branch, rn AS ord, chunk_id, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM dn) WHERE rn <= 10
+  UNION ALL SELECT query_id, 1, rank_no, chunk_id, score FROM bmk),
+tx AS (SELECT chunk_id, text || coalesce(chr(10) || lead(text) OVER (PARTITION BY file_path ORDER BY chunk_index, chunk_id), '') AS text FROM chunks),
+fu AS (SELECT br.query_id, text, score / CASE WHEN max(score) OVER b <> 0 THEN max(score) OVER b ELSE 1 END AS x FROM br JOIN tx USING (chunk_id) WINDOW b AS (PARTITION BY query_id, branch)),
+ag AS (SELECT query_id, substring(text, 1, 120) AS text_key, round(sum(x), 6) AS score FROM fu GROUP BY ALL)
+SELECT query_id, CAST(rn AS INTEGER) AS rank_no, text_key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, text_key) AS rn FROM ag) WHERE rn <= 10""",
+    "broad_retrieval_by_summary": f"""
+WITH qs AS (SELECT vault || '/' || rel_path AS source_path, query AS qt FROM ({_BASE['title_summary']}) JOIN (SELECT vault, rel_path FROM notes WHERE body IS NOT NULL) USING (vault, rel_path)),
+a AS (SELECT source_path, qt, {_unit('h')} AS v FROM (SELECT *, {_COUNTS} AS h FROM (SELECT *, {_slots('qt')} AS sl FROM qs))),
+b AS (SELECT chunk_id, file_path, text, {_unit('h')} AS v FROM (SELECT *, {_COUNTS} AS h FROM (SELECT *, {_slots('text')} AS sl FROM chunks WHERE text IS NOT NULL))),
+nn AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY distance, chunk_id) AS rank_no FROM (
+    SELECT source_path, qt, chunk_id, file_path, text, round({_L2}, 6) AS distance FROM a, b)) WHERE rank_no <= 16),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path, text ORDER BY rank_no, chunk_id) AS rn FROM nn WHERE file_path <> source_path) WHERE rn = 1),
+s AS (SELECT *, {_COVER.format(q=f"list_distinct({_tokens('qt')})", c=_tokens('text'))} AS score FROM u),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY score DESC, distance, chunk_id) AS rk FROM s WHERE score >= 0.3) WHERE rk <= 5)
+SELECT source_path, file_path AS target_path, md5(string_agg(coalesce(text, ''), chr(10) || '...' || chr(10) ORDER BY rk)) AS content_md5, round(max(score), 6) AS reranker_score FROM t GROUP BY source_path, file_path""",
+    "vector_search": f"WITH {_QA20}, {_near(_HASHED_QUESTIONS, 5)} SELECT query_id, chunk_id, CAST(rank_no AS INTEGER) AS rank_no FROM near",
+    "hybrid_search": f"""
+WITH {_QA20}, {_near(_HASHED_QUESTIONS, 5)}, {_BM25.replace("SELECT chunk_id, " + _tokens("coalesce(text, '')") + " AS l FROM chunks", "SELECT chunk_id, " + _tokens("text") + " AS l FROM chunks WHERE text IS NOT NULL")},
+a AS (SELECT query_id, chunk_id, CASE WHEN max(distance) OVER w > min(distance) OVER w THEN (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) ELSE 1 END AS x FROM near WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS y FROM (SELECT * FROM bmk WHERE rank_no <= 5) WINDOW w AS (PARTITION BY query_id)),
+u AS (SELECT query_id, chunk_id, round(0.5::DOUBLE * coalesce(x, 0) + 0.5::DOUBLE * coalesce(y, 0), 6) AS score FROM a FULL JOIN b USING (query_id, chunk_id))
+SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM u) WHERE rn <= 5""",
+    "pipeline_untyped_vector": f"""
+WITH RECURSIVE {_QA20}, {_near(_HASHED_QUESTIONS, 5)}, {_NOTE_EDGES},
+seeds AS (SELECT DISTINCT query_id, file_path AS node FROM near JOIN chunks USING (chunk_id)),
+visited(query_id, node, depth) AS (
+  SELECT query_id, node, 0 FROM seeds UNION SELECT b.query_id, e.dst, b.depth + 1 FROM visited b JOIN edges e ON e.src = b.node WHERE b.depth < 2),
+{_COLLECT}""",
     "scan_roundtrip": f"""
 SELECT vault, rel_path, stem, sha256(content) AS sha, sha256({_BODY}) AS content_hash, md5({_LINKS}) AS links_md5 FROM (SELECT vault, rel_path, stem, {_NEWLINES} AS content FROM notes)""",
     "loaded_documents": f"SELECT vault || '/' || rel_path AS source, rel_path AS source_rel, vault, md5(clean) AS text_md5 FROM ({_BASE['clean_text']}) WHERE clean <> ''",

@@ -156,9 +156,9 @@ class ResidueIndex:
                 self.exemplars.append((kind, bag, sum(self.weight[t] for t in bag)))
         self.vocabulary = frozenset(self.weight)
 
-    def match(self, passage: str) -> str | None:
-        """The kind whose exemplars, those that the passage holds to a high degree, cover it to a high degree."""
-        bag = bag_of(passage)
+    def match(self, passage: str, bag: set[str] | None = None) -> str | None:
+        """The kind whose exemplars, those that the passage holds to a high degree, cover it to a high degree. bag: bag_of(passage), if known."""
+        bag = bag_of(passage) if bag is None else bag
         known = bag & self.vocabulary
         if not known:
             return None
@@ -205,14 +205,17 @@ class ResidueIndex:
             line = line.strip()
             if not line:
                 continue
-            whole = self.match(line)
-            begin = 0
-            for end in [len(line)] if whole else boundaries(line):
+            units, begin = [], 0
+            for end in boundaries(line):
                 unit = line[begin:end].strip()
+                units.append((unit, bag_of(unit)))
                 begin = end
-                if not unit:
-                    continue
-                k = whole or self.match(unit)
+            whole = self.match(line, set().union(*(bag for _, bag in units)))
+            if whole:
+                mass[whole] += len(line)
+                continue
+            for unit, bag in units:
+                k = self.match(unit, bag) if len(units) > 1 else None
                 if k:
                     mass[k] += len(unit)
                 elif not _is_title(unit):

@@ -175,8 +175,13 @@ def lemma_set(c: Column) -> Column:
 
 def phrase_lemmas(c: Column, keep_function_words: bool = False) -> Column:
     """struct<lemmas, head>: lemmas of a phrase without stop words, and its head, the first of them."""
+    return phrase_of(tokens(c), keep_function_words)
+
+
+def phrase_of(lemmas: Column, keep_function_words: bool = False) -> Column:
+    """phrase_lemmas of an array of lemmas, whatever made them."""
     drop = [w for w in QUERY_STOPWORDS if not (keep_function_words and w in PHRASE_WORDS)]
-    lemmas = F.filter(tokens(c), lambda t: ~t.isin(drop))
+    lemmas = F.filter(lemmas, lambda t: ~t.isin(drop))
     return F.struct(lemmas.alias("lemmas"), F.get(F.filter(lemmas, lambda t: ~t.isin(QUERY_STOPWORDS)), 0).alias("head"))
 
 
@@ -222,12 +227,17 @@ def join_contexts(contexts: Column) -> Column:
 
 def retry_delay(message: Column, default: float = 30.0) -> Column:
     """Seconds to wait that an error message asks for, and one more; the default where it names none."""
-    got = F.regexp_extract(message, r"""retryDelay['"]:\s*['"](\d+(?:\.\d+)?)s['"]""", 1)
+    got = F.regexp_extract(message, RETRY_DELAY, 1)
     return F.when(got != "", got.cast("double") + 1.0).otherwise(F.lit(default))
 
 
+# Marks of errors that pass by themselves, and of the delay a message asks for (fixed values: formats of the services).
+TRANSIENT = "RESOURCE_EXHAUSTED|429|UNAVAILABLE|503"
+RETRY_DELAY = r"""retryDelay['"]:\s*['"](\d+(?:\.\d+)?)s['"]"""
+
+
 def is_transient(message: Column) -> Column:
-    return message.rlike("RESOURCE_EXHAUSTED|429|UNAVAILABLE|503")
+    return message.rlike(TRANSIENT)
 
 
 def parse_aliases(content: Column) -> Column:

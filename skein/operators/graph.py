@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from skein.session import materialize
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
+def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, discoverer: bool = False) -> DataFrame:
     """(query_id, node, depth): all nodes within max_hops directed edges (src, dst) of a query's seeds (query_id, node), at their least depth.
 
+    discoverer adds via, the node that a node was first reached from (of several the least); null for seeds.
+
     Each hop joins the frontier with the edges and drops what the query has visited; it stops when no query finds
     anything new. The frontier is materialised, so the lineage stays one hop long and a lost executor costs one hop.
     """
     visited = seeds.select("query_id", "node").distinct().withColumn("depth", F.lit(0))
+    if discoverer:
+        visited = visited.withColumn("via", F.lit(None).cast(edges.schema["src"].dataType))
     frontier = visited
     links = edges.select(F.col("src").alias("node"), "dst").filter("node <> dst").distinct()
     for hop in range(1, max_hops + 1):
-        found = frontier.select("query_id", "node").join(links, "node").select("query_id", F.col("dst").alias("node")).distinct()
+        steps = frontier.select("query_id", "node").join(links, "node").select("query_id", F.col("dst").alias("node"), F.col("node").alias("via"))
+        found = steps.groupBy("query_id", "node").agg(F.min("via").alias("via")) if discoverer else steps.select("query_id", "node").distinct()
         frontier = materialize(found.join(visited, ["query_id", "node"], "left_anti").withColumn("depth", F.lit(hop)), "bfs")
         if frontier.isEmpty():
             break

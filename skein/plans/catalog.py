@@ -360,7 +360,7 @@ def expand_one_hop(t):
 
 @query
 def khop_undirected(t):
-    return G.khop_undirected(_seeds(t), _edges(t), 2)
+    return G.khop_undirected(_seeds(t), _edges(t), 3)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from skein.functions import text as X
 from skein.operators import chunking as C, evaluation as E, graph as G, grouping as P, links as L, search as S
 from skein.plans import pipelines as R, preparation as Q, providers as M
-from skein.plans.catalog import _edges, _gold_edges, _note_edges, _path, _predictions, _questions, query
+from skein.plans.catalog import _edges, _gold_edges, _note_edges, _path, _predictions, _questions, _seeds, query
 from skein.session import shared_folder
 from skein.sources import sinks, vault as V
 from skein.streaming import incremental as I
@@ -295,6 +295,19 @@ def resolved_edges(t):
     return G.resolve_entities(pairs, edges, 0.9)[1]
 
 
+@query
+def bfs_discoverers(t):
+    return G.bfs(_seeds(t), _edges(t), 2, discoverer=True)
+
+
+@query
+def entity_seeds(t):
+    """The notes of a question's own vault whose names match most of its terms."""
+    q = t("qa").filter("qa_id % 20 = 0").select(F.col("qa_id").alias("query_id"), "question", "vault")
+    notes = t("notes").select(F.concat_ws(":", "vault", X.node_id(F.col("stem"))).alias("node"), "vault", X.spaced(F.col("stem")).alias("display_name")).distinct()
+    return R.entity_seeds(q, notes, 5).select("query_id", "node", "score", "rank_no")
+
+
 # ---- evaluation --------------------------------------------------------------------------------------------------
 
 
@@ -306,6 +319,16 @@ def micro_by_strategy(t):
     return E.micro_totals(typed.unionByName(untyped), "strategy")
 
 
+@query
+def results_appended(t):
+    """Classification results appended as JSON lines in two runs and read back."""
+    typed = E.gold_groups(t("gold")).select("sample_name", "source_file", "entity", "true_type")
+    path = _folder(typed, "results")
+    for part in (typed.filter("true_type <= 'm'"), typed.filter("true_type > 'm'")):
+        sinks.append_results(part, path)
+    return V.read_json(typed.sparkSession, path, V.RESULT_SCHEMA, lines=True).select("sample_name", "source_file", "entity", "true_type")
+
+
 @query
 def merged_ranking(t):
     """Seed hits and expanded hits as one ranking."""

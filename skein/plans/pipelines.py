@@ -142,13 +142,24 @@ def run_single_hop(questions: DataFrame, chunks: DataFrame, links: DataFrame, se
     return P.merge_ranked(seeds.select("query_id", "text", "score", F.col("rank_no").alias("ord")), more.select("query_id", F.col("summary").alias("text"), "score", F.col("expand_no").alias("ord")))
 
 
-def run_property_graph(questions: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, max_hops: int = 3, seed_k: int = 10, top: int = 10) -> DataFrame:
-    """(query_id, text_key, score, text, rank_no): entity seeds by full text, k-hop subgraph, documents by mentions, direct text hits, fused.
+def entity_seeds(questions: DataFrame, entities: DataFrame, k: int = 10, min_score: int = 1) -> DataFrame:
+    """(query_id, node, score, rank_no): the k entities (node, display_name) whose names match most terms of a question, min_score at least.
+
+    Where both sides have a vault, only entities of the question's vault count; they are filtered before the cut.
+    """
+    own = "vault" in questions.columns and "vault" in entities.columns
+    found = S.fulltext(questions, entities, "query_id", "question", "node", "display_name", None if own else k).filter(F.col("score") >= min_score)
+    if own:
+        found = found.join(entities.select("node", "vault").distinct(), "node").join(questions.select("query_id", "vault"), ["query_id", "vault"]).drop("vault")
+    return S.top_k(found, "query_id", [F.desc("score"), F.asc("node")], k)
+
+
+def run_property_graph(questions: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, max_hops: int = 3, seed_k: int = 10, top: int = 10, min_score: int = 1) -> DataFrame:
+    """(query_id, text_key, score, text, rank_no): entity seeds by full text, k-hop subgraph, documents by mentions, direct text hits, fused; seeds as entity_seeds.
 
     entities (node, display_name), mentions (doc = chunk_id, entity), edges (src, dst, relation).
     """
-    found = S.fulltext(questions, entities, "query_id", "question", "node", "display_name", seed_k)
-    seeds = S.top_k(found, "query_id", [F.desc("score"), F.asc("node")], seed_k).select("query_id", "node")
+    seeds = entity_seeds(questions, entities, seed_k, min_score).select("query_id", "node")
     graph = G.khop_undirected(seeds, edges, max_hops)
     docs = G.documents_of_entities(mentions, graph).select("query_id", F.col("doc").alias("chunk_id"), F.col("n").cast("double").alias("score"))
     texts = C.with_next_text(chunks, "file_path", "chunk_index", "text", "chunk_id").select("chunk_id", F.col("text_next").alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skein.functions import text as X
 from skein.operators import chunking as C, grouping as P, links as L, search as S
-from skein.plans.providers import Classifier, CoverageReranker, Reranker
+from skein.plans.providers import Classifier, CoverageReranker, Lemmatizer, Reranker, TokenLemmatizer, retrying
 from skein.session import path_exists
 from skein.sources.sinks import append_done
 from skein.sources.vault import VaultConfig
@@ -22,22 +22,17 @@ def fetch_pages(titles: DataFrame, fetch: Callable[[str], dict | None], retries:
     """
 
     def run(batches):
-        import time
-
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for title in pdf["title"]:
-                for n in range(retries):
-                    try:
-                        page = fetch(title)
-                        if page:
-                            rows.append((title, page.get("summary"), page.get("text"), list(page.get("links") or [])))
-                        break
-                    except Exception:
-                        if n + 1 < retries:
-                            time.sleep(backoff * 2**n)
+                try:
+                    page = retrying(lambda: fetch(title), retries, backoff, every=True)
+                except Exception:
+                    continue
+                if page:
+                    rows.append((title, page.get("summary"), page.get("text"), list(page.get("links") or [])))
             yield pd.DataFrame(rows, columns=["title", "summary", "text", "links"])
 
     return titles.select("title").distinct().mapInPandas(run, "title string, summary string, text string, links array<string>")
@@ -52,11 +47,12 @@ def crawl_candidates(topic: str, pages: DataFrame, visited: DataFrame, limit: in
     return first.select("title", reranker.score(F.lit(topic), text).alias("score")).filter(F.col("score") > min_score)
 
 
-def sentences_of_titles(pages: DataFrame, titles: DataFrame) -> DataFrame:
-    """(page, title, idx, sentence, lemmas): sentences of a page (page, text) that hold a linked title (page, title) within a short span."""
+def sentences_of_titles(pages: DataFrame, titles: DataFrame, lemmatizer: Lemmatizer | None = None) -> DataFrame:
+    """(page, title, idx, sentence, lemmas): sentences of a page (page, text) that hold a linked title (page, title) within a short span; both are compared by their lemmas."""
+    lemmatizer = lemmatizer or TokenLemmatizer()
     cut = pages.select("page", X.strip_stop_sections(F.col("text")).alias("text"))
-    sents = C.sentence_rows(cut, "page", "text").withColumn("lemmas", X.tokens(F.col("sentence")))
-    phrase = titles.select("page", "title", X.phrase_lemmas(X.spaced(F.col("title"))).alias("_p")).distinct()
+    sents = C.sentence_rows(cut, "page", "text").withColumn("lemmas", lemmatizer.lemmas(F.col("sentence")))
+    phrase = titles.select("page", "title", X.phrase_of(lemmatizer.lemmas(X.spaced(F.col("title")))).alias("_p")).distinct()
     hit = S.within_span(F.col("lemmas"), F.col("_p.lemmas"), F.col("_p.head"))
     return sents.join(phrase, "page").filter(hit).select("page", "title", "idx", "sentence", "lemmas")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skein.functions import text as X, vectors as V
 from skein.operators.search import coverage
 
+T = TypeVar("T")
+
+
+def retrying(call: Callable[[], T], attempts: int = 3, backoff: float = 1.0, every: bool = False, sleep: Callable[[float], None] = time.sleep) -> T:
+    """The result of call(); errors that pass by themselves (all, with every) are tried again after the delay their message asks for, else a doubling one. The last error is raised."""
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception as e:
+            if n + 1 >= attempts or not (every or re.search(X.TRANSIENT, str(e))):
+                raise
+            asked = re.search(X.RETRY_DELAY, str(e))
+            sleep(float(asked.group(1)) + 1.0 if asked else backoff * 2**n)
+    raise ValueError("attempts must be positive")
+
 
 class Lemmatizer(Protocol):
     def lemmas(self, text: Column) -> Column: ...
@@ -62,7 +79,8 @@ class ModelReranker:
                 at = np.flatnonzero((q.notna() & c.notna()).to_numpy())
                 for s in range(0, len(at), batch):
                     own = at[s : s + batch]
-                    out[own] = model([(q.iat[i], c.iat[i]) for i in own])
+                    pairs = [(q.iat[i], c.iat[i]) for i in own]
+                    out[own] = retrying(lambda: model(pairs))
                 yield pd.Series(out)
 
         return F.pandas_udf(run, "double")(query, candidate)
@@ -84,7 +102,8 @@ class ModelEmbedder:
                 at = np.flatnonzero(t.notna().to_numpy())
                 for s in range(0, len(at), batch):
                     own = at[s : s + batch]
-                    for i, v in zip(own, model([t.iat[i] for i in own])):
+                    texts = [t.iat[i] for i in own]
+                    for i, v in zip(own, retrying(lambda: model(texts))):
                         out[i] = list(map(float, v))
                 yield pd.Series(out, dtype=object)
 

@@ -306,7 +306,7 @@ SELECT query_id, node, score, CAST(expand_no AS INTEGER) AS expand_no FROM r WHE
 WITH RECURSIVE {_NOTE_EDGES}, {_SEEDS},
 e AS (SELECT src, dst FROM edges WHERE relation NOT IN ('MENTIONS', 'NEXT_CHUNK') UNION SELECT dst, src FROM edges WHERE relation NOT IN ('MENTIONS', 'NEXT_CHUNK')),
 b(query_id, node, depth) AS (
-  SELECT query_id, node, 0 FROM seeds UNION SELECT b.query_id, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 2)
+  SELECT query_id, node, 0 FROM seeds UNION SELECT b.query_id, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3)
 SELECT query_id, node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY query_id, node""",
     "note_components": f"""
 WITH RECURSIVE {_NOTE_EDGES},

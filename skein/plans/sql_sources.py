@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skein.operators.chunking import SEPARATORS
-from skein.plans.sql import _BM25, _BODY, _COVER, _FIRST, _GRAMS, _H, _L2, _LINE, _LINKS, _NOTE_EDGES, _PRED, _PRF, _QA20, _SENTS, _STOP, _STOPHEADS, _VEC, _WS, ORACLE_SQL as _BASE, _edge_counts, _strip, _title, _tokens
+from skein.plans.sql import _BM25, _BODY, _COVER, _FIRST, _GRAMS, _H, _L2, _LINE, _LINKS, _NOTE_EDGES, _PRED, _PRF, _QA20, _SEEDS, _SENTS, _STOP, _STOPHEADS, _VEC, _WS, ORACLE_SQL as _BASE, _edge_counts, _strip, _title, _tokens
 
 _NEWLINES = r"regexp_replace(content, '\r\n?', chr(10), 'g')"
 _PART = r"regexp_extract({0}, '^[^_]+_[^_]+_(.+)$', 1)"
@@ -119,6 +119,21 @@ def _short(x: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "bfs_discoverers": f"""
+WITH RECURSIVE {_NOTE_EDGES}, {_SEEDS},
+b(query_id, node, depth) AS (
+  SELECT query_id, node, 0 FROM seeds UNION SELECT b.query_id, e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.node WHERE b.depth < 2),
+d AS (SELECT query_id, node, min(depth) AS depth FROM b GROUP BY ALL)
+SELECT d.query_id, d.node, CAST(d.depth AS INTEGER) AS depth, min(p.node) AS via
+FROM d LEFT JOIN (SELECT DISTINCT src, dst FROM edges WHERE src <> dst) e ON e.dst = d.node AND d.depth > 0 LEFT JOIN d p ON p.query_id = d.query_id AND p.node = e.src AND p.depth = d.depth - 1 GROUP BY 1, 2, 3""",
+    "entity_seeds": f"""
+WITH q AS (SELECT qa_id AS query_id, vault, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(question, '[A-Za-zА-Яа-яЁё0-9]{{4,}}'), lambda x: lower(x)), lambda x: NOT list_contains({_STOP}, x)))) AS term FROM qa WHERE qa_id % 20 = 0),
+n AS (SELECT DISTINCT concat_ws(':', vault, {_node('stem')}) AS node, vault, {_spaced('stem')} AS dn FROM notes),
+k AS (SELECT DISTINCT node, vault, unnest({_tokens('dn')}) AS token FROM n),
+m AS (SELECT term, token FROM (SELECT DISTINCT term FROM q), (SELECT DISTINCT token FROM k) WHERE term = token OR (length(term) > 5 AND abs(length(term) - length(token)) <= 1 AND levenshtein(term, token) <= 1)),
+s AS (SELECT query_id, node, count(DISTINCT term) AS score FROM q JOIN m USING (term) JOIN k ON k.token = m.token AND k.vault = q.vault GROUP BY ALL)
+SELECT query_id, node, score, CAST(rn AS INTEGER) AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rn FROM s) WHERE rn <= 5""",
+    "results_appended": "SELECT sample_name, source_file, entity, lower(arg_max(link_type, gold_id) FILTER (link_type IS NOT NULL)) AS true_type FROM gold GROUP BY ALL HAVING count(link_type) > 0",
     "recursive_chunks": f"""
 WITH RECURSIVE l0 AS (SELECT doc_id, [text] AS ps FROM documents WHERE text <> ''),{",".join(_split_at(i, s) for i, s in enumerate(SEPARATORS[:-1]))},
 pc AS (SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 3000 THEN [p] ELSE list_transform(range(0, length(p), 3000), lambda k: p[k + 1:k + 3000]) END)) AS ps FROM l{len(SEPARATORS) - 1}),

@@ -35,8 +35,22 @@ def write_notes(notes: DataFrame, root: str) -> int:
     return notes.select("vault", "rel_path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def save_links(notes: DataFrame, links: DataFrame, mode: str, target: str) -> None:
-    """Save links (source_path, links): into the notes, as JSON, or as an enriched copy of the vaults whose old generated links are cleared."""
+def copy_others(root: str, target: str, ignored: tuple[str, ...] = (".out", ".git", ".trash")) -> int:
+    """Copy what a vault holds besides notes (attachments, settings), but no log files and nothing below an ignored folder; the number of files."""
+    n = 0
+    for where, dirs, files in os.walk(root):
+        dirs[:] = [d for d in dirs if d not in ignored]
+        for f in files:
+            if not f.endswith((".md", ".log")):
+                place = os.path.join(target, os.path.relpath(where, root))
+                os.makedirs(place, exist_ok=True)
+                shutil.copy2(os.path.join(where, f), os.path.join(place, f))
+                n += 1
+    return n
+
+
+def save_links(notes: DataFrame, links: DataFrame, mode: str, target: str, root: str | None = None) -> None:
+    """Save links (source_path, links): into the notes, as JSON, or as an enriched copy of the vaults whose old generated links are cleared; root is the vaults' folder, whose other files the copy gets as well."""
     if mode not in SAVE_MODES:
         raise ValueError(f"mode must be one of {SAVE_MODES}")
     if mode == "json":
@@ -47,6 +61,8 @@ def save_links(notes: DataFrame, links: DataFrame, mode: str, target: str) -> No
         shutil.rmtree(target, ignore_errors=True)
         cleared = notes.drop("content").join(L.clear_links(notes), ["vault", "rel_path"])
         write_notes(L.upsert_links(cleared, links), target)
+        if root is not None:
+            copy_others(root, target)
 
 
 def replace_files(chunks: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -137,6 +153,21 @@ def append_done(done: DataFrame, path: str) -> None:
     done.write.mode("append").parquet(path)
 
 
+def append_results(results: DataFrame, path: str) -> None:
+    """Append evaluation rows as JSON lines."""
+    results.write.mode("append").json(path)
+
+
+def save_page(root: str, name: str, text: str) -> str:
+    """Write one page below root; the path."""
+    path = os.path.join(root, f"{name}.md")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path + ".tmp", "w", encoding="utf-8", newline="\n") as f:
+        f.write(text)
+    os.replace(path + ".tmp", path)
+    return path
+
+
 def move_note(root: str, old: str, new: str) -> None:
     target = os.path.join(root, new)
     os.makedirs(os.path.dirname(target), exist_ok=True)

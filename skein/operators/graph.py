@@ -78,12 +78,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: every node is hung below the least node of its neighbourhood until
     nothing changes. Rounds grow with the logarithm of the component size; more than max_rounds raise an error. The least
     neighbour of a node is a minimum that combines before the shuffle, and it goes back to the node's edges in SALTS
-    places, so the edges of a hub are spread. Each round is materialised; only a count comes to the driver.
+    places, so the edges of a hub are spread. Each round is materialised; it ends when all edges lead from a node to
+    the least of its component, of which nothing but a yes or no comes to the driver.
     """
-    edge = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
+    edge = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct()
     current = materialize(edge, "components")
-    signature = None
     for _ in range(max_rounds):
+        if _stars(current):
+            break
         both = current.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(current.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         low = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("lowest"))
         large = _spread_join(both, low, "n", "m").filter("m > n").select(F.col("m").alias("hi"), F.col("lowest").alias("lo"))
@@ -91,16 +93,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = down.groupBy("hi").agg(F.min("lo").alias("lowest"))
         small = _spread_join(down, least, "hi", "lo").select(F.col("lo").alias("hi"), F.col("lowest").alias("lo")).unionByName(least.select("hi", F.col("lowest").alias("lo")))
         current = materialize(small.filter("hi <> lo").distinct(), "components")
-        now = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
-        if now == signature:
-            break
-        signature = now
     else:
-        raise RuntimeError(f"components still change after {max_rounds} rounds")
+        if not _stars(current):
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes.join(current.select(F.col("hi").alias("node"), "lo"), "node", "left").select("node", F.coalesce("lo", "node").alias("component"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of (hi, lo) has one edge down and none of those it leads to has one: components are stars round their least node."""
+    ends = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("down")).select(F.col("hi").alias("n"), "down", F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("lo").alias("n"), F.lit(0).cast("long").alias("down"), F.lit(1).alias("up")).distinct())
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down > 0 AND up > 0)").isEmpty()
+
+
 SALTS = 16
 
 

@@ -74,6 +74,10 @@ def _pack(round_no: int, loose_above: float | None, source_share: float):
 _ITEM = "container_kind string, capacity long, container_id string, doc_id long, part_no int, n_tokens long, cluster long, source_no long"
 
 
+#: Kinds of containers at most; every document gets a place for each, and their list goes to all tasks.
+MAX_KINDS = 1000
+
+
 def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str | None = None, group_rows: int = 20_000, source_share: float = 0.5) -> DataFrame:
     """(container_kind, container_id, doc_id, part_no, n_tokens): an assignment of every document to containers of every kind.
 
@@ -98,7 +102,9 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str | Non
     items = described.filter("doc_id IS NOT NULL").select("doc_id", "size", "source_no", "set_id").join(near, "set_id", "left")
     items = materialize(items.select("doc_id", "size", "source_no", F.coalesce("near", "set_id", F.lit(-1)).alias("cluster")), "pack-items")
     kinds = limits.filter(F.col("capacity_tokens") > 0).select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
-    cut = items.join(kinds).withColumn("full", F.expr("CASE WHEN size > capacity THEN CAST(size div capacity AS INT) ELSE 0 END"))
+    if len(kinds.limit(MAX_KINDS + 1).collect()) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    cut = items.crossJoin(F.broadcast(kinds)).withColumn("full", F.expr("CASE WHEN size > capacity THEN CAST(size div capacity AS INT) ELSE 0 END"))
     whole = cut.filter("full > 0").select("container_kind", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part_no"))
     whole = whole.select("container_kind", F.format_string("%s-whole-%d-%d", "container_kind", "doc_id", "part_no").alias("container_id"), "doc_id", "part_no", F.col("capacity").alias("n_tokens"))
     rest = cut.withColumn("left", F.col("size") - F.col("full") * F.col("capacity")).filter("left > 0 OR full = 0")

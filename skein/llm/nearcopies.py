@@ -99,8 +99,11 @@ def describe(texts: DataFrame, *keep: str) -> DataFrame:
     return materialize(texts.mapInArrow(run, out), "near-texts")
 
 
-def near_sets(texts: DataFrame, least: float = 0.8, described: DataFrame | None = None) -> DataFrame:
-    """(a, b): all pairs of shingle sets, a < b, with a Jaccard similarity of at least `least`, of texts (doc_id, folded), doc_id unique.
+def near_sets(texts: DataFrame, least: float = 0.8, described: DataFrame | None = None, hot_list: int = 2000) -> DataFrame:
+    """(a, b): pairs of shingle sets, a < b, with a Jaccard similarity of at least `least`, of texts (doc_id, folded), doc_id unique.
+
+    All pairs come out, but for two sets of a list of more than hot_list that are both near to the least set of that list:
+    through it they are in one class, and a third of all texts can be such sets. So classes are exact, and no list is gathered.
 
     Exact, by prefixes: in any one order of all shingles, two sets so similar share one of the first
     n - ceil(least * n) + 1 of their n shingles. The order is rare ones first, by BUCKETS counters over all texts, so
@@ -130,17 +133,40 @@ def near_sets(texts: DataFrame, least: float = 0.8, described: DataFrame | None
             if ids:
                 yield pa.RecordBatch.from_pydict({"set_id": np.concatenate(ids), "h": np.concatenate(hashes), "n": np.concatenate(sizes), "pos": np.concatenate(places)})
 
-    prefix = texts.select("folded").mapInArrow(prefixes, "set_id long, h long, n int, pos int")
-    lists = prefix.groupBy("h").agg(F.collect_set(F.struct("set_id", "n", "pos")).alias("_p")).filter(F.size("_p") > 1)
-    a = F.col("_a")
+    prefix = materialize(texts.select("folded").mapInArrow(prefixes, "set_id long, h long, n int, pos int").distinct(), "near-prefixes")
+    sets = described.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in _SKETCH))
+    hot = materialize(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min("set_id").alias("_first")).filter(F.col("_many") > hot_list), "near-hot")
 
-    def may(b: Column) -> Column:
+    def may(a, b) -> Column:
         most = F.least(a["n"] - a["pos"], b["n"] - b["pos"])  # what they can share from this place on, if it is the first
-        fits = (F.least(a["n"], b["n"]) >= least * F.greatest(a["n"], b["n"]) - 1e-9) & (most + F.least(a["pos"], b["pos"]) >= least / (1 + least) * (a["n"] + b["n"]) - 1e-9)
-        return (b["set_id"] > a["set_id"]) & fits
-
-    pairs = lists.select("_p", F.explode("_p").alias("_a")).select(a["set_id"].alias("a"), F.explode(F.transform(F.filter("_p", may), lambda b: b["set_id"])).alias("b")).distinct()
-    sets = described.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in _SKETCH))
+        return (F.least(a["n"], b["n"]) >= least * F.greatest(a["n"], b["n"]) - 1e-9) & (most + F.least(a["pos"], b["pos"]) >= least / (1 + least) * (a["n"] + b["n"]) - 1e-9)
+
+    lists = prefix.join(hot, "h", "left_anti").groupBy("h").agg(F.collect_list(F.struct("set_id", "n", "pos")).alias("_p")).filter(F.size("_p") > 1)
+    x = F.col("_a")
+    others = F.transform(F.filter("_p", lambda b: (b["set_id"] > x["set_id"]) & may(x, b)), lambda b: b["set_id"])
+    pairs = lists.select("_p", F.explode("_p").alias("_a")).select(x["set_id"].alias("a"), F.explode(others).alias("b"))
+    if hot.isEmpty():
+        return _similar(pairs, sets, texts, least)
+    # long lists: each set with the first of its list, then those that aren't near to it with all others, spread over SALTS places
+    members = prefix.join(hot.select("h", "_first"), "h")
+    first = members.filter("set_id <> _first").select(F.col("_first").alias("a"), F.col("set_id").alias("b"))
+    near = materialize(_similar(pairs.unionByName(first), sets, texts, least), "near-first")
+    linked = near.select(F.col("a").alias("_first"), F.col("b").alias("set_id"))
+    apart = members.filter("set_id <> _first").join(linked, ["_first", "set_id"], "left_anti")
+    side = lambda df, name: df.select("h", "_salt", F.struct("set_id", "n", "pos").alias(name))
+    far = side(apart.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "_x")
+    rest = far.join(side(members.withColumn("_salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int")), "_y"), ["h", "_salt"])
+    rest = rest.filter((F.col("_x.set_id") != F.col("_y.set_id")) & may(F.col("_x"), F.col("_y")))
+    rest = rest.select(F.least("_x.set_id", "_y.set_id").alias("a"), F.greatest("_x.set_id", "_y.set_id").alias("b"))
+    return near.unionByName(_similar(rest, sets, texts, least)).distinct()
+
+
+SALTS = 16
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of sets that are as similar as that: by their sketches first, then by the whole sets."""
+    pairs = pairs.distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("doc_id").alias(f"{side}_doc"), F.col("n").alias(f"{side}_n"), *(F.col(k).alias(f"{side}_{k}") for k in _SKETCH)), side)
     differ = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in _SKETCH), F.lit(0))
@@ -148,8 +174,8 @@ def near_sets(texts: DataFrame, least: float = 0.8, described: DataFrame | None
     pairs = materialize(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
     whole = F.pandas_udf(lambda t: pd.Series(_over(t, lambda s: s)), T.ArrayType(T.LongType()))
-    sets = materialize(texts.join(asked, "doc_id").select("doc_id", whole("folded").alias("_s")), "near-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a_doc"), F.col("_s").alias("_x")), "a_doc").join(sets.select(F.col("doc_id").alias("b_doc"), F.col("_s").alias("_y")), "b_doc")
+    own = materialize(texts.join(asked, "doc_id").select("doc_id", whole("folded").alias("_s")), "near-sets")
+    both = pairs.join(own.select(F.col("doc_id").alias("a_doc"), F.col("_s").alias("_x")), "a_doc").join(own.select(F.col("doc_id").alias("b_doc"), F.col("_s").alias("_y")), "b_doc")
     same = F.size(F.array_intersect("_x", "_y"))
     return both.filter(same >= least * (F.size("_x") + F.size("_y") - same) - 1e-9).select("a", "b")
 

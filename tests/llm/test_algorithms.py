@@ -144,6 +144,31 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0), limits).count() == 0
 
 
+def classes(pairs):
+    top = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        top[find(a)] = find(b)
+    groups = defaultdict(set)
+    for x in top:
+        groups[find(x)].add(x)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_near_copies_of_one_text_are_one_class(spark):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + [f"x{i}"] + base[k + 1 :]) for i in range(120) for k in [rng.randrange(200)]] + ["quite another text of more than five words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, folded string")
+    all_, some = ({tuple(r) for r in nearcopies.near_sets(df, hot_list=h).collect()} for h in (2000, 20))
+    assert classes(all_) == classes(some) and len(some) < len(all_) / 4
+
+
 def test_near_sets_against_brute_force(spark):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(60)]
@@ -159,6 +184,9 @@ def test_near_sets_against_brute_force(spark):
     want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(texts)) for j in range(i) if ids[i] != ids[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     df = spark.createDataFrame(list(zip(range(len(texts)), texts)), "doc_id long, folded string")
     assert {tuple(r) for r in nearcopies.near_sets(df).collect()} == want and len(want) > 8
+    for hot in (0, 1, 3):  # long lists lose pairs but no class
+        got = {tuple(r) for r in nearcopies.near_sets(df, hot_list=hot).collect()}
+        assert got <= want and classes(got) == classes(want)
     assert len({ids[-6], ids[-5]}) == 1 and ids[-4] != ids[-3] and (min(ids[-2:]), max(ids[-2:])) in want
 
 

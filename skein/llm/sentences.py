@@ -61,6 +61,8 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
         (True, r"[.!?…]", r"\s+[\"“„«(\[「¿¡#*_>|~`\\{<$+=&§-]"),
     ],
     "thai": [(False, _B + r"(?:ดร|นพ|พ\.ศ|ค\.ศ)\.", r""), (False, r"\.", r"[^\s]"), (False, r"[.!?…]", r"\s*[฀-๿]"), (True, r"[.!?…]", _NEXT_UP)],
+    # a space behind a Thai letter ends a unit unless it stands at a numeral, Latin letters or a quotation mark
+    "thai space": [(False, r"", r"[\dA-Za-z\"“”„«»'(]|\Z"), (True, r"", r"")],
     "danda": [(True, r"[।॥|?!]", r"\s*."), (False, r"\.", r"[^\s]"), (False, _B + rf"(?:{_alt(BEFORE_NAME)})\.", r""), (True, r"\.", _NEXT_UP)],
     "cjk": [
         (False, r"[…‥.]", r"[぀-ヿ㐀-鿿]"),  # an ellipsis inside a sentence
@@ -70,7 +72,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     ],
 }
 #: Which tables a position uses, by the script of the letter before the mark.
-CASCADE = {"latin": ("plain", "general", "en", "de", "latin"), "thai": ("thai", "general", "latin"), "danda": ("general", "danda"), "cjk": ("cjk", "general", "latin")}
+CASCADE = {"thai space": ("thai space",), "latin": ("plain", "general", "en", "de", "latin"), "thai": ("thai", "general", "latin"), "danda": ("general", "danda"), "cjk": ("cjk", "general", "latin")}
 _RULES = {s: [(v, re.compile(rf"(?:{b})[{CLOSE}“]*\Z") if b else None, re.compile(a)) for t in tables for v, b, a in TABLES[t]] for s, tables in CASCADE.items()}
 
 # Each of the two starts with a look at the first character, which rules out most positions at once.
@@ -155,9 +157,8 @@ def _paragraph(text: str, begin: int, stop: int, out: list[int]) -> None:
                     out.append(cut)
                 start, opened = end, False
             continue
-        if ch.isspace():  # Thai: a space between two letters of scripts other than Latin
-            nxt = text[end : end + 1]
-            if inside or not nxt or nxt.isdigit() or (nxt.isascii() and nxt.isalpha()) or nxt in "\"“”„«»'(":
+        if ch.isspace():  # behind a Thai letter
+            if inside or not _decide(text, "thai space", start, end, stop):
                 continue
             out.append(pos)
             start, opened = end, False

@@ -119,21 +119,23 @@ def near_sets(texts: DataFrame, least: float = 0.8, described: DataFrame | None
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches):
+        seen: set[int] = set()
         for batch in batches:
             ids, hashes, sizes, places = [], [], [], []
             for s in _over(batch.column("folded").to_pylist(), lambda s: s):
-                n = len(s)
-                if not n:
+                n, own = len(s), _set_id(s)
+                if not n or own in seen:  # copies of a set give nothing new
                     continue
+                seen.add(own)
                 p = n - int(np.ceil(least * n - 1e-9)) + 1
                 hashes.append(s[np.lexsort((s, shared.value[_bucket(s)]))[:p]])
-                ids.append(np.full(p, _set_id(s), np.int64))
+                ids.append(np.full(p, own, np.int64))
                 sizes.append(np.full(p, n, np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if ids:
                 yield pa.RecordBatch.from_pydict({"set_id": np.concatenate(ids), "h": np.concatenate(hashes), "n": np.concatenate(sizes), "pos": np.concatenate(places)})
 
-    prefix = materialize(texts.select("folded").mapInArrow(prefixes, "set_id long, h long, n int, pos int").distinct(), "near-prefixes")
+    prefix = materialize(texts.select("folded").mapInArrow(prefixes, "set_id long, h long, n int, pos int"), "near-prefixes")
     sets = described.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in _SKETCH))
     hot = materialize(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("_many"), F.min("set_id").alias("_first")).filter(F.col("_many") > hot_list), "near-hot")
 
@@ -141,7 +143,7 @@ def near_sets(texts: DataFrame, least: float = 0.8, described: DataFrame | None
         most = F.least(a["n"] - a["pos"], b["n"] - b["pos"])  # what they can share from this place on, if it is the first
         return (F.least(a["n"], b["n"]) >= least * F.greatest(a["n"], b["n"]) - 1e-9) & (most + F.least(a["pos"], b["pos"]) >= least / (1 + least) * (a["n"] + b["n"]) - 1e-9)
 
-    lists = prefix.join(hot, "h", "left_anti").groupBy("h").agg(F.collect_list(F.struct("set_id", "n", "pos")).alias("_p")).filter(F.size("_p") > 1)
+    lists = prefix.join(hot, "h", "left_anti").groupBy("h").agg(F.collect_set(F.struct("set_id", "n", "pos")).alias("_p")).filter(F.size("_p") > 1)
     x = F.col("_a")
     others = F.transform(F.filter("_p", lambda b: (b["set_id"] > x["set_id"]) & may(x, b)), lambda b: b["set_id"])
     pairs = lists.select("_p", F.explode("_p").alias("_a")).select(x["set_id"].alias("a"), F.explode(others).alias("b"))

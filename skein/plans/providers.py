@@ -118,7 +118,7 @@ class HashEmbedder:
 
     def vector(self, text: Column) -> Column:
         slots = F.transform(X.tokens(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % self.dim)
-        counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
+        counts = lambda own: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.dim - 1).cast("long")), lambda i: (F.size(own) - F.size(F.array_remove(own, i))).cast("double"))
         return V.unit(V.let(slots, counts))
 
 

@@ -1,6 +1,7 @@
 """Top N, Borda ranking, vector neighbours, packing and mixing, against brute force."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein import session
 from skein.llm import borda, mixing, nearcopies, neighbours, packing, topn
 
 
@@ -190,6 +192,54 @@ def test_near_sets_against_brute_force(spark):
     assert len({ids[-6], ids[-5]}) == 1 and ids[-4] != ids[-3] and (min(ids[-2:]), max(ids[-2:])) in want
 
 
+def moved(spark, run):
+    """Bytes that the stages of run() write for others, and those of the tables it writes."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        stages = store.stageList(None, False, False, gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before, tables = shuffled(), len(session._written)
+    run()
+    after = shuffled()
+    files = [os.path.getsize(os.path.join(where, f)) for path in session._written[tables:] for where, _, names in os.walk(path.removeprefix("file:")) for f in names]
+    return sum(n for k, n in after.items() if k not in before) + sum(files)
+
+
+def test_what_near_copies_move_grows_with_the_texts_not_with_their_pairs(spark):
+    rng = random.Random(7)
+    phrases = [" ".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(300)]  # every text is made of these, so all share shingles
+    short = [" ".join(rng.sample(phrases, 12)) for _ in range(1600)]
+    long_ = [" ".join(["one phrase that they have in common", *(f"w{rng.randrange(10**9)}" for _ in range(2500))]) for _ in range(60)]
+    for texts, k in ((long_, 3), (short, 4)):
+        frames = [spark.createDataFrame(list(enumerate(t)), "doc_id long, folded string").repartition(4).cache() for t in (texts[: len(texts) // k], texts)]
+        small, large = (moved(spark, lambda df=df: nearcopies.near_sets(df).collect()) for df in frames)
+        assert large < 1.5 * k * small, (k, small, large)
+        assert large < 4 * sum(map(len, texts)), (k, small, large)
+
+
+def test_counters_and_sketches_of_near_copies():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a = np.unique(rng.integers(1, 1 << 40, rng.integers(1, 3000)))
+        b = np.union1d(rng.choice(a, max(1, int(len(a) * 0.9)), replace=False), rng.integers(1, 1 << 40, rng.integers(0, 200)))
+        for x, y in ((1, 1), (4, 1), (2, 8), (16, 16)):
+            assert nearcopies._differ(nearcopies._sketch(a, x), nearcopies._sketch(b, y)) <= len(np.setxor1d(a, b))
+    n, pos = np.array([3, 90, 200, 70_000]), np.array([0, 4, 40, 1])
+    sketch = np.where(np.arange(4) < nearcopies._row_words(n, pos)[:, None], np.arange(1, 17, dtype=np.uint64).reshape(4, 4), np.uint64(0))
+    rows = np.array([7, 7, 8, 2**32 - 1], np.uint32), np.array([-5, 5, 2**62, 1]), n, pos, sketch
+    assert all((x == y).all() for x, y in zip(nearcopies._unpacked(nearcopies._packed(*rows)), rows))
+    s = np.unique(rng.integers(1, 1 << 40, 300))
+    first = rng.permutation(len(s))[:60]
+    for k, row in enumerate(nearcopies._rest(s, first)):
+        words = int(nearcopies._row_words(len(s), np.array(k)))
+        assert (row == np.append(nearcopies._sketch(np.delete(s, first[: k + 1]), words), np.zeros(4 - words, np.uint64))).all()
+    block = np.zeros(nearcopies.BLOCK, np.uint32)
+    block[[0, 1, 700, nearcopies.BLOCK - 1]] = 1, 300, 99_999, 2
+    assert (nearcopies._ungaps(nearcopies._gaps(block)) == np.minimum(block, nearcopies.FULL)).all()
+
+
 def test_near_copies_never_share_a_container(spark):
     base = [f"word{i}" for i in range(100)]
     docs = [(i, " ".join([*base[: 50 + i], "other", *base[51 + i :]]), "a") for i in (0, 20, 40)] + [(9, "quite another text of a few words", "a")]

@@ -158,3 +158,24 @@ def test_export_takes_other_files_along(spark, tmp_path):
     assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["v/a.md", "v/picture.png"]
     assert (tmp_path / "out" / "v" / "a.md").read_text().endswith("- Uses:: [[b]]")
     assert open(sinks.save_page(str(tmp_path / "pages"), "sub/Page", "body")).read() == "body"
+
+
+def test_entity_seeds_make_no_pairs_of_other_vaults(spark, rows):
+    """Pairs of a question and a note of another vault were all made, and broadcast from the driver to be filtered."""
+    names = ["old mill", "mill race", "river mill", "wheel", "mil wheel", "stone bridge", "bridges"]
+    notes = [(f"{v}:{n}", v, n) for v in ("a", "b", "c", None) for n in names]
+    entities = spark.createDataFrame([(n or "", v, d) for n, v, d in notes], "node string, vault string, display_name string")
+    asked = [(i, text, v) for i, (text, v) in enumerate([("where is the river mill", "a"), ("mill wheel or bridge", "b"), ("bridges and mills of stone", "c"), ("old mill", "d"), ("old mill", None)])]
+    q = spark.createDataFrame(asked, "query_id int, question string, vault string")
+    found = R.entity_seeds(q, entities, 3)
+    want = []
+    for i, text, v in asked:
+        terms = {w for w in text.split() if w not in ("where", "and", "the") and len(w) >= 4}
+        near = lambda t, w: t == w or (len(t) > 5 and abs(len(t) - len(w)) <= 1 and any(t[:j] + t[j + 1 :] in (w, w[:j] + w[j + 1 :]) or t == w[:j] + w[j + 1 :] for j in range(max(len(t), len(w)))))
+        hits = sorted((-sum(any(near(t, w) for w in d.split()) for t in terms), n) for n, u, d in notes if v is not None and u == v)
+        want += [(i, n, -s, r + 1) for r, (s, n) in enumerate([h for h in hits if h[0] < 0][:3])]
+    assert want and rows(found, "query_id", "node", "score", "rank_no") == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    pairs = S.fulltext(q, entities, "query_id", "question", "node", "display_name", group="vault")
+    assert {(r.query_id, r.node) for r in pairs.collect()} <= {(i, n) for i, _, v in asked for n, u, _ in notes if u == v and v is not None}

@@ -179,3 +179,28 @@ def test_entity_seeds_make_no_pairs_of_other_vaults(spark, rows):
     assert "Join" not in plan and "Broadcast" not in plan
     pairs = S.fulltext(q, entities, "query_id", "question", "node", "display_name", group="vault")
     assert {(r.query_id, r.node) for r in pairs.collect()} <= {(i, n) for i, _, v in asked for n, u, _ in notes if u == v and v is not None}
+
+
+def test_queries_that_reach_the_same_nodes_share_their_documents(spark, rows, monkeypatch):
+    """Each question was joined with every document that mentions a node it reaches, though most questions reach the same nodes."""
+    ring = [(f"n{i}", f"n{(i + 1) % 6}", "Uses") for i in range(6)]
+    edges = spark.createDataFrame([*ring, ("x", "y", "Uses"), ("y", "y", "Uses"), ("n0", "x", "MENTIONS"), ("p0", "p1", "Uses"), ("p1", "p2", "Uses"), ("p2", "p3", "Uses"), ("p3", "p4", "Uses")], "src string, dst string, relation string")
+    starts = [(i, f"n{i % 6}") for i in range(12)] + [(1, "n4"), (12, "x"), (13, "y"), (13, "n1"), (14, "x"), (14, "n2"), (14, "n2"), (15, "alone"), (16, "p0"), (17, "p1"), (18, "p0"), (18, "p4"), (19, "p1"), (19, "p4"), (20, "alone")]
+    seeds = spark.createDataFrame(starts, "query_id long, node string")
+    kinds, reached = G.shared_neighbourhoods(seeds, edges, 3)
+    each = rows(kinds.join(reached, "kind"), "query_id", "node")
+    assert each == rows(G.khop_undirected(seeds, edges, 3), "query_id", "node")
+    sets = {q: frozenset(n for p, n in each if p == q) for q, _ in each}
+    assert len({kind for _, kind in rows(kinds, "query_id", "kind")}) == len(set(sets.values())) < len(sets)
+    assert rows(kinds, "query_id") == [(q,) for q in sorted(sets, key=lambda q: repr((q,)))]
+
+    chunks = spark.createDataFrame([(i, f"v/{i}.md", 0, f"the n{i % 6} stands near") for i in range(20)], "chunk_id long, file_path string, chunk_index int, text string")
+    mentions = spark.createDataFrame([(i, f"n{i % 6}") for i in range(20)] + [(3, "n0")], "doc long, entity string")
+    nodes = [(f"n{i}", f"stone{i}") for i in range(6)]
+    entities = spark.createDataFrame(nodes, "node string, display_name string")
+    questions = spark.createDataFrame([(i, f"about stone{i % 6}") for i in range(30)], "query_id long, question string")
+    asked, documents = [], G.documents_of_entities
+    monkeypatch.setattr(G, "documents_of_entities", lambda m, s: asked.append(s.count()) or documents(m, s))
+    got = rows(R.run_property_graph(questions, chunks, entities, mentions, edges, top=2), "query_id", "rank_no", "text_key", "score")
+    assert asked == [6]  # one set of six nodes, not one a question
+    assert got == sorted([(i, r, t, s) for i in range(30) for r, t, s in [(1, "the n3 stands near", 1.0), (2, "the n0 stands near", 0.5)]], key=repr)
